@@ -215,5 +215,5 @@ def verdict_counts(reports: DataFrame) -> DataFrame:
 
 
 def citation_frequency(reports: DataFrame) -> DataFrame:
-    cited = reports.select(F.explode("regulatory_citations_cited").alias("citation"))
+    cited = reports.select(F.explode_outer("regulatory_citations_cited").alias("citation")).dropna()
     return cited.groupBy("citation").agg(F.count(F.lit(1)).alias("times"))

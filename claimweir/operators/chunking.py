@@ -17,19 +17,29 @@ def split_sections(text: Column) -> Column:
             section.alias("section"), number.cast("long").alias("section_number"), body.alias("body")
         )
 
-    headers = F.regexp_extract_all(text, F.lit(_HEADER), F.lit(1))
-    numbers = F.regexp_extract_all(text, F.lit(_HEADER), F.lit(2))
-    bodies = F.split(text, _HEADER)
-    opening = strip(bodies[0])
-    preamble = F.array(part(F.lit(fixed.PREAMBLE_SECTION), F.lit(0), opening))
-    sections = F.transform(
-        headers,
-        lambda header, i: part(strip(header), F.get(numbers, i), strip(F.get(bodies, i + 1))),
+    def found(group):
+        return F.regexp_extract_all(text, F.lit(_HEADER), F.lit(group))
+
+    # The text before the first header takes the place of a section without header or number.
+    nothing = F.array(F.lit(None).cast("string"))
+    pieces = F.arrays_zip(
+        F.concat(nothing, found(1)).alias("header"),
+        F.concat(nothing, found(2)).alias("number"),
+        F.split(text, _HEADER).alias("body"),
+    )
+    parts = F.transform(
+        pieces,
+        lambda piece: part(
+            F.coalesce(strip(piece["header"]), F.lit(fixed.PREAMBLE_SECTION)),
+            F.coalesce(piece["number"], F.lit("0")),
+            strip(piece["body"]),
+        ),
+    )
+    kept = F.filter(
+        parts, lambda p: (p["section"] != fixed.PREAMBLE_SECTION) | (p["body"] != "")
     )
-    return F.when(
-        F.size(headers) == 0,
-        F.array(part(F.lit(fixed.WHOLE_SECTION), F.lit(1), strip(text))),
-    ).otherwise(F.when(opening == "", sections).otherwise(F.concat(preamble, sections)))
+    whole = F.array(part(F.lit(fixed.WHOLE_SECTION), F.lit(1), strip(text)))
+    return F.when(text.rlike(_HEADER), kept).otherwise(whole)
 
 
 def pack_paragraphs(header: Column, body: Column, size: int = 1000) -> Column:
@@ -66,10 +76,14 @@ def pack_paragraphs(header: Column, body: Column, size: int = 1000) -> Column:
 
 
 def chunk_documents(documents: DataFrame, size: int = 1000) -> DataFrame:
-    """Chunks (chunk_id, text, metadata) of documents (file_name, text)."""
+    """Chunks (chunk_id, text, metadata) of documents (file_name, text).
+
+    No array here is ever empty. The outer forms of explode keep the planner from adding a filter on their size, which
+    would split every text twice.
+    """
     stem = F.regexp_replace("file_name", r"(?<=[^.])\.[^.]*$", "")
     sections = documents.select(
-        "file_name", stem.alias("stem"), F.explode(split_sections(F.col("text"))).alias("part")
+        "file_name", stem.alias("stem"), F.explode_outer(split_sections(F.col("text"))).alias("part")
     ).select("file_name", "stem", "part.*")
     unsplit = F.col("section").isin(fixed.PREAMBLE_SECTION, fixed.WHOLE_SECTION)
     texts = F.when(unsplit, F.array("body")).otherwise(
@@ -81,7 +95,7 @@ def chunk_documents(documents: DataFrame, size: int = 1000) -> DataFrame:
         .when(F.col("section") == fixed.WHOLE_SECTION, F.lit("_full_"))
         .otherwise(F.concat(F.lit("_sec"), number, F.lit("_part")))
     )
-    return sections.select("*", F.posexplode(texts).alias("position", "chunk")).select(
+    return sections.select("*", F.posexplode_outer(texts).alias("position", "chunk")).select(
         F.concat("stem", label, "position").alias("chunk_id"),
         F.col("chunk").alias("text"),
         F.struct(

@@ -71,22 +71,26 @@ def totals(text: Column) -> list[Column]:
 
 def line_items(text: Column, incident: Column) -> Column:
     section = F.regexp_extract(text, f"(?Us){_P['items_section']}", 1)
-    found = F.regexp_extract_all(section, F.lit(f"(?U){_TRIPLE}"), F.lit(0))
+    triples = F.regexp_extract_all(section, F.lit(f"(?U){_TRIPLE}"), F.lit(0))
     description = F.concat(
         F.lit(fixed.ITEM_DESCRIPTION), F.coalesce(incident, F.lit("claim")), F.lit(".")
     )
+    # The description rides along as an array: a lambda would work it out again for every item.
+    described = F.arrays_zip(
+        F.transform(triples, lambda triple: F.split(triple, r"(?U)\s+")).alias("amounts"),
+        F.array_repeat(description, F.size(triples)).alias("description"),
+    )
 
-    def item(triple, index):
-        amounts = F.split(triple, r"(?U)\s+")
+    def item(part, index):
         return F.struct(
             F.concat(F.lit(fixed.ITEM_CATEGORY), (index + 1).cast("string")).alias("category"),
-            description.alias("description"),
-            _amount(amounts[0]).alias("amount"),
-            _amount(amounts[1]).alias("deductible"),
-            _amount(amounts[2]).alias("net_claimed"),
+            part["description"].alias("description"),
+            _amount(part["amounts"][0]).alias("amount"),
+            _amount(part["amounts"][1]).alias("deductible"),
+            _amount(part["amounts"][2]).alias("net_claimed"),
         )
 
-    return F.transform(found, item)
+    return F.transform(described, item)
 
 
 def extract_claims(documents: DataFrame) -> DataFrame:

@@ -49,8 +49,8 @@ def ledger_of_items(items: Column) -> Column:
     )
 
 
-def ledger_of_lines(lines: DataFrame, key: str) -> DataFrame:
-    """The same ledger from a flat table of items.
+def ledger_of_lines(lines: DataFrame, key: str, *also: Column) -> DataFrame:
+    """The same ledger from a flat table of items, with any other aggregates wanted of them.
 
     Counts, minima and sums combine before the shuffle, so one claim may own any share of the rows.
     """
@@ -60,10 +60,10 @@ def ledger_of_lines(lines: DataFrame, key: str) -> DataFrame:
         F.min(F.coalesce(F.col("amount"), zero)).cast("double").alias("least_amount"),
         F.min(F.coalesce(F.col("net_claimed"), zero)).cast("double").alias("least_net"),
         F.sum(exact(F.coalesce(F.col("net_claimed"), zero))).cast("decimal(38,2)").alias("net_total"),
+        *also,
     )
-    return grouped.select(
-        key, F.struct("items", "least_amount", "least_net", "net_total").alias("ledger")
-    )
+    ledger = ["items", "least_amount", "least_net", "net_total"]
+    return grouped.withColumn("ledger", F.struct(*ledger)).drop(*ledger)
 
 
 def redaction_actions() -> Column:

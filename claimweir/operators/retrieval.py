@@ -64,8 +64,8 @@ def term_counts(chunks: DataFrame) -> DataFrame:
     words = chunks.select(
         "chunk_id",
         F.col("metadata.section_number").alias("section_number"),
-        F.explode(tokens(F.col("text"))).alias("token"),
-    )
+        F.explode_outer(tokens(F.col("text"))).alias("token"),
+    ).filter(F.col("token").isNotNull())
     return words.groupBy("chunk_id", "section_number", "token").agg(
         F.count(F.lit(1)).alias("times")
     )

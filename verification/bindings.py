@@ -3,9 +3,14 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweir import fixed
+from claimweir.operators.audit import Citation, audit, population, resolve_citations
 from claimweir.operators.chunking import chunk_documents
+from claimweir.operators.extract import clean_policy
 from claimweir.operators.govern import govern, ledger_of_lines
 from claimweir.operators.quality import RuleSettings, evaluate, to_quarantine, to_silver
+from claimweir.operators.retrieval import Query, VectorQuery, build_index, search
+from claimweir.operators.retrieval import citations as area_citations
 from claimweir.operators.star import Star, build_star
 from claimweir.sources.staging import stage
 
@@ -14,6 +19,9 @@ SALT = "bench-salt-for-test-tables"
 # Fixed instants, so that both engines give the same columns.
 AT = "2026-01-02 03:04:05"
 
+# Labels stand for sections, of which a corpus has few.
+MOST_EXAMPLES = 1_000
+
 COUNTIES = (
     "Dublin,Kildare,Meath,Wicklow,Wexford,Louth,Cork,Kerry,Limerick,Clare,Galway,Mayo,Sligo,Donegal,Cavan,Antrim,"
     "Down,Nowhere,Dublin,Cork,Tipperary,Waterford,Roscommon,Tyrone"
@@ -138,13 +146,11 @@ def claim_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw claims with their ledger and stated totals (B1)."""
-    from claimweir.operators.extract import clean_policy
-
-    lines = claim_lines(spark, sf_dir)
-    sums = (
-        lines.groupBy("order_key")
-        .agg(F.sum("amount").alias("gross"), F.sum("deductible").alias("deducted"))
-        .join(ledger_of_lines(lines, "order_key"), "order_key")
+    sums = ledger_of_lines(
+        claim_lines(spark, sf_dir),
+        "order_key",
+        F.sum("amount").alias("gross"),
+        F.sum("deductible").alias("deducted"),
     )
     k = F.col("order_key")
     price = F.col("o_totalprice").cast("decimal(18,2)")
@@ -291,3 +297,57 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", F.col("label").alias("section_number"), "embedding"
     )
+
+
+# Retrieval texts with words that the documents hold; the last area finds nothing in its section and falls back.
+AREA_TEXTS = {
+    "STATUTORY_NOTIFICATION_SLA": "what is the time for which it was under",
+    "MANDATORY_POLICY_NUMBER": "mandatory for and with which are under",
+    "FINANCIAL_VALUATION_INTEGRITY": "das war der und dora",
+    "GDPR_DATA_PRIVACY_PPSN": "pseudonymization",
+}
+
+
+def area_queries() -> list[Query]:
+    return [Query(area, AREA_TEXTS[area], section) for area, section, *_ in fixed.AUDIT_AREAS]
+
+
+def preset_queries() -> list[Query]:
+    return [Query(f"preset_{i}", text) for i, text in enumerate(fixed.PRESET_QUESTIONS)]
+
+
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = build_index(stage(chunks(spark, sf_dir), "chunks"))
+    return area_citations(search(index, area_queries(), top_k=1))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit reports of all claims, from a written table of evaluated claims."""
+    scored = stage(evaluated(spark, sf_dir), "evaluated")
+    everyone = population(to_silver(scored, at()), to_quarantine(scored, promoted_at=at()))
+    return audit(everyone, resolve_citations(citations(spark, sf_dir)), at())
+
+
+def plain_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same reports with the fixed wording in place of retrieved excerpts."""
+    wording = {
+        area: Citation(heading, excerpt, 0.0) for area, _, _, heading, excerpt, _ in fixed.AUDIT_AREAS
+    }
+    scored = evaluated(spark, sf_dir)
+    return audit(
+        scored.filter(F.col("governance_error").isNull()), wording, at()
+    )
+
+
+def example_queries(spark: SparkSession, sf_dir: str, same_section: bool) -> list[VectorQuery]:
+    """One vector of every label, the one with the least id, as a query by example."""
+    examples = (
+        vectors(spark, sf_dir)
+        .groupBy("section_number")
+        .agg(F.min_by("embedding", "vec_id").alias("vector"))
+        .orderBy("section_number")
+        .limit(MOST_EXAMPLES)
+    )
+    return [
+        VectorQuery(f"label_{r[0]}", r[1], r[0] if same_section else None) for r in examples.collect()
+    ]
