@@ -51,10 +51,15 @@ def mask_name(name: Column, mask: str = "*") -> Column:
     )
 
 
+def at_sign(email: Column) -> Column:
+    """Place of the first @ of an address, counted from 1; 0 without one."""
+    return F.locate("@", strip(email))
+
+
 def mask_email(email: Column, mask: str = "*") -> Column:
     """Null for an address with nothing before the @: such a record cannot be governed."""
     address = strip(email)
-    at = F.locate("@", address)
+    at = at_sign(email)
     user = F.substring(address, F.lit(1), at - 1)
     middle = F.repeat(F.lit(mask), F.char_length(user) - 2)
     masked = (

@@ -66,14 +66,13 @@ def ledger_of_lines(lines: DataFrame, key: str, *also: Column) -> DataFrame:
     return grouped.withColumn("ledger", F.struct(*ledger)).drop(*ledger)
 
 
-def redaction_actions() -> Column:
+def redaction_actions(clean_narrative: Column) -> Column:
     def tag(name, when):
         return F.when(when, name)
 
     def given(column):
         return F.col(column) != ""
 
-    narrative = F.col("incident_description")
     return F.array_compact(
         F.array(
             tag(fixed.TAG_PPSN, given("claimant_ppsn")),
@@ -83,7 +82,7 @@ def redaction_actions() -> Column:
             F.lit(fixed.TAG_GEO),
             tag(
                 fixed.TAG_NARRATIVE,
-                ~pii.sanitize_narrative(narrative).eqNullSafe(narrative),
+                ~clean_narrative.eqNullSafe(F.col("incident_description")),
             ),
         )
     )
@@ -117,22 +116,30 @@ def govern(
         F.col("ledger") if "ledger" in claims.columns else ledger_of_items(F.col("line_items"))
     )
     items = [F.col("line_items")] if "line_items" in claims.columns else []
-    email = pii.mask_email(F.col("claimant_email"), mask)
+    # Columns of their own, so that what depends on them does not work them out again.
+    prepared = claims.withColumns(
+        {
+            "incident_description_clean": pii.sanitize_narrative(F.col("incident_description")),
+            "claimant_email_masked": pii.mask_email(F.col("claimant_email"), mask),
+        }
+    )
+    email, narrative = F.col("claimant_email_masked"), F.col("incident_description_clean")
     required = ["claim_id", "filing_date", "incident_date", "total_net_claimed"]
     problems = [F.when(F.col(name).isNull(), f"missing {name}") for name in required]
-    problems.append(F.when(email.isNull(), "claimant_email has no user part"))
-    return claims.select(
+    no_user = pii.at_sign(F.col("claimant_email")) == 1
+    problems.append(F.when(no_user, "claimant_email has no user part"))
+    return prepared.select(
         *[F.col(name) for name in _KEPT],
         *[column.alias(name) for name, column in null_defaults().items()],
         pii.hash_ppsn(F.col("claimant_ppsn"), salt).alias("claimant_ppsn_hash"),
         pii.ppsn_valid(F.col("claimant_ppsn"), ppsn_pattern).alias("ppsn_format_valid"),
         pii.mask_name(F.col("claimant_name"), mask).alias("claimant_name_masked"),
-        email.alias("claimant_email_masked"),
+        email,
         pii.mask_phone(F.col("claimant_phone"), mask).alias("claimant_phone_masked"),
         pii.county(F.col("loss_location")).alias("loss_county"),
         pii.routing_key(F.col("eircode")).alias("eircode_routing_key"),
-        pii.sanitize_narrative(F.col("incident_description")).alias("incident_description_clean"),
-        redaction_actions().alias("redaction_actions"),
+        narrative,
+        redaction_actions(narrative).alias("redaction_actions"),
         F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("governance_timestamp"),
         ledger.alias("ledger"),
         *items,

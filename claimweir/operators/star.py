@@ -3,6 +3,7 @@
 Every function takes silver as a table that is cheap to read several times, that is, one already written.
 """
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -247,10 +248,15 @@ def build_star(
     small_rows: int = SMALL_ROWS,
     hot_rows: int | None = None,
 ) -> Star:
-    geography = dim_geography(silver, small_rows)
-    incident = dim_incident_classification(silver, small_rows)
-    policy = dim_policy(silver, small_rows)
-    claimant = dim_claimant(silver, small_rows, one_row_per_hash)
+    builders = [
+        lambda: dim_geography(silver, small_rows),
+        lambda: dim_incident_classification(silver, small_rows),
+        lambda: dim_policy(silver, small_rows),
+        lambda: dim_claimant(silver, small_rows, one_row_per_hash),
+    ]
+    # Four independent sets of jobs, submitted together.
+    with ThreadPoolExecutor(len(builders)) as pool:
+        geography, incident, policy, claimant = pool.map(lambda build: build(), builders)
     joined = _joined(silver, geography, incident, policy, claimant, small_rows, hot_rows)
     order = ["claim_id", "claimant_key", "policy_key", "ingestion_id"]
     wide = number_rows(joined, order, "claim_key", small_rows).withColumns(

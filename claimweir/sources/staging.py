@@ -29,3 +29,12 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     path = staging_path(spark, name)
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores, dealt out to all of them.
+
+    One small file is one task, whatever work follows. Tables with enough splits are returned as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

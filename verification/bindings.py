@@ -12,7 +12,7 @@ from claimweir.operators.quality import RuleSettings, evaluate, to_quarantine, t
 from claimweir.operators.retrieval import Query, VectorQuery, build_index, search
 from claimweir.operators.retrieval import citations as area_citations
 from claimweir.operators.star import Star, build_star
-from claimweir.sources.staging import stage
+from claimweir.sources.staging import spread, stage
 
 # A made-up key for test data, not a secret.
 SALT = "bench-salt-for-test-tables"
@@ -33,7 +33,7 @@ def at() -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _pick(words: str, index: Column) -> Column:

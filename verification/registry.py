@@ -149,7 +149,7 @@ _from_headers(
 )
 _from_headers(
     "redaction_actions",
-    lambda: {"redaction_actions": F.array_join(redaction_actions(), ", ")},
+    lambda: {"redaction_actions": F.array_join(redaction_actions(pii.sanitize_narrative(c("incident_description"))), ", ")},
     f"""concat_ws(', ', CASE WHEN claimant_ppsn IS NOT NULL THEN 'PSEUDONYMIZED_IRISH_PPSN' END,
         CASE WHEN claimant_name IS NOT NULL THEN 'MASKED_CLAIMANT_NAME' END,
         CASE WHEN claimant_email IS NOT NULL THEN 'MASKED_CLAIMANT_EMAIL' END,
@@ -240,10 +240,11 @@ DECLARED_RULES = [
     {"id": fixed.RULE_LEDGER, "severity": "HIGH", "rounding_tolerance_eur": 0.02},
     {"id": fixed.RULE_METADATA, "severity": "MEDIUM"},
 ]
+s.layer("scored_as_declared", s.scored(60, ("EUR", "GBP", "CHF", "JPY"), "0.02"), "governed")
 register(
     "declared_rules",
     lambda spark, d: quality.promotion_summary(b.evaluated(spark, d, quality.RuleSettings.from_declarations(DECLARED_RULES))),
-    s.query("WITH scored AS (" + s.scored(60, ("EUR", "GBP", "CHF", "JPY"), "0.02") + f") {_PROMOTION}", "governed"),
+    s.query(_PROMOTION.replace("FROM scored", "FROM scored_as_declared"), "scored_as_declared"),
 )
 
 # --- 2.5 star -----------------------------------------------------------------------------------------------------
@@ -286,13 +287,18 @@ register(
         "mart",
     ),
 )
+s.layer(
+    "least_claimants",
+    "SELECT row_number() OVER (ORDER BY claimant_ppsn_hash) AS claimant_key, claimant_ppsn_hash"
+    " FROM (SELECT DISTINCT claimant_ppsn_hash FROM silver)",
+    "silver",
+)
 register(
     "fact_claims_one_row_per_claimant",
     lambda spark, d: b.star(spark, d, one_row_per_hash=True).fact_claims,
     s.query(
-        "WITH least AS (SELECT row_number() OVER (ORDER BY claimant_ppsn_hash) AS claimant_key, claimant_ppsn_hash"
-        " FROM (SELECT DISTINCT claimant_ppsn_hash FROM silver)) " + s.fact("least"),
-        "dim_date", "dim_geography", "dim_incident_classification", "dim_policy",
+        s.fact("least_claimants"),
+        "dim_date", "dim_geography", "dim_incident_classification", "dim_policy", "least_claimants",
     ),
 )
 

@@ -304,7 +304,7 @@ layer(
 )
 layer(
     "norms",
-    "SELECT chunk_id, sum(weight * weight) AS square FROM terms GROUP BY chunk_id",
+    "SELECT chunk_id, sum(cast(weight AS DECIMAL(19,6)) * cast(weight AS DECIMAL(19,6))) AS square FROM terms GROUP BY chunk_id",
     "terms",
 )
 
@@ -335,12 +335,12 @@ def hits(prefix: str, top_k: int) -> None:
     FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, chunk_id) AS rank
           FROM (SELECT query, chunk_id,
                        cast(product AS DOUBLE) / sqrt(cast(query_square AS DOUBLE) * cast(square AS DOUBLE)) AS cosine
-                FROM (SELECT query, chunk_id, sum(weight * query_weight) AS product
+                FROM (SELECT query, chunk_id, sum(cast(weight AS DECIMAL(19,6)) * cast(query_weight AS DECIMAL(19,6))) AS product
                       FROM terms JOIN {prefix}_weights USING (token)
                       WHERE wanted IS NULL OR wanted = section_number
                       GROUP BY query, chunk_id)
                 JOIN norms USING (chunk_id)
-                JOIN (SELECT query, sum(query_weight * query_weight) AS query_square
+                JOIN (SELECT query, sum(cast(query_weight AS DECIMAL(19,6)) * cast(query_weight AS DECIMAL(19,6))) AS query_square
                       FROM {prefix}_weights GROUP BY query) USING (query)))
     JOIN chunks c USING (chunk_id)
     WHERE rank <= {top_k}
