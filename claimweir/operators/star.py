@@ -204,6 +204,54 @@ class Star:
         return dict(self.__dict__)
 
 
+def _dated(silver: DataFrame) -> DataFrame:
+    """Silver with real dates and without the columns that no gold table has."""
+    dates = {name: date_of(F.col(name)) for name in ("filing_date", "incident_date")}
+    unused = [*CLAIMANT[1:], "incident_description_clean", "statutory_attestation", "governance_status"]
+    return silver.withColumns(dates).dropna(subset=list(dates)).drop(*unused)
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """The measures and flags of the fact table under their names there."""
+    return rows.withColumns(
+        {
+            "gross_loss_amount": F.col("total_loss_amount"),
+            "deductible_amount": F.col("total_deductible"),
+            "net_claimed_amount": F.col("total_net_claimed"),
+            "is_timely_sla_compliant": timely_flag(F.col("days_to_notify")),
+            "is_major_dora_incident": is_major(F.col("dora_classification")).cast("int"),
+        }
+    )
+
+
+def unnumbered_mart(
+    silver: DataFrame, small_rows: int = SMALL_ROWS, hot_rows: int | None = None
+) -> DataFrame:
+    """The rows of the mart without claim_key and load time, for measures that need neither.
+
+    Everything a dimension adds is a function of the claim itself, so that only the claimants are joined: they can
+    repeat a claim. The rest of the dimension joins comes down to dropping rows with a null key. Silver has one
+    governance status, hence one row per policy.
+    """
+    people = silver.select(*CLAIMANT).distinct().select(
+        "claimant_ppsn_hash",
+        "claimant_name_masked",
+        F.split_part("claimant_email_masked", F.lit("@"), F.lit(2)).alias("email_domain"),
+    )
+    keyed = _dated(silver).dropna(subset=[*GEOGRAPHY, *INCIDENT, "policy_number"])
+    rows = lookup_join(
+        keyed, people, ["claimant_ppsn_hash"], small_rows=small_rows, hot_rows=hot_rows
+    )
+    described = _measured(rows).withColumns(
+        {
+            "province": province(F.col("loss_county")),
+            "dora_regulatory_tier": regulatory_tier(F.col("dora_classification")),
+            "is_ict_related": is_ict(F.col("incident_type")),
+        }
+    )
+    return described.select(*[n for n in MART if n not in ("claim_key", "gold_load_timestamp")])
+
+
 def _joined(
     silver: DataFrame,
     geography: DataFrame,
@@ -217,16 +265,7 @@ def _joined(
 
     A date key is a function of the date, so both date lookups come down to dropping rows without a date.
     """
-    dated = silver.withColumns(
-        {
-            "filing_date": date_of(F.col("filing_date")),
-            "incident_date": date_of(F.col("incident_date")),
-        }
-    ).filter(F.col("filing_date").isNotNull() & F.col("incident_date").isNotNull())
-    dated = dated.drop(
-        "claimant_name_masked", "claimant_email_masked", "claimant_phone_masked",
-        "incident_description_clean", "statutory_attestation", "governance_status",
-    )
+    dated = _dated(silver)
 
     def to(facts, lookup, on):
         return lookup_join(facts, lookup, on, small_rows=small_rows, hot_rows=hot_rows)
@@ -259,15 +298,10 @@ def build_star(
         geography, incident, policy, claimant = pool.map(lambda build: build(), builders)
     joined = _joined(silver, geography, incident, policy, claimant, small_rows, hot_rows)
     order = ["claim_id", "claimant_key", "policy_key", "ingestion_id"]
-    wide = number_rows(joined, order, "claim_key", small_rows).withColumns(
+    wide = _measured(number_rows(joined, order, "claim_key", small_rows)).withColumns(
         {
             "filing_date_key": date_key(F.col("filing_date")),
             "incident_date_key": date_key(F.col("incident_date")),
-            "gross_loss_amount": F.col("total_loss_amount"),
-            "deductible_amount": F.col("total_deductible"),
-            "net_claimed_amount": F.col("total_net_claimed"),
-            "is_timely_sla_compliant": timely_flag(F.col("days_to_notify")),
-            "is_major_dora_incident": is_major(F.col("dora_classification")).cast("int"),
             "gold_load_timestamp": F.current_timestamp() if loaded_at is None else loaded_at,
         }
     )

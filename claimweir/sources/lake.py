@@ -16,11 +16,15 @@ from claimweir.sources.staging import stage
 _BROKEN = "_corrupt_record"
 
 
+def _missing(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, kind: str) -> DataFrame:
     try:
         return spark.read.schema(schema).format(kind).load(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if not _missing(error):
             raise
         return spark.createDataFrame([], schema)
 
@@ -34,9 +38,14 @@ def _binary_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 
 def scan_inbound(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
-    """Inbound files by name. Contents are not read."""
+    """Inbound files by name. Contents are not read; a folder that does not exist has no files."""
     name = F.element_at(F.split("path", "/"), -1)
-    files = _binary_files(spark, folder, pattern)
+    try:
+        files = _binary_files(spark, folder, pattern)
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
+        files = spark.createDataFrame([], "path string, length long")
     return files.select(
         name.alias("file_name"), F.col("path").alias("file_path"), F.col("length").alias("bytes")
     ).orderBy("file_name", "file_path")

@@ -306,7 +306,12 @@ register(
 
 
 def _mart(spark, d):
-    return b.star(spark, d).claims_analytical_mart
+    """What the measures need of the mart."""
+    return star.unnumbered_mart(stage(b.silver(spark, d), "silver"))
+
+
+_UNNUMBERED = [n for n in star.MART if n not in ("claim_key", "gold_load_timestamp")]
+register("unnumbered_mart", _mart, s.query(f"SELECT {', '.join(_UNNUMBERED)} FROM mart", "mart"))
 
 
 _NET, _GROSS, _DED = (s.exact_sum(n) for n in ("net_claimed_amount", "gross_loss_amount", "deductible_amount"))
@@ -839,10 +844,19 @@ register("append_adjudications", _log, s.query("SELECT * FROM decisions UNION AL
 
 def _tiers(spark, d):
     _, target = _lake_cycle(spark, d)
-    return tier_status(spark, target).filter("tier <> 'raw'")
+    return tier_status(spark, target)
 
 
-register("tier_status", _tiers)
+register(
+    "tier_status",
+    _tiers,
+    s.query(
+        """SELECT 'raw' AS tier, 0 AS records UNION ALL SELECT 'bronze', count(*) FROM text_gate
+           UNION ALL SELECT 'silver', count(*) FROM text_gate WHERE is_valid
+           UNION ALL SELECT 'quarantine', count(*) FROM text_gate WHERE NOT is_valid UNION ALL SELECT 'gold', 0""",
+        "text_gate",
+    ),
+)
 
 
 def _kpi_document(spark, d):
