@@ -11,8 +11,8 @@ MOST_HOT_KEYS = 10_000
 
 
 def is_small(table: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """Whether a table has at most so many rows; stops counting beyond that."""
-    return table.limit(rows + 1).count() <= rows
+    """Whether a table has at most so many rows. Every task sends one number, and a written table has it in its footers."""
+    return table.count() <= rows
 
 
 def hot_keys(table: DataFrame, on: list[str], least_rows: int) -> DataFrame:
@@ -28,19 +28,22 @@ def lookup_join(
     small_rows: int = SMALL_ROWS,
     hot_rows: int | None = None,
     copies: int = 64,
+    heat: DataFrame | None = None,
 ) -> DataFrame:
     """Join facts to a lookup table (inner or left), both of them cheap to read twice.
 
     Up to small_rows the lookup is broadcast. Beyond that both sides shuffle on the key, and every key that owns more
     than one part in MOST_HOT_KEYS of the facts is cut into several partitions: its facts get a number by their own
     content, its lookup rows one copy per number. Facts without a key spread in the same way. There can be no more than MOST_HOT_KEYS such keys, so the list of
-    them is small whatever the data.
+    them is small whatever the data. `heat` is a table to count the keys in when facts are dear to read again; it has to
+    hold the facts' rows before earlier joins.
     """
     if is_small(lookup, small_rows):
         return facts.join(F.broadcast(lookup), on, how)
+    counted = facts if heat is None else heat
     if hot_rows is None:
-        hot_rows = max(1_000_000, facts.count() // MOST_HOT_KEYS)
-    hot = hot_keys(facts, on, hot_rows).withColumn("_hot", F.lit(True))
+        hot_rows = max(1_000_000, counted.count() // MOST_HOT_KEYS)
+    hot = hot_keys(counted, on, hot_rows).withColumn("_hot", F.lit(True))
     part = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(copies)).cast("int")
     no_key = reduce(or_, [F.col(c).isNull() for c in on])
     spread_facts = facts.join(F.broadcast(hot), on, "left").withColumn(

@@ -84,17 +84,15 @@ def term_rarity(counts: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def build_index(chunks: DataFrame, small_rows: int = SMALL_ROWS) -> TermIndex:
+    """Weights and lengths of all chunks, written once so that searches only read them."""
     counts = stage(term_counts(chunks), "term_counts")
     rarity = stage(term_rarity(counts, chunks), "term_rarity")
     weighted = lookup_join(counts, rarity, ["token"], small_rows=small_rows)
-    terms = weighted.select(
-        "chunk_id",
-        "section_number",
-        "token",
-        (F.col("times") * F.col("rarity")).cast(_WEIGHT).alias("weight"),
-    )
+    weight = (F.col("times") * F.col("rarity")).cast(_WEIGHT)
+    columns = ["chunk_id", "section_number", "token", weight.alias("weight")]
+    terms = stage(weighted.select(*columns), "term_weights")
     squares = F.sum(F.col("weight") * F.col("weight")).cast("decimal(38,12)")
-    norms = terms.groupBy("chunk_id").agg(squares.alias("square"))
+    norms = stage(terms.groupBy("chunk_id").agg(squares.alias("square")), "chunk_lengths")
     return TermIndex(chunks, terms, rarity, norms)
 
 

@@ -240,7 +240,7 @@ def unnumbered_mart(
     )
     keyed = _dated(silver).dropna(subset=[*GEOGRAPHY, *INCIDENT, "policy_number"])
     rows = lookup_join(
-        keyed, people, ["claimant_ppsn_hash"], small_rows=small_rows, hot_rows=hot_rows
+        keyed, people, ["claimant_ppsn_hash"], small_rows=small_rows, hot_rows=hot_rows, heat=silver
     )
     described = _measured(rows).withColumns(
         {
@@ -268,7 +268,9 @@ def _joined(
     dated = _dated(silver)
 
     def to(facts, lookup, on):
-        return lookup_join(facts, lookup, on, small_rows=small_rows, hot_rows=hot_rows)
+        return lookup_join(
+            facts, lookup, on, small_rows=small_rows, hot_rows=hot_rows, heat=silver
+        )
 
     joined = to(dated, geography.drop("country"), GEOGRAPHY)
     joined = to(joined, incident, INCIDENT)

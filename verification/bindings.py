@@ -346,8 +346,9 @@ def example_queries(spark: SparkSession, sf_dir: str, same_section: bool) -> lis
         .groupBy("section_number")
         .agg(F.min_by("embedding", "vec_id").alias("vector"))
         .orderBy("section_number")
-        .limit(MOST_EXAMPLES)
+        .limit(MOST_EXAMPLES + 1)
+        .collect()
     )
-    return [
-        VectorQuery(f"label_{r[0]}", r[1], r[0] if same_section else None) for r in examples.collect()
-    ]
+    if len(examples) > MOST_EXAMPLES:
+        raise ValueError("too many labels to query by example at once")
+    return [VectorQuery(f"label_{r[0]}", r[1], r[0] if same_section else None) for r in examples]
