@@ -1,4 +1,6 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Registered queries against their SQL on the smallest tables: some of every kind, or all with ALL_QUERIES=1."""
+
+import os
 
 import duckdb
 import pytest
@@ -16,7 +18,36 @@ def con(sf):
     return connection
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+SOME = [
+    "extract_claims",
+    "extract_line_items",
+    "ingestion_statistics",
+    "govern",
+    "redaction_actions",
+    "check_report",
+    "gate",
+    "quarantine",
+    "declared_rules",
+    "dim_date",
+    "analytical_mart",
+    "number_ranges",
+    "kpi_summary",
+    "net_amount_mtd",
+    "latency_histogram",
+    "chunk_documents",
+    "search_text",
+    "search_vectors_in_section",
+    "audit_findings",
+    "audit_ledger",
+    "quarantine_register",
+    "apply_adjudications",
+    "write_bronze",
+    "upsert_chunks",
+    "scan_inbound",
+]
+
+
+@pytest.mark.parametrize("name", list(QUERIES) if os.environ.get("ALL_QUERIES") else SOME)
 def test_query(spark, con, sf, name):
     same, _, _, note = compare(spark, con, sf, name)
     assert same, note
