@@ -43,3 +43,9 @@ def find(text: Column, pattern: str, group: int = 1, flags: str = "U") -> Column
 def money_text(amount: Column) -> Column:
     """A two-decimal amount as shortest text with at least one decimal: 300.00 -> 300.0, 300.25 -> 300.25."""
     return F.regexp_replace(amount.cast("decimal(18,2)").cast("string"), "0$", "")
+
+
+def utc_text(stamp: Column) -> Column:
+    """An instant as ISO text in UTC, whatever the time zone of the session."""
+    shifted = F.to_utc_timestamp(stamp, F.current_timezone())
+    return F.concat(F.date_format(shifted, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))

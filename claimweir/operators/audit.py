@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweir import fixed, schemas
-from claimweir.functions.text import strip
+from claimweir.functions.text import strip, utc_text
 
 _BREACH, _WARNING, _COMPLIANT = "BREACH", "WARNING", "COMPLIANT"
 
@@ -180,7 +180,7 @@ def audit(
         .cast(schemas.AUDIT_REPORT["findings"].dataType)
         .alias("findings"),
         cited.alias("regulatory_citations_cited"),
-        F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("audit_timestamp"),
+        utc_text(stamp).alias("audit_timestamp"),
         summary.alias("supervisory_summary"),
     )
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweir import fixed, schemas
-from claimweir.functions.text import filled, find, strip
+from claimweir.functions.text import filled, find, strip, utc_text
 
 _P = fixed.DOSSIER_PATTERNS
 _TRIPLE = rf"{fixed.MONEY}\s+{fixed.MONEY}\s+{fixed.MONEY}"
@@ -140,7 +140,7 @@ def create_envelopes(claims: DataFrame, ingested_at: Column | None = None) -> Da
         F.col("file_path").alias("source_file_path"),
         F.octet_length("content").cast("long").alias("source_file_size_bytes"),
         F.sha2("content", 256).alias("source_file_sha256"),
-        F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("ingestion_timestamp"),
+        utc_text(stamp).alias("ingestion_timestamp"),
         F.lit(fixed.EXTRACTION_METHOD).alias("extraction_method"),
         F.lit(fixed.EXTRACTION_VERSION).alias("model_version"),
         payload.alias("extracted_payload"),

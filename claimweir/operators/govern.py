@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from claimweir import fixed
 from claimweir.functions import pii
 from claimweir.functions.money import exact
-from claimweir.functions.text import filled
+from claimweir.functions.text import filled, utc_text
 
 _KEPT = [
     "claim_id",
@@ -140,7 +140,7 @@ def govern(
         pii.routing_key(F.col("eircode")).alias("eircode_routing_key"),
         narrative,
         redaction_actions(narrative).alias("redaction_actions"),
-        F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("governance_timestamp"),
+        utc_text(stamp).alias("governance_timestamp"),
         ledger.alias("ledger"),
         *items,
         filled(F.concat_ws("; ", *problems)).alias("governance_error"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from claimweir import fixed, schemas
 from claimweir.functions.money import exact
-from claimweir.functions.text import filled, is_blank, money_text
+from claimweir.functions.text import filled, is_blank, money_text, utc_text
 
 
 @dataclass(frozen=True)
@@ -184,7 +184,7 @@ def _tabular(evaluated: DataFrame, status: str, promoted_at: Column | None, *ext
     stamp = F.current_timestamp() if promoted_at is None else promoted_at
     made = {
         "num_line_items": F.col("ledger.items"),
-        "lakehouse_promotion_timestamp": F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"),
+        "lakehouse_promotion_timestamp": utc_text(stamp),
         "governance_status": F.lit(status),
     }
     columns = [

@@ -29,7 +29,7 @@ COUNTIES = (
 
 
 def at() -> Column:
-    return F.lit(AT).cast("timestamp")
+    return F.lit(f"{AT}+00:00").cast("timestamp")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
