@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+@cache
+def _letters() -> np.ndarray:
+    return np.array([chr(k).isalpha() for k in range(0x110000)])
 
 
 def letter_vectors(codes: np.ndarray, dimension: int, seed: int = 11) -> np.ndarray:
@@ -36,11 +40,14 @@ def gram_vectors(grams: np.ndarray, n: int, dimension: int) -> np.ndarray:
 
 def count_grams(text: str | None, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of the letters of a text in lower case, other characters being one space, and how often each occurs."""
-    letters = _NO_LETTERS.sub(" ", (text or "").lower()).strip()
-    if not letters:
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[codes]
+    if not letter.any():
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    codes = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    codes = np.pad(codes, (0, max(0, n - len(codes))), constant_values=32)
+    first = np.concatenate([[True], letter[:-1]])  # of several other characters the first stays, as a space
+    codes = np.where(letter, codes, 32)[letter | first]
+    space = np.array([32])
+    codes = np.concatenate([space[: int(codes[0] != 32)], codes, space[: int(codes[-1] != 32)], space.repeat(max(0, n - 2 - len(codes)))]).astype(np.uint64)
     grams = np.zeros(len(codes) - n + 1, np.uint64)
     for place in range(n):
         grams = (grams << np.uint64(21)) | codes[place : place + len(grams)]
@@ -54,7 +61,7 @@ class Profiles:
     n: int
 
 
-def learn_profiles(docs: DataFrame, n: int = 3, dimension: int = 1024) -> Profiles:
+def learn_profiles(docs: DataFrame, n: int = 3, dimension: int = 512) -> Profiles:
     """Bundle the n-gram vectors of all rows with text and lang (columns text, lang), every document at equal weight.
 
     Each task sums its documents' n-grams by language and sends one vector a language; the sums of a language's vectors come to
@@ -99,14 +106,17 @@ def detect_language(model: Profiles, text: str | Column) -> Column:
     @F.pandas_udf("lang string, score double")
     def nearest(texts: pd.Series) -> pd.DataFrame:
         names, scores = [], []
-        for k in range(0, len(texts), 256):
-            counted = [count_grams(t, model.n) for t in texts.iloc[k : k + 256]]
-            grams, at = np.unique(np.concatenate([g for g, _ in counted]), return_inverse=True)
-            weights = np.zeros((len(counted), len(grams)), np.float32)
-            weights[np.repeat(np.arange(len(counted)), [len(g) for g, _ in counted]), at] = np.concatenate([c for _, c in counted])
+        for k in range(0, len(texts), 1024):
+            counted = [count_grams(t, model.n) for t in texts.iloc[k : k + 1024]]
+            grams = np.unique(np.concatenate([g for g, _ in counted]))
             bundles = np.zeros((len(counted), dimension), np.float32)
-            for j in range(0, len(grams), 4096):
-                bundles += weights[:, j : j + 4096] @ gram_vectors(grams[j : j + 4096], model.n, dimension)
+            for j in range(0, len(grams), 16384):  # so many n-gram vectors at a time
+                slice_ = grams[j : j + 16384]
+                vectors = gram_vectors(slice_, model.n, dimension)
+                for bundle, (own, counts) in zip(bundles, counted, strict=True):
+                    low, high = np.searchsorted(own, (slice_[0], slice_[-1]), side="left")
+                    high += high < len(own) and own[high] == slice_[-1]
+                    bundle += counts[low:high].astype(np.float32) @ vectors[np.searchsorted(slice_, own[low:high])]
             norms = np.linalg.norm(bundles, axis=1)
             for row, norm, (own, _) in zip(bundles, norms, counted, strict=True):
                 if not len(own) or not len(model.names):
