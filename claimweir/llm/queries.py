@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweir.llm.jaccard_join import jaccard_join
 from claimweir.llm.kd_shards import kd_shards
 from claimweir.llm.langid import detect_language, learn_profiles
 from claimweir.llm.quality import AT_QUANTILE, quality_score, train_ranking
@@ -45,10 +46,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), F.col("f.score").alias("score"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the class of texts linked by 4-word shingles at a similarity of 0.85 or more."""
+    return jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_toxicity": op4_toxicity,
     "op6_kd_shards": op6_kd_shards,
     "op8_language": op8_language,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
