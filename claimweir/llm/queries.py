@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweir.llm.decontaminate import find_leaks, leak_indexes
 from claimweir.llm.jaccard_join import jaccard_join
 from claimweir.llm.kd_shards import kd_shards
 from claimweir.llm.langid import detect_language, learn_profiles
+from claimweir.llm.pages import page_text
 from claimweir.llm.quality import AT_QUANTILE, quality_score, train_ranking
 from claimweir.llm.shared import fold, table
 from claimweir.llm.toxicity import severity, train_severity
@@ -32,6 +34,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return page_text(table(spark, sf_dir, "pages"))
+
+
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of nearly equal bytes."""
     sharded = kd_shards(table(spark, sf_dir, "documents"), shards=8)
@@ -46,6 +53,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), F.col("f.score").alias("score"))
 
 
+def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item of which it holds 80 % of the 5-word shingles or more."""
+    return find_leaks(table(spark, sf_dir, "documents"), leak_indexes(table(spark, sf_dir, "benchmark")))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the class of texts linked by 4-word shingles at a similarity of 0.85 or more."""
     return jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
@@ -54,8 +66,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_toxicity": op4_toxicity,
+    "op5_page_text": op5_page_text,
     "op6_kd_shards": op6_kd_shards,
     "op8_language": op8_language,
+    "op9_leaks": op9_leaks,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
