@@ -11,6 +11,7 @@ from claimweir.llm.decontaminate import find_leaks, leak_indexes
 from claimweir.llm.jaccard_join import jaccard_join
 from claimweir.llm.kd_shards import kd_shards
 from claimweir.llm.langid import detect_language, learn_profiles
+from claimweir.llm.packing import pack
 from claimweir.llm.pages import page_text
 from claimweir.llm.quality import AT_QUANTILE, quality_score, train_ranking
 from claimweir.llm.shared import fold, table
@@ -25,6 +26,21 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= AT_QUANTILE).cast("int"))
 
 
+#: The tokenizer file of op3_packing and of the pipeline.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens, every sequence with the sources' mixture of the corpus."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity (0 to 2), likeliest grade and verdict of all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -65,6 +81,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_page_text": op5_page_text,
     "op6_kd_shards": op6_kd_shards,
