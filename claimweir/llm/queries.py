@@ -11,6 +11,7 @@ from claimweir.llm.decontaminate import find_leaks, leak_indexes
 from claimweir.llm.jaccard_join import jaccard_join
 from claimweir.llm.kd_shards import kd_shards
 from claimweir.llm.langid import detect_language, learn_profiles
+from claimweir.llm.lm import score_texts
 from claimweir.llm.packing import pack
 from claimweir.llm.pages import page_text
 from claimweir.llm.quality import AT_QUANTILE, quality_score, train_ranking
@@ -61,6 +62,12 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all documents, learned from documents whose fold of 7 is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
+    return score_texts(docs, docs.filter("NOT held_out"), keep=("held_out",))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents; profiles are learned from documents whose fold of 3 is not 1."""
     docs = table(spark, sf_dir, "documents")
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_page_text": op5_page_text,
     "op6_kd_shards": op6_kd_shards,
+    "op7_backoff_lm": op7_backoff_lm,
     "op8_language": op8_language,
     "op9_leaks": op9_leaks,
     "op10_jaccard_join": op10_jaccard_join,
