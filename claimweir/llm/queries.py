@@ -12,6 +12,7 @@ from claimweir.llm.jaccard_join import jaccard_join
 from claimweir.llm.kd_shards import kd_shards
 from claimweir.llm.langid import detect_language, learn_profiles
 from claimweir.llm.lm import score_texts
+from claimweir.llm.neardup import near_duplicates
 from claimweir.llm.packing import pack
 from claimweir.llm.pages import page_text
 from claimweir.llm.quality import AT_QUANTILE, quality_score, train_ranking
@@ -19,6 +20,11 @@ from claimweir.llm.shared import fold, table
 from claimweir.llm.toxicity import severity, train_severity
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with their links of cosine 0.98 or more to vectors of the same label."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; labels are learned from documents whose fold of 4 is not 2."""
     docs = table(spark, sf_dir, "documents")
@@ -87,6 +93,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
