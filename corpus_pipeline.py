@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweir.llm.queries import table
+from claimweir.llm.decontaminate import leak_indexes, without_leaks
+from claimweir.llm.jaccard_join import jaccard_join
+from claimweir.llm.packing import pack
 from claimweir.llm.quality import AT_QUANTILE, quality_score, train_ranking
+from claimweir.llm.queries import tokenizer_path
+from claimweir.llm.shared import Scratch, table
 from claimweir.llm.toxicity import severity, train_severity
 
 
@@ -21,17 +25,37 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(~severity(model, "text")["toxic"])
 
 
-STAGES = [("quality", quality), ("toxicity", toxicity)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 5-word shingles at 0.8 or more, the one with the smallest id; documents without an id stay."""
+    repeats = jaccard_join(docs, k=5, num=8, den=10).filter("doc_id <> component_id").select("doc_id")
+    return docs.join(repeats, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without_leaks(docs, leak_indexes(table(spark, sf_dir, "benchmark")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in sequences of 2,048 tokens with the sources' mixture."""
+    return pack(docs, tokenizer_path(), window=2048, end_id=1)
+
+
+STAGES = [
+    ("quality", quality),
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+#: Models are trained and tokens counted on the way, which SQL does not express; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each stage's result is written before the next one reads it."""
-    from claimweir.llm.shared import Scratch
-
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        kept = scratch.write(stage(spark, docs, sf_dir))
-        docs = kept
+        docs = scratch.write(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
