@@ -30,6 +30,8 @@ PLACE_BITS = 27
 #: A shingle of more documents counts as frequent and comes last in the order.
 FREQUENT = 64
 ID_BITS = 1 << 24
+#: Bits of a parity sketch: bit h holds whether a set has an odd number of shingles with hash h.
+PARITY_BITS = 1024
 #: Rounds in which each list is compared with one of its sets, before what is still apart is compared pair by pair.
 ROUNDS = 3
 
@@ -84,6 +86,12 @@ def tokens_of(shingles: np.ndarray, boundary: int, num: int, den: int, shared: n
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def parity_of(shingles: np.ndarray) -> bytes:
+    """A sketch in which two sets differ in at most as many bits as there are shingles in just one of them."""
+    counts = np.bincount((mixed(shingles) >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(bool)).tobytes()
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Link texts whose sets of k-word shingles have a Jaccard similarity of num / den or more, compared in whole numbers.
 
@@ -94,8 +102,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_co
 
     Texts with equal sets become one before anything is compared. Each token's list is then compared with one of its sets in
     each of three rounds, and linked sets are merged into components, which settles a list of copies by as many comparisons as it has sets;
-    what still lies in different components of a list is compared pair by pair. No list is cut. Every comparison is of whole
-    sets. Components are all that is returned, so a pair known to be connected need not be compared.
+    what still lies in different components of a list is compared pair by pair. No list is cut. Pairs whose parity sketches
+    already differ in more bits than similar sets may have shingles of one side are dropped; the whole sets of the others are
+    made again from the texts and compared. Components are all that is returned, so a pair known to be connected need not be
+    compared.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -127,17 +137,18 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_co
                 offsets = np.cumsum([0] + [len(t) for t in tokens]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists], names=["id", "n", "f1", "f2", "tokens"]
+                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists, pa.array([parity_of(s) for s in sets], pa.binary())],
+                    names=["id", "n", "f1", "f2", "tokens", "parity"],
                 )
 
-    signed = scratch.write(texts.mapInArrow(signatures, "id long, n long, f1 long, f2 long, tokens array<long>"))
+    signed = scratch.write(texts.mapInArrow(signatures, "id long, n long, f1 long, f2 long, tokens array<long>, parity binary"))
     known = signed.filter("id IS NOT NULL AND n > 0")
-    classes = scratch.write(known.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "tokens")).alias("first")).select("n", "f1", "f2", F.col("first.id").alias("rep"), "first.tokens"))
+    classes = scratch.write(known.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "tokens", "parity")).alias("first")).select("n", "f1", "f2", F.col("first.id").alias("rep"), "first.tokens", "first.parity"))
 
     lists = classes.select(F.explode("tokens").alias("token"), "rep", "n")
     several = lists.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token")
     lists = scratch.write(lists.join(several, "token"))
-    sets = _sets(texts, lists, k, scratch)
+    parity = classes.select(F.col("rep").alias("id"), "n", "parity")
 
     linked = None
     at = None
@@ -153,7 +164,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_co
             pairs = here.join(here.select("token", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs")), "token").filter("rep < other")
         pairs = pairs.filter((F.col("component") != F.col("theirs")) & (den * F.least("n", "m") >= num * F.greatest("n", "m")))
         pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        found = scratch.write(_similar(pairs, sets, num, den))
+        close = scratch.write(_close(pairs, parity, num, den))
+        found = scratch.write(_similar(close, _sets(texts, close, k), num, den))
         linked = found if linked is None else linked.unionByName(found)
         at = scratch.write(components(linked, Scratch(spark, "jaccard-components")))
 
@@ -162,20 +174,36 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_co
     return whole.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _sets(texts: DataFrame, lists: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """Whole sets (id, shingles as bytes) of the documents that lists name; a bit array spares most other documents."""
-    wanted = lists.select(F.col("rep").alias("id")).distinct()
-    named = texts.sparkSession.sparkContext.broadcast(bit_array(wanted.select(F.pmod("id", F.lit(ID_BITS)).alias("place")), ID_BITS))
+def _close(pairs: DataFrame, parity: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose parity sketches allow them to be similar."""
+
+    def compare(batches):
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            mine, theirs = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PARITY_BITS // 8) for i in (4, 5))
+            apart = np.bitwise_count(mine ^ theirs).sum(1, dtype=np.int64)
+            keep = pa.array(apart * (num + den) <= (den - num) * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    first = parity.select(F.col("id").alias("a"), "n", F.col("parity").alias("mine"))
+    second = parity.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("parity").alias("theirs"))
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "mine", "theirs")
+    return both.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _sets(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """Whole sets (id, shingles as bytes) of the documents in pairs, and of few others: ids are looked up in a bit array."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.pmod("id", F.lit(ID_BITS)).alias("place"))
+    named = texts.sparkSession.sparkContext.broadcast(bit_array(wanted, ID_BITS))
 
     def sets(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = np.array([i for i, v in enumerate(ids) if v == v and v is not None and has_bit(named.value, np.array([int(v) % ID_BITS]))[0]], np.int64)
-            batch = batch.take(pa.array(rows))
+            rows = pa.array(has_bit(named.value, batch.column(0).to_numpy() % ID_BITS))
+            batch = batch.filter(rows)
             found = shingle_sets(batch.column(1).to_pylist(), k, True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "shingles"])
 
-    return scratch.write(texts.mapInArrow(sets, "id long, n long, shingles binary").filter("n > 0").join(wanted, "id", "left_semi").select("id", "shingles"))
+    return texts.filter("id IS NOT NULL").mapInArrow(sets, "id long, shingles binary")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

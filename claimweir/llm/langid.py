@@ -82,7 +82,7 @@ def learn_profiles(docs: DataFrame, n: int = 3, dimension: int = 512) -> Profile
             grams, weights = np.fromiter(own, np.uint64, len(own)), np.fromiter(own.values(), np.float64, len(own))
             for k in range(0, len(grams), 4096):
                 total += weights[k : k + 4096] @ gram_vectors(grams[k : k + 4096], n, dimension)
-            yield pd.DataFrame({"lang": lang, "at": np.arange(dimension, dtype=np.int32), "value": total})
+            yield pd.DataFrame({"lang": pd.Series([lang] * dimension, dtype=object), "at": np.arange(dimension, dtype=np.int32), "value": total})
 
     known = docs.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     parts = known.mapInPandas(bundle, "lang string, at int, value double")
@@ -127,6 +127,6 @@ def detect_language(model: Profiles, text: str | Column) -> Column:
                 best = int(np.argmax(cosines))
                 names.append(model.names[best])
                 scores.append(float(np.clip((1 + cosines[best]) / 2, 0, 1)))
-        return pd.DataFrame({"lang": names, "score": scores})
+        return pd.DataFrame({"lang": pd.Series(names, dtype=object), "score": scores})
 
     return nearest(text)

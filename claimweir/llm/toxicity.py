@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweir.llm.quality import labelled_texts
+from claimweir.llm.shared import Scratch
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -86,14 +88,15 @@ def fit_severity(
     return p[:width], p[width] + np.concatenate([[0.0], np.cumsum(np.exp(p[width + 1 :]))])
 
 
-def train_severity(docs: DataFrame, labels: DataFrame, grades: int = 3, bound: int = 20_000, features: int = 2_048, least_rows: int = 5) -> Severity:
+def train_severity(docs: DataFrame, labels: DataFrame, grades: int = 3, bound: int = 20_000, features: int = 2_048) -> Severity:
     """Fit on at most `bound` rows of labels (doc_id, toxic 0/1) joined with docs (doc_id, text).
 
     Labels only tell toxic from clean, so grades above 0 are derived: a toxic document's grade is 1 plus the number of the
     quantile its count of telling words falls into, among toxic documents (ties share the lower grade). Telling features are
-    those of at least `least_rows` toxic documents whose share of toxic documents, after smoothing, is far above the share
-    among all (log-odds over 2); at most `features` of them are kept, the strongest first, ties by name. Feature counts are
-    summed on the executors; the driver gets the kept features, and of each chosen document the counts of kept features only.
+    those that toxic documents hold so much more often than chance allows that not one of all features is expected to do so by
+    luck (the likelihood ratio exceeds the number of features); at most `features` of them are kept, the strongest first, ties
+    by name. Feature counts are summed on the executors; the driver gets the kept features, and of each chosen document the
+    counts of kept features only.
     Other label values than 0 and 1 are not used. Without toxic rows everything is clean.
     """
     known = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -105,21 +108,17 @@ def train_severity(docs: DataFrame, labels: DataFrame, grades: int = 3, bound: i
             for text, toxic in zip(part["text"], part["toxic"], strict=True):
                 for k in features_of(text):
                     sums.setdefault(k, [0, 0])[toxic] += 1
-        yield pd.DataFrame({"feature": list(sums), "clean": [c for c, _ in sums.values()], "toxic": [t for _, t in sums.values()]}).astype({"clean": "int64", "toxic": "int64"})
+        yield pd.DataFrame({"feature": pd.Series(list(sums), dtype=object), "clean": [c for c, _ in sums.values()], "toxic": [t for _, t in sums.values()]}).astype({"clean": "int64", "toxic": "int64"})
 
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
-    odds = F.log((F.col("toxic") + 0.1) / F.lit(n_toxic + 1.0)) - F.log((F.col("clean") + 0.1) / F.lit(n_clean + 1.0))
-    telling = [
-        r["feature"]
-        for r in texts.mapInPandas(occurrences, "feature string, clean long, toxic long")
-        .groupBy("feature")
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .filter((F.col("toxic") >= least_rows) & (odds > 2))
-        .orderBy((odds * F.sqrt("toxic")).desc(), "feature")
-        .limit(features)
-        .collect()
-    ]
+    counted = texts.mapInPandas(occurrences, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = Scratch(docs.sparkSession, "toxicity").write(counted)
+    chance = min(max(n_toxic / max(n_toxic + n_clean, 1), 1e-6), 1 - 1e-6)
+    share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    evidence = F.col("toxic") * F.log(share / chance) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - chance))).otherwise(0.0)
+    strong = counted.filter((F.col("toxic") > 0) & (share > chance)).withColumn("evidence", evidence).filter(F.col("evidence") > math.log(max(counted.count(), 1)))
+    telling = [r["feature"] for r in strong.orderBy(F.col("evidence").desc(), "feature").limit(features).collect()]
     place = {k: i for i, k in enumerate(telling)}
 
     def sparse(batches):
