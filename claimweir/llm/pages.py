@@ -81,9 +81,11 @@ def page_lines(page: str | None) -> tuple[list[str], bool]:
         if token[2] or token[5]:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
-                    end_block()
                     del open_[k:]
-                    dropped, article = open_[-1][1:] if open_ else (False, False)
+                    outer = open_[-1][1:] if open_ else (False, False)
+                    if outer != (dropped, article):
+                        end_block()
+                    dropped, article = outer
                     break
             continue
         if name in _VOID:
