@@ -12,7 +12,7 @@ from claimweir.llm.shared import Scratch
 
 BINS = 1024
 #: A point weighs at most this share of a leaf; heavier groups of equal texts are cut into such parts.
-PART = 1 / 512
+PART = 1 / 100
 #: A median counts as found when the bin that holds it weighs less than this share of a leaf.
 EXACT = 1 / 2048
 
@@ -26,12 +26,12 @@ def kd_shards(
 ) -> DataFrame:
     """Put every row into one of `shards` leaves of nearly equal bytes (UTF-8 bytes of the text plus 1).
 
-    Points of the tree are groups of equal texts, so copies share a leaf unless their group outweighs 1/512 of a leaf; such
+    Points of the tree are groups of equal texts, so copies share a leaf unless their group outweighs 1/100 of a leaf; such
     groups are cut into parts of that size by a hash of the id. A group lies where the least of its members' values lie.
     Numbers are scaled to 0..1 over all rows, strings are hashed to 0..1, "size" is the logarithm of the bytes. Every median is
     found by sums over 1,024 bins a node, refined until the bin is light; ties on the dimension are cut by a hash of the
-    group. The driver sees bins, never rows. Groups lie between 0 and a leaf's 1/512, so leaves differ by less than a percent
-    once they hold thousands of rows.
+    group. The driver sees bins, never rows. No point outweighs 1/100 of a leaf,
+    so leaves differ by about a percent at most once they hold thousands of rows.
 
     Null text: 1 byte, grouped with empty texts. Null metadata count as 0. Repeated rows are placed and numbered each. An
     empty table gives an empty result. Other columns are ignored, whatever their names. Returns id, size, text_crc32, shard
