@@ -78,10 +78,46 @@ QUARANTINED = "QUARANTINED"
 
 # Provinces and their counties.
 PROVINCES = {
-    "Leinster": "Dublin Kildare Meath Wicklow Wexford Carlow Kilkenny Laois Offaly Westmeath Longford Louth",
-    "Munster": "Cork Kerry Limerick Tipperary Waterford Clare",
-    "Connacht": "Galway Mayo Roscommon Sligo Leitrim",
-    "Ulster": "Donegal Cavan Monaghan Armagh Antrim Down Derry Fermanagh Tyrone",
+    "Leinster": [
+        "Co. Dublin",
+        "Co. Kildare",
+        "Co. Meath",
+        "Co. Wicklow",
+        "Co. Wexford",
+        "Co. Carlow",
+        "Co. Kilkenny",
+        "Co. Laois",
+        "Co. Offaly",
+        "Co. Westmeath",
+        "Co. Longford",
+        "Co. Louth",
+    ],
+    "Munster": [
+        "Co. Cork",
+        "Co. Kerry",
+        "Co. Limerick",
+        "Co. Tipperary",
+        "Co. Waterford",
+        "Co. Clare",
+    ],
+    "Connacht": [
+        "Co. Galway",
+        "Co. Mayo",
+        "Co. Roscommon",
+        "Co. Sligo",
+        "Co. Leitrim",
+    ],
+    "Ulster": [
+        "Co. Donegal",
+        "Co. Cavan",
+        "Co. Monaghan",
+        "Co. Armagh",
+        "Co. Antrim",
+        "Co. Down",
+        "Co. Derry",
+        "Co. Fermanagh",
+        "Co. Tyrone",
+    ],
 }
 OTHER_PROVINCE = "Other / National"
 COUNTRY = "Ireland"

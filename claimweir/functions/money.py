@@ -7,7 +7,8 @@ CENTS = "decimal(18,2)"
 
 
 def exact(amount: Column) -> Column:
-    return amount.cast(CENTS)
+    """Cents; null for NaN and for what does not fit, which the gate rejects before."""
+    return amount.try_cast(CENTS)
 
 
 def total(amount: Column) -> Column:

@@ -42,7 +42,7 @@ def find(text: Column, pattern: str, group: int = 1, flags: str = "U") -> Column
 
 def money_text(amount: Column) -> Column:
     """A two-decimal amount as shortest text with at least one decimal: 300.00 -> 300.0, 300.25 -> 300.25."""
-    return F.regexp_replace(amount.cast("decimal(18,2)").cast("string"), "0$", "")
+    return F.regexp_replace(amount.try_cast("decimal(18,2)").cast("string"), "0$", "")
 
 
 def utc_text(stamp: Column) -> Column:

@@ -1,12 +1,13 @@
 """Sectioned documents to retrieval chunks."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweir import fixed
 from claimweir.functions.text import strip
 
-_HEADER = f"(?iU){fixed.SECTION_HEADER}"
+# Numbers of more than 18 digits or of other digits than 0-9 fit no long: such a line is plain text.
+_HEADER = f"(?iU){fixed.SECTION_HEADER}".replace(r"\d+", "[0-9]{1,18}")
 
 
 def split_sections(text: Column) -> Column:
@@ -76,15 +77,20 @@ def pack_paragraphs(header: Column, body: Column, size: int = 1000) -> Column:
 
 
 def chunk_documents(documents: DataFrame, size: int = 1000) -> DataFrame:
-    """Chunks (chunk_id, text, metadata) of documents (file_name, text).
+    """Chunks (chunk_id, text, metadata) of documents (file_name, text, and file_path if there is one).
 
+    Parts are numbered over all sections of one number and all files of one name, by path, so that no id occurs twice.
     No array here is ever empty. The outer forms of explode keep the planner from adding a filter on their size, which
     would split every text twice.
     """
     stem = F.regexp_replace("file_name", r"(?<=[^.])\.[^.]*$", "")
+    place = F.col("file_path") if "file_path" in documents.columns else F.xxhash64("text").cast("string")
     sections = documents.select(
-        "file_name", stem.alias("stem"), F.explode_outer(split_sections(F.col("text"))).alias("part")
-    ).select("file_name", "stem", "part.*")
+        "file_name",
+        stem.alias("stem"),
+        place.alias("place"),
+        F.posexplode_outer(split_sections(F.col("text"))).alias("at", "part"),
+    ).select("file_name", "stem", "place", "at", "part.*")
     unsplit = F.col("section").isin(fixed.PREAMBLE_SECTION, fixed.WHOLE_SECTION)
     texts = F.when(unsplit, F.array("body")).otherwise(
         pack_paragraphs(F.col("section"), F.col("body"), size)
@@ -95,8 +101,10 @@ def chunk_documents(documents: DataFrame, size: int = 1000) -> DataFrame:
         .when(F.col("section") == fixed.WHOLE_SECTION, F.lit("_full_"))
         .otherwise(F.concat(F.lit("_sec"), number, F.lit("_part")))
     )
-    return sections.select("*", F.posexplode_outer(texts).alias("position", "chunk")).select(
-        F.concat("stem", label, "position").alias("chunk_id"),
+    chunks = sections.select("*", label.alias("label"), F.posexplode_outer(texts).alias("position", "chunk"))
+    within = Window.partitionBy("stem", "label").orderBy("place", "at", "position")
+    return chunks.withColumn("position", F.row_number().over(within) - 1).select(
+        F.concat("stem", "label", "position").alias("chunk_id"),
         F.col("chunk").alias("text"),
         F.struct(
             F.col("file_name").alias("source_file"),

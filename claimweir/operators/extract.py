@@ -11,7 +11,7 @@ _TRIPLE = rf"{fixed.MONEY}\s+{fixed.MONEY}\s+{fixed.MONEY}"
 
 
 def _amount(printed: Column) -> Column:
-    return F.replace(printed, F.lit(","), F.lit("")).cast("decimal(18,2)").cast("double")
+    return F.replace(printed, F.lit(","), F.lit("")).try_cast("double")
 
 
 def claim_id(text: Column, file_name: Column) -> Column:

@@ -25,6 +25,15 @@ _KEPT = [
 ]
 
 
+#: Amounts from here on are rejected: cents of all below fit the decimals that sums are made of.
+MOST_AMOUNT = 1e13
+
+
+def _beyond(amount: Column) -> Column:
+    """NaN is greater than any number, but it is the gate's business."""
+    return F.coalesce((F.abs(amount) >= MOST_AMOUNT) & ~F.isnan(amount), F.lit(False))
+
+
 def payload_columns(envelopes: DataFrame) -> DataFrame:
     """Bronze envelopes as flat columns: the claim and its provenance."""
     return envelopes.select(
@@ -34,12 +43,13 @@ def payload_columns(envelopes: DataFrame) -> DataFrame:
 
 def ledger_of_items(items: Column) -> Column:
     """What the rules need to know of a claim's items, computed inside the row."""
-    amounts = F.transform(items, lambda item: F.coalesce(item["amount"], F.lit(0.0)))
-    nets = F.transform(items, lambda item: F.coalesce(item["net_claimed"], F.lit(0.0)))
+    # NaN counts as 0 here, which no rule takes for a positive amount; sorted, it would be the greatest number.
+    amounts = F.transform(items, lambda item: F.coalesce(F.nanvl(item["amount"], F.lit(0.0)), F.lit(0.0)))
+    nets = F.transform(items, lambda item: F.coalesce(F.nanvl(item["net_claimed"], F.lit(0.0)), F.lit(0.0)))
     net_total = F.aggregate(
         nets,
         F.lit(0).cast("decimal(38,4)"),
-        lambda total, net: (total + net.cast("decimal(18,4)")).cast("decimal(38,4)"),
+        lambda total, net: (total + F.coalesce(net.try_cast("decimal(18,4)"), F.lit(0))).try_cast("decimal(38,4)"),
     )
     return F.struct(
         F.coalesce(F.size(items), F.lit(0)).cast("long").alias("items"),
@@ -126,6 +136,11 @@ def govern(
     email, narrative = F.col("claimant_email_masked"), F.col("incident_description_clean")
     required = ["claim_id", "filing_date", "incident_date", "total_net_claimed"]
     problems = [F.when(F.col(name).isNull(), f"missing {name}") for name in required]
+    beyond = _beyond(F.col("total_loss_amount")) | _beyond(F.col("total_deductible")) | _beyond(F.col("total_net_claimed"))
+    if items:
+        item_beyond = F.exists("line_items", lambda item: _beyond(item["amount"]) | _beyond(item["net_claimed"]))
+        beyond = beyond | F.coalesce(item_beyond, F.lit(False))
+    problems.append(F.when(beyond, "an amount is too large"))
     no_user = pii.at_sign(F.col("claimant_email")) == 1
     problems.append(F.when(no_user, "claimant_email has no user part"))
     return prepared.select(

@@ -13,7 +13,10 @@ def latest_by_key(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(newest).select("row.*")
 
 
-def upsert(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """The table with incoming rows inserted, or put in the place of those with the same key."""
+def upsert(table: DataFrame, incoming: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """The table with incoming rows inserted, or put in the place of those with the same key.
+
+    Of incoming rows with one key, that which is greatest in `by` stays.
+    """
     both = table.withColumn("_round", F.lit(0)).unionByName(incoming.withColumn("_round", F.lit(1)))
-    return latest_by_key(both, [key], ["_round"]).drop("_round")
+    return latest_by_key(both, [key], ["_round", *by]).drop("_round")

@@ -36,7 +36,7 @@ class RuleSettings:
             if key in by_id.get(rule, {})
         }
         critical = tuple(i for i, rule in by_id.items() if rule.get("severity") == "CRITICAL")
-        return replace(cls(critical=critical or cls.critical, **given), **changes)
+        return replace(cls(critical=critical, **given), **changes)
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,8 @@ class Rule:
 
 
 def _text(*parts) -> Column:
-    return F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
+    """Parts as one text; a part without a value prints as None."""
+    return F.concat(*[F.lit(part) if isinstance(part, str) else F.coalesce(part, F.lit("None")) for part in parts])
 
 
 def _true_false(flag: Column) -> Column:
@@ -88,6 +89,8 @@ def rules(settings: RuleSettings = RuleSettings()) -> list[Rule]:
             sure(
                 (net > 0)
                 & (gross > 0)
+                & ~F.isnan(net)
+                & ~F.isnan(gross)
                 & (~has_items | ((ledger["least_amount"] > 0) & (ledger["least_net"] > 0)))
             ),
             "Financial claim loss amounts and net requested values must be strictly positive.",

@@ -176,6 +176,8 @@ def cosine_scores(
         rows = rows.reshape(-1, size)
         lengths = np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
         cosines = np.round((rows / lengths) @ matrix.T, 10)
+        # A vector with a component that is no finite number is no hit; NaN would spoil the order of all others.
+        cosines[~np.isfinite(rows).all(axis=1)] = -np.inf
         section = section.to_numpy(zero_copy_only=False)
         for at, name in enumerate(names):
             inside = np.flatnonzero(section == sections[at]) if sections[at] is not None else None
@@ -186,6 +188,7 @@ def cosine_scores(
                 near = np.flatnonzero(column >= np.partition(column, -top_k)[-top_k])
             else:
                 near = np.arange(len(column))
+            near = near[np.isfinite(column[near])]
             chosen = pa.table(
                 {
                     identifier: ids.take(pa.array(near if inside is None else inside[near])),
@@ -217,15 +220,43 @@ def cosine_scores(
     return usable.mapInArrow(run, f"query string, {identifier} {kind}, cosine double")
 
 
+def unusable_vectors(vectors: DataFrame, size: int, identifier: str = "chunk_id") -> DataFrame:
+    """Vectors that no query of this length can find, and why."""
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    reason = (
+        F.when(F.col("embedding").isNull(), "no vector")
+        .when(F.size("embedding") != size, F.concat(F.size("embedding").cast("string"), F.lit(f" components, not {size}")))
+        .when(odd, "a component is no finite number")
+    )
+    return vectors.select(identifier, reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def _vector_blocks(queries: DataFrame | Sequence[VectorQuery]) -> Iterator[list[VectorQuery]]:
+    """Queries in blocks; those of a table (query, vector, section) come to the driver one block at a time."""
+    if not isinstance(queries, DataFrame):
+        yield from (list(queries[i : i + QUERY_BLOCK]) for i in range(0, len(queries), QUERY_BLOCK))
+        return
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    place = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    for block in range(blocks):
+        rows = queries.filter(place == block).select("query", "vector", "section").collect()
+        if rows:
+            yield [VectorQuery(*row) for row in sorted(rows, key=lambda row: row["query"])]
+
+
 def search_vectors(
     vectors: DataFrame,
-    queries: Sequence[VectorQuery],
+    queries: DataFrame | Sequence[VectorQuery],
     top_k: int = 3,
     identifier: str = "chunk_id",
     cutoff: float | None = None,
 ) -> DataFrame:
-    """The k nearest of vectors (identifier, section_number, embedding) for every query."""
-    blocks = [queries[i : i + QUERY_BLOCK] for i in range(0, len(queries), QUERY_BLOCK)]
+    """The k nearest of vectors (identifier, section_number, embedding) for every query.
+
+    Queries are a table (query, vector, section) or a list; their number is not limited. What cannot be found at all is in
+    unusable_vectors.
+    """
+    blocks = _vector_blocks(queries)
     scored = reduce(
         DataFrame.unionByName, [cosine_scores(vectors, b, top_k, identifier) for b in blocks]
     )

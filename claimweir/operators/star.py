@@ -105,7 +105,7 @@ def regulatory_tier(tier: Column) -> Column:
 def province(county: Column) -> Column:
     mapped = F
     for name, counties in fixed.PROVINCES.items():
-        mapped = mapped.when(county.isin([f"Co. {c}" for c in counties.split()]), name)
+        mapped = mapped.when(county.isin(counties), name)
     return mapped.otherwise(fixed.OTHER_PROVINCE)
 
 
@@ -204,6 +204,14 @@ class Star:
         return dict(self.__dict__)
 
 
+def rejected_claims(silver: DataFrame) -> DataFrame:
+    """Promoted claims that gold cannot hold, and why: every claim is here or in the fact table, by claim_id."""
+    reasons = [F.when(date_of(F.col(name)).isNull(), f"{name} is no date") for name in ("filing_date", "incident_date")]
+    reasons += [F.when(F.col(name).isNull(), f"missing {name}") for name in (*GEOGRAPHY, *INCIDENT, "policy_number", "claimant_ppsn_hash")]
+    marked = silver.select("claim_id", "ingestion_id", F.concat_ws("; ", *reasons).alias("reason"))
+    return marked.filter(F.col("reason") != "")
+
+
 def _dated(silver: DataFrame) -> DataFrame:
     """Silver with real dates and without the columns that no gold table has."""
     dates = {name: date_of(F.col(name)) for name in ("filing_date", "incident_date")}

@@ -11,7 +11,7 @@ from claimweir.operators import chunking, extract, measures, quality, retrieval
 from claimweir.operators.govern import govern, payload_columns
 from claimweir.operators.quality import RuleSettings
 from claimweir.operators.review import apply_adjudications
-from claimweir.operators.star import build_star
+from claimweir.operators.star import build_star, rejected_claims
 from claimweir.sources import lake
 from claimweir.sources.staging import stage
 
@@ -47,6 +47,7 @@ _FOLDERS = {
     "chunks": "gold/regulatory_chunks",
     "audit_reports": "gold/compliance_audit_reports",
     "audit_ledger": "gold/compliance_audit_ledger",
+    "gold_rejected": "gold/rejected",
     "manifest": "gold/star_schema_manifest",
     "kpi_summary": "gold/bi_export/kpi_executive_summary",
 }
@@ -118,6 +119,7 @@ def to_gold(spark: SparkSession, target: Lake, settings: CycleSettings) -> DataF
     silver = lake.read_silver(spark, target.silver)
     star = build_star(silver, settings.at, settings.one_row_per_claimant)
     written = lake.export_tables(star.tables(), target.gold, settings.codec)
+    rejected_claims(silver).write.mode("overwrite").json(target.gold_rejected)
     listed = lake.manifest(spark, written, target.silver, silver.count())
     listed.coalesce(1).write.mode("overwrite").json(target.manifest)
     return listed

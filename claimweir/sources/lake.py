@@ -33,20 +33,20 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, kind: st
 
 
 def _binary_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """Files of a folder and its sub-folders; a folder that does not exist has none."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    return reader.option("recursiveFileLookup", "true").load(folder)
+    try:
+        return reader.option("recursiveFileLookup", "true").load(folder)
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
+        return spark.createDataFrame([], "path string, length long, content binary")
 
 
 def scan_inbound(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """Inbound files by name. Contents are not read; a folder that does not exist has no files."""
     name = F.element_at(F.split("path", "/"), -1)
-    try:
-        files = _binary_files(spark, folder, pattern)
-    except AnalysisException as error:
-        if not _missing(error):
-            raise
-        files = spark.createDataFrame([], "path string, length long")
-    return files.select(
+    return _binary_files(spark, folder, pattern).select(
         name.alias("file_name"), F.col("path").alias("file_path"), F.col("length").alias("bytes")
     ).orderBy("file_name", "file_path")
 
@@ -63,24 +63,48 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*.txt") ->
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """Regulatory texts (file_name, text), each file whole."""
-    return read_documents(spark, folder, "*.txt").select("file_name", "text")
+    """Regulatory texts (file_name, file_path, text), each file whole."""
+    return read_documents(spark, folder, "*.txt").select("file_name", "file_path", "text")
 
 
 # --- bronze ---------------------------------------------------------------------------------------------------------
 
 
+BRONZE_BUCKETS = 64
+_SOURCE_ORDER = ["source_filename", "source_file_path", "source_file_sha256"]
+
+
 def latest_envelopes(envelopes: DataFrame) -> DataFrame:
-    """One envelope per claim: that of the last file by name."""
-    return latest_by_key(
-        envelopes, ["extracted_payload.claim_id"], ["source_filename", "ingestion_id"]
-    )
+    """One envelope per claim: that of the last file by name, then path, then content."""
+    return latest_by_key(envelopes, ["extracted_payload.claim_id"], _SOURCE_ORDER)
 
 
 def write_bronze(envelopes: DataFrame, path: str) -> None:
+    """Insert envelopes, or put them in the place of those of the same claim; other stored claims stay.
+
+    Bronze is JSON lines in buckets by a hash of the claim id. Only buckets that envelopes fall into are read and written
+    again; without envelopes nothing is touched. Stored lines that name no claim are kept as they are.
+    """
+    spark = envelopes.sparkSession
     # uuid() draws again whenever a plan runs, so envelopes are fixed in a table before the latest are chosen.
-    written = stage(envelopes, "envelopes")
-    _write_json(latest_envelopes(written), path)
+    latest = latest_envelopes(stage(envelopes, "envelopes"))
+    claim = F.col("extracted_payload.claim_id")
+    line = F.to_json(F.struct(*envelopes.columns), {"ignoreNullFields": "false"})
+    incoming = stage(latest.select(claim.alias("claim"), line.alias("value"), _bucket(claim).alias("bucket")), "incoming")
+    touched = [row["bucket"] for row in incoming.select("bucket").distinct().collect()]  # at most BRONZE_BUCKETS
+    if not touched:
+        return
+    stored = read_or_empty(spark, path, T.StructType.fromDDL("value string, bucket int"), "text")
+    stored = stored.filter(F.col("bucket").isin(touched))
+    stored = stored.withColumn("claim", F.get_json_object("value", "$.extracted_payload.claim_id"))
+    kept = stored.join(incoming.select("claim"), "claim", "left_anti").select("value", "bucket")
+    merged = stage(kept.unionByName(incoming.select("value", "bucket")), "bronze")
+    writer = merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+    writer.option("partitionOverwriteMode", "dynamic").text(path)
+
+
+def _bucket(claim: Column) -> Column:
+    return F.pmod(F.xxhash64(claim), F.lit(BRONZE_BUCKETS)).cast("int")
 
 
 def validated(envelopes: DataFrame) -> DataFrame:
@@ -118,7 +142,12 @@ def read_bronze(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Valid envelopes, and what could not be read as one together with the reason."""
     schema = T.StructType([*schemas.ENVELOPE.fields, T.StructField(_BROKEN, T.StringType())])
     reader = spark.read.schema(schema).option("mode", "PERMISSIVE")
-    rows = reader.option("columnNameOfCorruptRecord", _BROKEN).json(path)
+    try:
+        rows = reader.option("columnNameOfCorruptRecord", _BROKEN).json(path).drop("bucket")
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
+        rows = spark.createDataFrame([], schema)
     required = ["claim_id", "filing_date", "incident_date", "total_net_claimed"]
     payload = F.col("extracted_payload")
     reasons = [
@@ -223,14 +252,16 @@ def read_audit(spark: SparkSession, json_path: str) -> DataFrame:
 
 
 def upsert_chunks(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    return upsert(existing, incoming, "chunk_id")
+    return upsert(existing, incoming, "chunk_id", ["text", "metadata.source_file"])
 
 
 def index_corpus(chunks: DataFrame, path: str, force: bool = False) -> DataFrame:
-    """The chunk table at a path, filled from `chunks` when it is empty or a rebuild is forced."""
+    """The chunk table at a path. Chunks are inserted, or put in the place of those with their id, when the table is empty or
+    when that is forced; else it stays as it is."""
     spark = chunks.sparkSession
-    if force or read_or_empty(spark, path, schemas.CHUNK, "parquet").isEmpty():
-        chunks.write.mode("overwrite").parquet(path)
+    stored = read_or_empty(spark, path, schemas.CHUNK, "parquet")
+    if force or stored.isEmpty():
+        stage(upsert_chunks(stored, chunks), "chunks").write.mode("overwrite").parquet(path)
     return spark.read.schema(schemas.CHUNK).parquet(path)
 
 

@@ -9,7 +9,7 @@ from claimweir.operators.chunking import chunk_documents
 from claimweir.operators.extract import clean_policy
 from claimweir.operators.govern import govern, ledger_of_lines
 from claimweir.operators.quality import RuleSettings, evaluate, to_quarantine, to_silver
-from claimweir.operators.retrieval import Query, VectorQuery, build_index, search
+from claimweir.operators.retrieval import Query, build_index, search
 from claimweir.operators.retrieval import citations as area_citations
 from claimweir.operators.star import Star, build_star
 from claimweir.sources.staging import spread, stage
@@ -20,7 +20,6 @@ SALT = "bench-salt-for-test-tables"
 AT = "2026-01-02 03:04:05"
 
 # Labels stand for sections, of which a corpus has few.
-MOST_EXAMPLES = 1_000
 
 COUNTIES = (
     "Dublin,Kildare,Meath,Wicklow,Wexford,Louth,Cork,Kerry,Limerick,Clare,Galway,Mayo,Sligo,Donegal,Cavan,Antrim,"
@@ -339,16 +338,8 @@ def plain_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def example_queries(spark: SparkSession, sf_dir: str, same_section: bool) -> list[VectorQuery]:
+def example_queries(spark: SparkSession, sf_dir: str, same_section: bool) -> DataFrame:
     """One vector of every label, the one with the least id, as a query by example."""
-    examples = (
-        vectors(spark, sf_dir)
-        .groupBy("section_number")
-        .agg(F.min_by("embedding", "vec_id").alias("vector"))
-        .orderBy("section_number")
-        .limit(MOST_EXAMPLES + 1)
-        .collect()
-    )
-    if len(examples) > MOST_EXAMPLES:
-        raise ValueError("too many labels to query by example at once")
-    return [VectorQuery(f"label_{r[0]}", r[1], r[0] if same_section else None) for r in examples]
+    examples = vectors(spark, sf_dir).groupBy("section_number").agg(F.min_by("embedding", "vec_id").alias("vector"))
+    section = F.col("section_number") if same_section else F.lit(None).cast("long")
+    return examples.select(F.concat(F.lit("label_"), "section_number").alias("query"), "vector", section.alias("section"))

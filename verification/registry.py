@@ -256,6 +256,19 @@ for _dim in ("geography", "incident_classification", "policy", "claimant"):
         lambda spark, d, build=getattr(star, f"dim_{_dim}"): build(b.silver(spark, d)),
         s.query(f"SELECT * FROM dim_{_dim}", f"dim_{_dim}"),
     )
+
+
+def _undated(spark, d):
+    """Promoted claims, those whose id ends in 3 with an incident date that no calendar has."""
+    odd = F.when(c("claim_id").endswith("3"), "2026-02-31").otherwise(c("incident_date"))
+    return star.rejected_claims(b.silver(spark, d).withColumn("incident_date", odd))
+
+
+register(
+    "gold_rejected",
+    _undated,
+    s.query("SELECT claim_id, ingestion_id, 'incident_date is no date' AS reason FROM silver WHERE claim_id LIKE '%3' AND claimant_ppsn_hash IS NOT NULL UNION ALL SELECT claim_id, ingestion_id, CASE WHEN claim_id LIKE '%3' THEN 'incident_date is no date; ' ELSE '' END || 'missing claimant_ppsn_hash' FROM silver WHERE claimant_ppsn_hash IS NULL", "silver"),
+)
 register("fact_claims", lambda spark, d: b.star(spark, d).fact_claims, s.query("SELECT * FROM fact_claims", "fact_claims"))
 register(
     "fact_flags",
@@ -298,7 +311,7 @@ register(
     lambda spark, d: b.star(spark, d, one_row_per_hash=True).fact_claims,
     s.query(
         s.fact("least_claimants"),
-        "dim_date", "dim_geography", "dim_incident_classification", "dim_policy", "least_claimants",
+        "star_keys", "least_claimants",
     ),
 )
 
@@ -691,11 +704,12 @@ register(
 
 
 def _bronze(spark, d):
-    """Two rounds of the same dossiers under other file names: the later name of each claim stays."""
+    """All dossiers, then those with even keys again under a later name, then nothing: corrections replace, the rest stays."""
     path = _path(spark, "bronze")
-    again = _documents(spark, d).withColumn("file_name", F.concat(F.lit("again_"), "file_name"))
-    both = _documents(spark, d).unionByName(again).filter(c("text").contains("DOSSIER ID: "))
-    lake.write_bronze(extract.create_envelopes(extract.extract_claims(both), b.at()), path)
+    first = _documents(spark, d)
+    again = first.filter("order_key % 2 = 0").withColumn("file_name", F.concat(F.lit("zz_"), "file_name"))
+    for batch in (first, again, first.filter("false")):
+        lake.write_bronze(extract.create_envelopes(extract.extract_claims(batch), b.at()), path)
     good, _ = lake.read_bronze(spark, path)
     return good.select("extracted_payload.claim_id", "extracted_payload.policy_number", "source_filename", "source_file_sha256", F.size("extracted_payload.line_items").cast("long").alias("items"))
 
@@ -704,8 +718,11 @@ register(
     "write_bronze",
     _bronze,
     s.query(
-        """SELECT claim_id, policy_number, 'claim_' || order_key || '.txt' AS source_filename, sha256(text) AS source_file_sha256,
-           order_key % 7 AS items FROM extracted WHERE contains(text, 'DOSSIER ID: ')""",
+        """SELECT CASE WHEN contains(text, 'DOSSIER ID: ') THEN claim_id ELSE 'CLM-UNKNOWN-' || prefix || 'claim_' || order_key END AS claim_id,
+           policy_number, prefix || 'claim_' || order_key || '.txt' AS source_filename, sha256(text) AS source_file_sha256,
+           order_key % 7 AS items
+           FROM extracted, (VALUES (''), ('zz_')) AS rounds(prefix)
+           WHERE CASE WHEN prefix = 'zz_' THEN order_key % 2 = 0 ELSE order_key % 2 = 1 OR NOT contains(text, 'DOSSIER ID: ') END""",
         "extracted",
     ),
 )
@@ -800,36 +817,40 @@ def _audit_files(spark, d):
 register("write_audit", _audit_files, _LEDGER_SQL)
 
 
-def _upserted(spark, d):
-    existing = b.chunks(spark, d)
-    incoming = chunking.chunk_documents(
+def _amended(spark, d):
+    return chunking.chunk_documents(
         b.sectioned_documents(spark, d)
         .filter(c("text").startswith("Preamble fr"))
         .withColumn("text", F.concat("text", F.lit("\n\nAmended.")))
     )
-    return _flat_chunks(lake.upsert_chunks(existing, incoming))
 
 
-register(
-    "upsert_chunks",
-    _upserted,
-    s.query(
+def _upserted(spark, d):
+    return _flat_chunks(lake.upsert_chunks(b.chunks(spark, d), _amended(spark, d)))
+
+
+_UPSERTED_SQL = s.query(
         f"""SELECT {', '.join(_META)} FROM (
               SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY round DESC) AS n
               FROM (SELECT *, 0 AS round FROM chunks UNION ALL SELECT *, 1 FROM amended_chunks)) WHERE n = 1""",
         "chunks", "amended_chunks",
-    ),
 )
+register("upsert_chunks", _upserted, _UPSERTED_SQL)
 
 
-def _indexed(spark, d):
-    path = _path(spark, "chunks")
-    lake.index_corpus(b.chunks(spark, d), path)
-    first = lake.index_corpus(b.chunks(spark, d).limit(0), path).agg(F.count(F.lit(1)).alias("chunks"))
-    return first
+def _indexed(force: bool):
+    """A first load, then amended chunks: they take effect only when that is forced."""
+
+    def run(spark, d):
+        path = _path(spark, "chunks")
+        lake.index_corpus(b.chunks(spark, d), path)
+        return _flat_chunks(lake.index_corpus(_amended(spark, d), path, force))
+
+    return run
 
 
-register("index_corpus", _indexed, s.query("SELECT count(*) AS chunks FROM chunks", "chunks"))
+register("index_corpus", _indexed(True), _UPSERTED_SQL)
+register("index_corpus_skip", _indexed(False), s.query(f"SELECT {', '.join(_META)} FROM chunks", "chunks"))
 
 
 def _log(spark, d):
