@@ -1,6 +1,4 @@
-"""Registered queries against their SQL on the smallest tables: some of every kind, or all with ALL_QUERIES=1."""
-
-import os
+"""All registered queries against their SQL on the smallest tables."""
 
 import duckdb
 import pytest
@@ -18,36 +16,7 @@ def con(sf):
     return connection
 
 
-SOME = [
-    "extract_claims",
-    "extract_line_items",
-    "ingestion_statistics",
-    "govern",
-    "redaction_actions",
-    "check_report",
-    "gate",
-    "quarantine",
-    "declared_rules",
-    "dim_date",
-    "analytical_mart",
-    "number_ranges",
-    "kpi_summary",
-    "net_amount_mtd",
-    "latency_histogram",
-    "chunk_documents",
-    "search_text",
-    "search_vectors_in_section",
-    "audit_findings",
-    "audit_ledger",
-    "quarantine_register",
-    "apply_adjudications",
-    "write_bronze",
-    "upsert_chunks",
-    "scan_inbound",
-]
-
-
-@pytest.mark.parametrize("name", list(QUERIES) if os.environ.get("ALL_QUERIES") else SOME)
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, sf, name):
     same, _, _, note = compare(spark, con, sf, name)
     assert same, note
