@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweir import fixed, schemas
@@ -679,7 +679,27 @@ def _path(spark, name):
     return staging_path(spark, name)
 
 
-register("scan_inbound", lambda spark, d: lake.scan_inbound(spark, d, "*.parquet").select("file_name", "bytes"))
+def _language(path: Column) -> Column:
+    return F.regexp_extract(path, "lang=([^/]+)", 1).alias("lang")
+
+
+def _scanned(spark, d):
+    """The documents as text files, a folder a language: bytes as listed."""
+    path = _path(spark, "inbound")
+    b.table(spark, d, "documents").select("lang", "text").write.partitionBy("lang").text(path)
+    return lake.scan_inbound(spark, path).groupBy(_language(c("file_path"))).agg(F.sum("bytes").alias("bytes"))
+
+
+def _read(spark, d):
+    """The same files read: characters."""
+    path = _path(spark, "inbound")
+    b.table(spark, d, "documents").select("lang", "text").write.partitionBy("lang").text(path)
+    read = lake.read_documents(spark, path)
+    return read.groupBy(_language(c("file_path"))).agg(F.sum(F.char_length("text")).alias("characters"))
+
+
+register("scan_inbound", _scanned, "SELECT lang, cast(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY lang")
+register("read_documents", _read, "SELECT lang, cast(sum(length(text) + 1) AS BIGINT) AS characters FROM documents GROUP BY lang")
 
 
 def _documents(spark, d):
