@@ -16,8 +16,12 @@ def is_small(table: DataFrame, rows: int = SMALL_ROWS) -> bool:
 
 
 def hot_keys(table: DataFrame, on: list[str], least_rows: int) -> DataFrame:
-    """Keys owning at least least_rows rows. Counting combines before the shuffle."""
-    return table.groupBy(*on).count().filter(F.col("count") >= least_rows).select(*on)
+    """Keys owning at least least_rows rows, and in how many parts of so many rows they are cut.
+
+    Counting combines before the shuffle.
+    """
+    parts = F.ceil(F.col("count") / least_rows).cast("int").alias("_parts")
+    return table.groupBy(*on).count().filter(F.col("count") >= least_rows).select(*on, parts)
 
 
 def lookup_join(
@@ -32,29 +36,27 @@ def lookup_join(
 ) -> DataFrame:
     """Join facts to a lookup table (inner or left), both of them cheap to read twice.
 
-    Up to small_rows the lookup is broadcast. Beyond that both sides shuffle on the key, and every key that owns more
-    than one part in MOST_HOT_KEYS of the facts is cut into several partitions: its facts get a number by their own
-    content, its lookup rows one copy per number. Facts without a key spread in the same way. There can be no more than MOST_HOT_KEYS such keys, so the list of
-    them is small whatever the data. `heat` is a table to count the keys in when facts are dear to read again; it has to
-    hold the facts' rows before earlier joins.
+    Up to small_rows the lookup is broadcast. Beyond that both sides shuffle on the key, and every key that owns at least
+    hot_rows facts (a million, or one part in MOST_HOT_KEYS of all facts if that is more) is cut into parts of about that
+    many: its facts get a number by their own content, its lookup rows one copy per number. Facts without a key are cut
+    into `copies` parts. There can be no more than MOST_HOT_KEYS hot keys, so the list of them is small whatever the data.
+    `heat` is a table to count the keys in when facts are dear to read again; it has to hold the facts' rows before
+    earlier joins.
     """
     if is_small(lookup, small_rows):
         return facts.join(F.broadcast(lookup), on, how)
     counted = facts if heat is None else heat
     if hot_rows is None:
         hot_rows = max(1_000_000, counted.count() // MOST_HOT_KEYS)
-    hot = hot_keys(counted, on, hot_rows).withColumn("_hot", F.lit(True))
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(copies)).cast("int")
+    hot = hot_keys(counted, on, hot_rows)
     no_key = reduce(or_, [F.col(c).isNull() for c in on])
-    spread_facts = facts.join(F.broadcast(hot), on, "left").withColumn(
-        "_part", F.when(F.col("_hot") | no_key, part).otherwise(0)
-    )
-    numbers = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(
-        F.array(F.lit(0))
-    )
+    parts = F.when(no_key, F.lit(copies)).otherwise(F.coalesce("_parts", F.lit(1)))
+    content = F.xxhash64(*[F.col(c) for c in facts.columns])
+    spread_facts = facts.join(F.broadcast(hot), on, "left").withColumn("_part", F.pmod(content, parts).cast("int"))
+    numbers = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
     spread_lookup = (
         lookup.join(F.broadcast(hot), on, "left")
         .withColumn("_part", F.explode(numbers))
-        .drop("_hot")
+        .drop("_parts")
     )
-    return spread_facts.drop("_hot").join(spread_lookup, [*on, "_part"], how).drop("_part")
+    return spread_facts.drop("_parts").join(spread_lookup, [*on, "_part"], how).drop("_part")

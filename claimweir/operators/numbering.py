@@ -3,27 +3,19 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweir.operators.lookup import SMALL_ROWS, is_small
 from claimweir.sources.staging import stage
 
 _BITS = 33
 
 
-def number_rows(
-    rows: DataFrame, by: list[str], name: str, small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def number_rows(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     """Rows with their position in the order of `by` (nulls last), which must not tie.
 
-    The rows are written to the shared folder first: numbers must not depend on a plan that may run again. A small
-    table is then numbered by a window. A larger one is cut into ranges of the order, each sorted by its own task;
-    a row's number is its place in the range plus the sizes of the ranges before it.
+    The rows are written to the shared folder first: numbers must not depend on a plan that may run again. Then they are cut
+    into ranges of the order, each sorted by its own task; a row's number is its place in the range plus the sizes of the
+    ranges before it.
     """
-    order = [F.col(column).asc_nulls_last() for column in by]
-    written = stage(rows, name)
-    if is_small(written, small_rows):
-        number = F.row_number().over(Window.orderBy(*order)).cast("long")
-        return written.withColumn(name, number)
-    return number_ranges(written, by, name)
+    return number_ranges(stage(rows, name), by, name)
 
 
 def number_ranges(rows: DataFrame, by: list[str], name: str) -> DataFrame:

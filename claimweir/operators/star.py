@@ -132,9 +132,9 @@ def dim_date(silver: DataFrame) -> DataFrame:
     )
 
 
-def dim_geography(silver: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+def dim_geography(silver: DataFrame) -> DataFrame:
     places = silver.select(*GEOGRAPHY).distinct()
-    return number_rows(places, GEOGRAPHY, "geography_key", small_rows).select(
+    return number_rows(places, GEOGRAPHY, "geography_key").select(
         "geography_key",
         "loss_county",
         province(F.col("loss_county")).alias("province"),
@@ -143,9 +143,9 @@ def dim_geography(silver: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
     )
 
 
-def dim_incident_classification(silver: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+def dim_incident_classification(silver: DataFrame) -> DataFrame:
     kinds = silver.select(*INCIDENT).distinct()
-    return number_rows(kinds, INCIDENT, "incident_type_key", small_rows).select(
+    return number_rows(kinds, INCIDENT, "incident_type_key").select(
         "incident_type_key",
         "incident_type",
         "dora_classification",
@@ -154,10 +154,10 @@ def dim_incident_classification(silver: DataFrame, small_rows: int = SMALL_ROWS)
     )
 
 
-def dim_policy(silver: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+def dim_policy(silver: DataFrame) -> DataFrame:
     columns = ["policy_number", "governance_status"]
     policies = silver.select(*columns).distinct()
-    return number_rows(policies, columns, "policy_key", small_rows).select(
+    return number_rows(policies, columns, "policy_key").select(
         "policy_key",
         *columns,
         F.lit(fixed.CONTRACT_STATUS).alias("contract_status"),
@@ -166,7 +166,7 @@ def dim_policy(silver: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def dim_claimant(
-    silver: DataFrame, small_rows: int = SMALL_ROWS, one_row_per_hash: bool = False
+    silver: DataFrame, one_row_per_hash: bool = False
 ) -> DataFrame:
     """Claimants by their masked identity.
 
@@ -180,7 +180,7 @@ def dim_claimant(
         people = people.select("claimant_ppsn_hash", "least.*")
     else:
         people = people.distinct()
-    return number_rows(people, CLAIMANT, "claimant_key", small_rows).select(
+    return number_rows(people, CLAIMANT, "claimant_key").select(
         "claimant_key",
         "claimant_ppsn_hash",
         "claimant_name_masked",
@@ -298,17 +298,17 @@ def build_star(
     hot_rows: int | None = None,
 ) -> Star:
     builders = [
-        lambda: dim_geography(silver, small_rows),
-        lambda: dim_incident_classification(silver, small_rows),
-        lambda: dim_policy(silver, small_rows),
-        lambda: dim_claimant(silver, small_rows, one_row_per_hash),
+        lambda: dim_geography(silver),
+        lambda: dim_incident_classification(silver),
+        lambda: dim_policy(silver),
+        lambda: dim_claimant(silver, one_row_per_hash),
     ]
     # Four independent sets of jobs, submitted together.
     with ThreadPoolExecutor(len(builders)) as pool:
         geography, incident, policy, claimant = pool.map(lambda build: build(), builders)
     joined = _joined(silver, geography, incident, policy, claimant, small_rows, hot_rows)
     order = ["claim_id", "claimant_key", "policy_key", "ingestion_id"]
-    wide = _measured(number_rows(joined, order, "claim_key", small_rows)).withColumns(
+    wide = _measured(number_rows(joined, order, "claim_key")).withColumns(
         {
             "filing_date_key": date_key(F.col("filing_date")),
             "incident_date_key": date_key(F.col("incident_date")),

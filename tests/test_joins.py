@@ -48,10 +48,9 @@ def test_numbers_follow_the_order(spark):
     draw.shuffle(values)
     frame = spark.createDataFrame(values, "name string, id long").repartition(7)
     want = sorted(values, key=lambda v: (v[0] is None, v[0] or "", v[1]))
-    for small_rows in (0, 10_000):
-        got = number_rows(frame, ["name", "id"], "n", small_rows).orderBy("n").collect()
-        assert [(r["name"], r["id"]) for r in got] == want
-        assert [r["n"] for r in got] == list(range(1, 2001))
+    got = number_rows(frame, ["name", "id"], "n").orderBy("n").collect()
+    assert [(r["name"], r["id"]) for r in got] == want
+    assert [r["n"] for r in got] == list(range(1, 2001))
 
 
 def test_latest_row_of_a_key(spark):

@@ -287,7 +287,7 @@ register("analytical_mart", lambda spark, d: b.star(spark, d).claims_analytical_
 register(
     "number_ranges",
     lambda spark, d: star.number_rows(
-        b.claim_headers(spark, d).select("loss_location", "claim_id"), ["loss_location", "claim_id"], "number", small_rows=0
+        b.claim_headers(spark, d).select("loss_location", "claim_id"), ["loss_location", "claim_id"], "number"
     ),
     s.query("SELECT loss_location, claim_id, row_number() OVER (ORDER BY loss_location, claim_id) AS number FROM hdr", "hdr"),
 )
