@@ -22,16 +22,16 @@ from pyspark.sql import functions as F
 from claimweir.llm.bits import bit_array, has_bit
 from claimweir.llm.components import components
 from claimweir.llm.shared import Scratch
-from claimweir.llm.shingles import mixed, shingle_sets
+from claimweir.llm.shingles import mixed, shingle_sets, small_batches
 
 #: Shingles whose hash lies in the lowest quarter are counted: prefixes in hash order come from there.
 LOW_BITS = 62
 PLACE_BITS = 27
 #: A shingle of more documents counts as frequent and comes last in the order.
-FREQUENT = 64
+FREQUENT = 16
 ID_BITS = 1 << 24
-#: Bits of a parity sketch: bit h holds whether a set has an odd number of shingles with hash h.
-PARITY_BITS = 1024
+#: Least and most bits of a parity sketch, whose bit h holds whether a set has an odd number of shingles with hash h.
+PARITY_BITS = (1 << 10, 1 << 17)
 #: Rounds in which each list is compared with one of its sets, before what is still apart is compared pair by pair.
 ROUNDS = 3
 
@@ -87,9 +87,28 @@ def tokens_of(shingles: np.ndarray, boundary: int, num: int, den: int, shared: n
 
 
 def parity_of(shingles: np.ndarray) -> bytes:
-    """A sketch in which two sets differ in at most as many bits as there are shingles in just one of them."""
-    counts = np.bincount((mixed(shingles) >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64), minlength=PARITY_BITS)
-    return np.packbits((counts & 1).astype(bool)).tobytes()
+    """A sketch in which two sets differ in at most as many bits as there are shingles in just one of them.
+
+    It has a bit for each shingle, rounded up to a power of two. One half folded onto the other is the sketch of half the bits.
+    """
+    least, most = PARITY_BITS
+    bits = min(max(least, 1 << max(len(shingles) - 1, 0).bit_length()), most)
+    counts = np.bincount((mixed(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
+
+
+def bits_apart(mine: list[bytes], theirs: list[bytes]) -> np.ndarray:
+    """Bits in which parity sketches differ, pair by pair, at the lesser of the two sizes."""
+    apart = np.empty(len(mine), np.int64)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(mine, theirs, strict=True)], np.int64).reshape(-1, 2)
+    for pair in np.unique(sizes, axis=0):
+        rows = np.flatnonzero((sizes == pair).all(1))
+        x, y = (np.frombuffer(b"".join([side[k] for k in rows]), np.uint8).reshape(len(rows), -1) for side in (mine, theirs))
+        while x.shape[1] != y.shape[1]:
+            half = max(x.shape[1], y.shape[1]) // 2
+            x, y = (v[:, :half] ^ v[:, half:] if v.shape[1] > half else v for v in (x, y))
+        apart[rows] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return apart
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -113,7 +132,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_co
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
 
     def low_shingles(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             counts: list[np.ndarray] = [s[s < np.uint64(1 << LOW_BITS)] for s in shingle_sets(batch.column(1).to_pylist(), k, True)]
             found, n = np.unique(np.concatenate(counts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
@@ -129,7 +148,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_co
 
     def signatures(batches):
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in small_batches(batches, 1):
                 sets = shingle_sets(batch.column(1).to_pylist(), k, True)
                 prints = [(int(mixed(s + np.uint64(1)).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D))))) if len(s) else (0, 0) for s in sets]
                 prints = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
@@ -180,8 +199,7 @@ def _close(pairs: DataFrame, parity: DataFrame, num: int, den: int) -> DataFrame
     def compare(batches):
         for batch in batches:
             n, m = (batch.column(i).to_numpy() for i in (2, 3))
-            mine, theirs = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PARITY_BITS // 8) for i in (4, 5))
-            apart = np.bitwise_count(mine ^ theirs).sum(1, dtype=np.int64)
+            apart = bits_apart(batch.column(4).to_pylist(), batch.column(5).to_pylist())
             keep = pa.array(apart * (num + den) <= (den - num) * (n + m))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -197,9 +215,8 @@ def _sets(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     named = texts.sparkSession.sparkContext.broadcast(bit_array(wanted, ID_BITS))
 
     def sets(batches):
-        for batch in batches:
-            rows = pa.array(has_bit(named.value, batch.column(0).to_numpy() % ID_BITS))
-            batch = batch.filter(rows)
+        wanted = (batch.filter(pa.array(has_bit(named.value, batch.column(0).to_numpy() % ID_BITS))) for batch in batches)
+        for batch in small_batches(wanted, 1):
             found = shingle_sets(batch.column(1).to_pylist(), k, True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "shingles"])
 

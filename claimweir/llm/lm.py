@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweir.llm.shared import Scratch
-from claimweir.llm.shingles import mixed, slices, word_hashes
+from claimweir.llm.shingles import mixed, slices, small_batches, word_hashes
 
 #: Bytes of text that a task scores at a time, and for which it holds its part of the automaton.
 CHUNK_BYTES = 12_000_000
@@ -106,11 +106,9 @@ def score_texts(
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
 
     def summed(batches, keys_of):
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
+        for batch in small_batches(batches, 0):
             with np.errstate(over="ignore"):
-                for low, high in slices(texts, 4 << 20):
-                    yield emit(*np.unique(keys_of(texts[low:high]), return_counts=True))
+                yield emit(*np.unique(keys_of(batch.column(0).to_pylist()), return_counts=True))
 
     def count(keys_of) -> DataFrame:
         parts = learn.mapInArrow(lambda batches: summed(batches, keys_of), "key long, n long")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at a time; it bounds the memory of a task, and a longer word is cut into two.
-WINDOW = 1 << 21
+WINDOW = 1 << 19
 _FACTOR = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -72,7 +74,7 @@ def joined(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def slices(texts: Sequence[str | None], size: int = WINDOW) -> Iterator[tuple[int, int]]:
+def slices(texts: Sequence[str | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts with about `size` characters together."""
     first, total = 0, 0
     for i, t in enumerate(texts):
@@ -84,6 +86,18 @@ def slices(texts: Sequence[str | None], size: int = WINDOW) -> Iterator[tuple[in
         yield first, len(texts)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of a column have about `size` bytes together."""
+    for batch in batches:
+        lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < batch.num_rows:
+            done = lengths[first - 1] if first else 0
+            end = max(first + 1, int(np.searchsorted(lengths, done + size, side="right")))
+            yield batch.slice(first, end - first)
+            first = end
+
+
 def shingle_sets(texts: Sequence[str | None], k: int, short: bool) -> list[np.ndarray]:
     """The sorted distinct shingles of k words of each text. Of fewer words (`short`) all together are one, else there is none."""
     out = []

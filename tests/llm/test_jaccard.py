@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from claimweir.llm.components import components
-from claimweir.llm.jaccard_join import PARITY_BITS, choose_boundary, jaccard_join, least_common, parity_of, subset_sizes, tokens_of
+from claimweir.llm.jaccard_join import bits_apart, choose_boundary, jaccard_join, least_common, parity_of, subset_sizes, tokens_of
 from claimweir.llm.shared import Scratch, table
 from claimweir.llm.shingles import joined, shingle_sets, word_hashes
 from tests.llm.helpers import EDGES, Groups, documents, jaccard_groups, words
@@ -35,13 +35,23 @@ def test_similar_sets_share_a_token():
         a, b = (np.unique(np.array(x, np.uint64)) for x in (base, other))
         both = len(np.intersect1d(a, b))
         if len(b) and den * both >= num * (len(a) + len(b) - both):
-            apart = np.unpackbits(np.frombuffer(parity_of(a), np.uint8) ^ np.frombuffer(parity_of(b), np.uint8)).sum()
-            assert apart <= len(a) + len(b) - 2 * both and len(parity_of(a)) * 8 == PARITY_BITS
+            assert bits_apart([parity_of(a)], [parity_of(b)])[0] <= len(a) + len(b) - 2 * both
             for frequent in (nothing, everything):
                 x, y = (tokens_of(s, boundary, num, den, everything, frequent) for s in (a, b))
                 assert len(np.intersect1d(x, y)), (len(a), len(b), boundary)
 
 
+def test_parity_sketches_of_different_sizes_bound_the_difference():
+    draw = np.random.default_rng(6)
+    a = np.unique(draw.integers(0, 1 << 63, 4200).astype(np.uint64))
+    b = np.unique(np.concatenate([a[:4000], draw.integers(0, 1 << 63, 60).astype(np.uint64)]))
+    c = np.unique(draw.integers(0, 1 << 63, 3900).astype(np.uint64))
+    sketches = [parity_of(x) for x in (a, b, c)]
+    assert [len(s) for s in sketches] == [1024, 512, 512] and len(parity_of(a[:0])) == 128
+    near, far = bits_apart([sketches[0], sketches[0]], [sketches[1], sketches[2]])
+    assert near <= len(np.setxor1d(a, b)) and far > 1500
+
+
 def test_boundary_follows_cost():
     assert choose_boundary(85, 100, 1.0) <= choose_boundary(85, 100, 50.0) <= choose_boundary(85, 100, 5000.0)
     assert least_common(6, 7, 85, 100) == 6
