@@ -26,12 +26,14 @@ from claimweir.llm.shingles import mixed, shingle_sets, small_batches
 
 #: Shingles whose hash lies in the lowest quarter are counted: prefixes in hash order come from there.
 LOW_BITS = 62
-PLACE_BITS = 27
+PLACE_BITS = 26
 #: A shingle of more documents counts as frequent and comes last in the order.
 FREQUENT = 16
 ID_BITS = 1 << 24
 #: Least and most bits of a parity sketch, whose bit h holds whether a set has an odd number of shingles with hash h.
 PARITY_BITS = (1 << 10, 1 << 17)
+#: Words of 64 bits of the short sketch that stands in lists, the first bits of which the join on a token looks at.
+FOLDED = [f"fold{i}" for i in range(4)]
 #: Rounds in which each list is compared with one of its sets, before what is still apart is compared pair by pair.
 ROUNDS = 3
 
@@ -97,6 +99,12 @@ def parity_of(shingles: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
 
 
+def folded(sketch: bytes) -> np.ndarray:
+    """A parity sketch folded to as many bits as FOLDED holds."""
+    bits = np.frombuffer(sketch, np.int64)
+    return np.bitwise_xor.reduce(bits.reshape(-1, len(FOLDED)), axis=0)
+
+
 def bits_apart(mine: list[bytes], theirs: list[bytes]) -> np.ndarray:
     """Bits in which parity sketches differ, pair by pair, at the lesser of the two sizes."""
     apart = np.empty(len(mine), np.int64)
@@ -153,18 +161,20 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_co
                 prints = [(int(mixed(s + np.uint64(1)).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D))))) if len(s) else (0, 0) for s in sets]
                 prints = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
                 tokens = [tokens_of(s, boundary, num, den, shared.value, frequent.value).view(np.int64) for s in sets]
+                sketches = [parity_of(s) for s in sets]
+                folds = np.array([folded(s) for s in sketches], np.int64).reshape(-1, len(FOLDED))
                 offsets = np.cumsum([0] + [len(t) for t in tokens]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists, pa.array([parity_of(s) for s in sets], pa.binary())],
-                    names=["id", "n", "f1", "f2", "tokens", "parity"],
+                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists, pa.array(sketches, pa.binary()), *(pa.array(folds[:, i]) for i in range(len(FOLDED)))],
+                    names=["id", "n", "f1", "f2", "tokens", "parity", *FOLDED],
                 )
 
-    signed = scratch.write(texts.mapInArrow(signatures, "id long, n long, f1 long, f2 long, tokens array<long>, parity binary"))
+    signed = scratch.write(texts.mapInArrow(signatures, "id long, n long, f1 long, f2 long, tokens array<long>, parity binary, " + ", ".join(f"{f} long" for f in FOLDED)))
     known = signed.filter("id IS NOT NULL AND n > 0")
-    classes = scratch.write(known.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "tokens", "parity")).alias("first")).select("n", "f1", "f2", F.col("first.id").alias("rep"), "first.tokens", "first.parity"))
+    classes = scratch.write(known.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "tokens", "parity", *FOLDED)).alias("first")).select("n", "f1", "f2", F.col("first.id").alias("rep"), "first.*"))
 
-    lists = classes.select(F.explode("tokens").alias("token"), "rep", "n")
+    lists = classes.select(F.explode("tokens").alias("token"), "rep", "n", *FOLDED)
     several = lists.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token")
     lists = scratch.write(lists.join(several, "token"))
     parity = classes.select(F.col("rep").alias("id"), "n", "parity")
@@ -174,19 +184,27 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_co
     for round_number in range(ROUNDS + 1):
         here = lists if at is None else lists.join(at.select(F.col("id").alias("rep"), "component"), "rep", "left")
         here = here.withColumn("component", F.col("rep") if at is None else F.coalesce("component", "rep"))
-        head = F.struct(F.xxhash64("rep", F.lit(round_number)).alias("hash"), "rep", "n", "component")
+        head = F.struct(F.xxhash64("rep", F.lit(round_number)).alias("hash"), "rep", "n", "component", *FOLDED)
         heads = here.groupBy("token").agg(F.min(head).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
         if round_number < ROUNDS:
-            pairs = here.join(heads.select("token", F.col("head.rep").alias("other"), F.col("head.n").alias("m"), F.col("head.component").alias("theirs")), "token")
+            pairs = here.join(heads.select("token", F.col("head.rep").alias("other"), F.col("head.n").alias("m"), F.col("head.component").alias("theirs"), *[F.col(f"head.{f}").alias(f"{f}_") for f in FOLDED]), "token")
         else:
             here = scratch.write(here.join(heads.select("token"), "token"))
-            pairs = here.join(here.select("token", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs")), "token").filter("rep < other")
+            pairs = here.join(here.select("token", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs"), *[F.col(f).alias(f"{f}_") for f in FOLDED]), "token").filter("rep < other")
+        apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_"))) for f in FOLDED), F.lit(0))
+        pairs = pairs.filter(apart * (num + den) <= (den - num) * (F.col("n") + F.col("m")))
         pairs = pairs.filter((F.col("component") != F.col("theirs")) & (den * F.least("n", "m") >= num * F.greatest("n", "m")))
         pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         close = scratch.write(_close(pairs, parity, num, den))
         found = scratch.write(_similar(close, _sets(texts, close, k), num, den))
         linked = found if linked is None else linked.unionByName(found)
-        at = scratch.write(components(linked, Scratch(spark, "jaccard-components")))
+        work, before = Scratch(spark, "jaccard-components"), at
+        at = scratch.write(components(linked, work))
+        work.clear()
+        scratch.drop(close, before)
+    scratch.drop(lists)
+    for sent in (shared, frequent):
+        sent.unpersist()
 
     whole = signed.select("id", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"], "left")
     whole = whole.join(at.select(F.col("id").alias("rep"), "component"), "rep", "left")

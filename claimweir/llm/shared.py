@@ -37,6 +37,11 @@ class Scratch:
         self.paths.append((back, path))
         return back
 
+    def clear(self) -> None:
+        """Delete all tables of this folder."""
+        self.drop(*[back for back, _ in self.paths])
+        self.paths.clear()
+
     def drop(self, *frames: DataFrame) -> None:
         for path in (p for back, p in self.paths if any(back is frame for frame in frames)):
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
