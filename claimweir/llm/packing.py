@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Mapping
 from fractions import Fraction
 
@@ -13,39 +15,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimweir.llm.shared import Scratch
+from claimweir.llm.shingles import small_batches
 
 #: Bytes of text that one task packs at a time.
 BUCKET_BYTES = 16_000_000
-#: Words whose ids a task remembers; the memory is emptied when full.
-REMEMBERED = 200_000
+#: Words whose ids a worker remembers, in each of two generations.
+REMEMBERED = 300_000
 #: White space as the tokenizer's normaliser knows it (Unicode White_Space).
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def _words(text: str) -> list[str]:
+    """The words of a text; Python's own split knows four more separators, which texts hardly ever hold."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return _SPACE.split(text)
+    return text.split()
 
 
 class WordTokens:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes; each distinct word is encoded once.
+    """Token ids of texts; each distinct word is encoded once while it is remembered.
 
-    Right for tokenizers that drop white space and never join what it parts, as the word-level files do.
+    Right for tokenizers that drop white space and never join what it parts, as the word-level files do. Words are kept in two
+    generations: when the younger one is full the older one is forgotten, so words in use stay and the memory is bounded.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks of a machine side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        #: Ids of a vocabulary that is not larger take two bytes each.
+        self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as little-endian numbers of self.kind."""
+        words = [_words(t or "") for t in texts]
+        distinct = set().union(*words)
+        missing = [w for w in distinct if w not in self.young]
+        if len(self.young) + len(missing) > REMEMBERED:
+            self.old, self.young, missing = self.young, {}, list(distinct)
+        new = []
+        for w in missing:
+            if (ids := self.old.get(w)) is None:
+                new.append(w)
+            else:
+                self.young[w] = ids
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.young[w] = array(self.code, e.ids).tobytes()
+        known = self.young
+        return [b"".join([known[w] for w in own]) for own in words]
 
-    def encode(self, text: str | None) -> bytes:
-        words = _SPACE.split(text or "")
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+
+#: Tokenizers of this worker process; they outlive a task.
+_encoders: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    if path not in _encoders:
+        _encoders[path] = WordTokens(path)
+    return _encoders[path]
 
 
 def phases(amounts: list[int], targets: list[float | int]) -> list[tuple[list[int], list[int]]]:
@@ -69,6 +99,10 @@ def phases(amounts: list[int], targets: list[float | int]) -> list[tuple[list[in
     return out
 
 
+#: Edges of windows that a schedule remembers.
+EDGES = 100_000
+
+
 class Schedule:
     """Where each token of each source's stream goes.
 
@@ -82,6 +116,8 @@ class Schedule:
     def __init__(self, amounts: list[int], targets: list[float | int], window: int):
         self.window = window
         self.phases = []
+        self.edges: dict[tuple[int, int, int], tuple[int, int]] = {}
+        self.reached: dict[tuple[int, int], int] = {}
         at = 0
         for taken, before in phases(amounts, targets):
             ends = [0]
@@ -105,31 +141,45 @@ class Schedule:
                 low, x, ahead = middle, x - left, ahead + left
         return ahead, x
 
+    def at_edge(self, number: int, source: int, window: int) -> tuple[int, int]:
+        """What `given` says at the start of a window of a phase. Neighbouring documents ask for the same edges."""
+        key = (number, source, window)
+        if key not in self.edges:
+            if len(self.edges) > EDGES:
+                self.edges.clear()
+            first, ends, _ = self.phases[number]
+            self.edges[key] = self.given(ends, source, min(max(window * self.window - first, 0), ends[-1]))
+        return self.edges[key]
+
     def pieces(self, source: int, start: int, end: int) -> list[tuple[int, int, int, int]]:
         """(stream position, length, sequence, offset) of the pieces that hold positions start..end of a source's stream."""
         out = []
-        for first, ends, before in self.phases:
-            low, size = before[source], ends[-1]
+        for number, (first, ends, before) in enumerate(self.phases):
+            low = before[source]
             a, b = max(start, low), min(end, low + ends[source + 1] - ends[source])
             if a >= b:
                 continue
-            edge = lambda w: min(max(w * self.window - first, 0), size)
-            window, last = first // self.window, (first + size - 1) // self.window
-            while window < last:  # the first window after which the source has given more than a - low tokens
-                middle = (window + last) // 2
-                if self.given(ends, source, edge(middle + 1))[1] > a - low:
-                    last = middle
-                else:
-                    window = middle + 1
-            while a < b:
-                x0, x1 = edge(window), edge(window + 1)
-                (ahead0, own0), (ahead1, own1) = self.given(ends, source, x0), self.given(ends, source, x1)
+            window = self.reached.get((number, source), 0)
+            if not self.at_edge(number, source, window)[1] <= a - low < self.at_edge(number, source, window + 1)[1]:
+                window, last = first // self.window, (first + ends[-1] - 1) // self.window
+                while window < last:  # the first window after which the source has given more than a - low tokens
+                    middle = (window + last) // 2
+                    if self.at_edge(number, source, middle + 1)[1] > a - low:
+                        last = middle
+                    else:
+                        window = middle + 1
+            ahead0, own0 = self.at_edge(number, source, window)
+            while True:
+                ahead1, own1 = self.at_edge(number, source, window + 1)
                 until = min(b, low + own1)
                 if until > a:
                     offset = max(first - window * self.window, 0) + ahead1 - ahead0 + a - low - own0
                     out.append((a, until - a, window, offset))
                     a = until
-                window += 1
+                if a >= b:
+                    break
+                window, ahead0, own0 = window + 1, ahead1, own1
+            self.reached[number, source] = window
         return out
 
 
@@ -149,44 +199,48 @@ def pack(
     little-endian unsigned 32-bit numbers), doc_tokens (with the end id that follows every document), sequence_id, offset.
     Only the last sequence may be shorter than the window, so padding is less than one window.
 
-    A source is a queue of its documents by (hash bucket, id, text). Without targets a source's share is its share of all
+    A source is a queue of its documents by (hash bucket, id, hash of the text). Without targets a source's share is its share of all
     tokens, so every window has the mixture of the corpus. With targets, sources that they do not name come last, when the
     named ones are empty; as one source runs dry the others keep their ratio. The totals of sources reach every task as one
-    row a source; nothing of a document passes the driver. They are tokenized twice, to measure and to cut, rather than keep ids;
-    only to be cut are they dealt out to tasks by hash, once.
+    row a source; nothing of a document passes the driver. They are tokenized once; their ids are
+    dealt out to tasks by hash, and measured and cut from that one shuffle.
 
     Null text counts as empty: such documents are one end id. A null source is a queue of its own. Repeated rows are packed
     each. An empty table gives an empty result. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.col(source_column).cast("string").alias("source"))
-    size = docs.select(F.octet_length(text_column).cast("long").alias("size")).agg(F.sum("size")).first()[0] or 0
+    rows = docs.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    bucket = F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("long")
-    dealt = rows.withColumn("bucket", bucket)
-
-    def in_order(part: pa.Table) -> pa.Table:
-        return part.select(["source", "id", "text"]).sort_by([("source", "ascending"), ("id", "ascending"), ("text", "ascending")])
-
-    def measure(batches):
-        encoder = WordTokens(tokenizer)
-        sums: dict[tuple, int] = {}
-        for batch in batches:
-            for bucket, source, text in zip(*(batch.column(i).to_pylist() for i in (3, 2, 1)), strict=True):
-                sums[bucket, source] = sums.get((bucket, source), 0) + len(encoder.encode(text)) // 4 + 1
-        buckets_, sources = ([key[i] for key in sums] for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(buckets_, pa.int64()), pa.array(sources, pa.string()), pa.array(list(sums.values()), pa.int64())], names=["bucket", "source", "tokens"])
-
-    measured = rows.withColumn("bucket", bucket).mapInArrow(measure, "bucket long, source string, tokens long")
-    measured = Scratch(docs.sparkSession, "packing").write(measured.groupBy("bucket", "source").agg(F.sum("tokens").alias("tokens")))
+    bucket = F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("long").alias("bucket")
+    rows = rows.select("id", "source", bucket, F.xxhash64("text").alias("mark"), "text")
+    width = np.dtype(word_tokens(tokenizer).kind).itemsize
+
+    def tokenize(batches):
+        encoder = word_tokens(tokenizer)
+        for batch in small_batches(batches, 4):
+            ids = encoder.encode_all(batch.column(4).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.binary())], names=["id", "source", "bucket", "mark", "ids"])
+
+    kind = dict(rows.dtypes)["id"]
+    dealt = rows.mapInArrow(tokenize, f"id {kind}, source string, bucket long, mark long, ids binary").repartition(buckets, "bucket")
+
+    def measure(key, part):
+        sums: dict[str | None, int] = {}
+        for source, data in zip(part.column("source").to_pylist(), part.column("ids"), strict=True):
+            sums[source] = sums.get(source, 0) + len(data.as_buffer()) // width + 1
+        return pa.table({"bucket": pa.array([key[0].as_py()] * len(sums), pa.int64()), "source": pa.array(list(sums), pa.string()), "tokens": pa.array(list(sums.values()), pa.int64())})
+
+    # Both readers of `dealt`, and both of `started`, need the same columns, so that Spark shuffles once and reuses it.
+    measured = dealt.groupBy("bucket").applyInArrow(measure, "bucket long, source string, tokens long")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = measured.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    started = measured.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     # one row a bucket holds all its sources; totals have one row a source
-    starts = starts.groupBy("bucket").agg(F.collect_list(F.struct("source", "first")).alias("starts"))
-    totals = measured.groupBy("source").agg(F.sum("tokens").alias("tokens")).agg(F.sort_array(F.collect_list(F.struct("source", "tokens"))).alias("totals"))
+    starts = started.groupBy(F.col("bucket").alias("part")).agg(F.collect_list(F.struct("source", "first")).alias("starts"))
+    totals = started.groupBy("source").agg(F.max(F.col("first") + F.col("tokens")).alias("tokens"))
+    totals = totals.agg(F.sort_array(F.collect_list(F.struct("source", "tokens"))).alias("totals"))
     plan = starts.join(F.broadcast(totals))
 
     def cut(key, part, plan):
-        encoder = WordTokens(tokenizer)
         totals = plan.column("totals")[0].as_py()
         sources = [t["source"] for t in totals]
         amounts = [t["tokens"] for t in totals]
@@ -195,22 +249,21 @@ def pack(
         place = {s: k for k, s in enumerate(sources)}
         at = {s["source"]: s["first"] for s in plan.column("starts")[0].as_py()}
         out: list[list] = [[] for _ in range(8)]
-        end = np.array([end_id], "<u4").tobytes()
-        part = in_order(part)
-        for source, doc, text in zip(part.column("source"), part.column("id"), part.column("text"), strict=True):
+        end = np.array([end_id], "<u4")
+        part = part.sort_by([("source", "ascending"), ("id", "ascending"), ("mark", "ascending")])
+        for source, doc, data in zip(part.column("source"), part.column("id"), part.column("ids"), strict=True):
             source, doc = source.as_py(), doc.as_py()
-            ids = encoder.encode(text.as_py()) + end
-            n, first = len(ids) // 4, at[source]
+            ids = np.concatenate([np.frombuffer(data.as_buffer(), f"<u{width}"), end]).astype("<u4")
+            n, first = len(ids), at[source]
             for position, length, sequence, offset in schedule.pieces(place[source], first, first + n):
                 start = position - first
-                for column, value in zip(out, (doc, source, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, sequence, offset), strict=True):
+                for column, value in zip(out, (doc, source, start, length, zlib.crc32(ids[start : start + length]), n, sequence, offset), strict=True):
                     column.append(value)
             at[source] = first + n
         kinds = [part.schema.field("id").type, pa.string(), *[pa.int64()] * 6]
         names = ["id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         return pa.table({n: pa.array(c, k) for n, c, k in zip(names, out, kinds, strict=True)})
 
-    kind = dict(rows.dtypes)["id"]
     schema = f"id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    pieces = dealt.groupBy("bucket").cogroup(plan.groupBy("bucket")).applyInArrow(cut, schema)
+    pieces = dealt.groupBy("bucket").cogroup(plan.groupBy("part")).applyInArrow(cut, schema)
     return pieces.withColumnRenamed("id", id_column)

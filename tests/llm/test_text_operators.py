@@ -70,7 +70,7 @@ def test_schedule_places_every_token_once_and_holds_shares():
 def test_words_are_encoded_as_whole_texts_are(text):
     encoder = _encoder()
     whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole
+    assert np.frombuffer(encoder.encode_all([text])[0], encoder.kind).tolist() == whole
 
 
 def _encoder(known=[]):  # noqa: B006
@@ -84,7 +84,8 @@ def check_packing(docs, found, window=2048):
     encoder = _encoder()
     ids = {}
     for r in docs:
-        ids.setdefault(r.doc_id, []).append(encoder.encode(r.text) + b"\x01\0\0\0")
+        own = np.frombuffer(encoder.encode_all([r.text])[0], encoder.kind)
+        ids.setdefault(r.doc_id, []).append(np.append(own, 1).astype("<u4").tobytes())
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in found:
         own = ids[r.doc_id][0]
