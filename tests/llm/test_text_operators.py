@@ -246,3 +246,28 @@ def test_automaton_edges(spark):
     empty = score_texts(docs, docs.filter("false")).collect()
     assert {(r.train_tokens, r.n_known, r.score) for r in empty} == {(0, 0, 0.0)}
     assert score_texts(docs.filter("false"), docs).collect() == []
+
+
+def test_every_pair_of_words_is_an_arc_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr("claimweir.llm.lm.RANGE_BYTES", 100_000)
+    monkeypatch.setattr("claimweir.llm.lm.CHUNK_BYTES", 200_000)
+    draw = random.Random(4)
+    texts = [" ".join("w%d" % int(draw.paretovariate(0.5)) for _ in range(400)) + " seldom pair" * (i % 80 == 0) for i in range(400)]
+    rows = [(i, text, None, None) for i, text in enumerate(texts)] + [(1000, "seldom pair never w1", None, None), (1001, None, None, None)]
+    docs = documents(spark, rows)
+    found = {r.doc_id: r for r in score_texts(docs, docs.filter("doc_id < 400")).collect()}
+    count, arcs = collections.Counter(), collections.Counter()
+    for text in texts:
+        w = words(text)
+        count.update([*w, None])
+        arcs.update(zip([0, *w], [*w, None], strict=True))
+    count[0] = count[None]  # starts
+    total, distinct = sum(count.values()) - count[0], len(count) - 1
+    assert total > 150_000
+    for i, text, _, _ in rows:
+        w, score = words(text), 0.0
+        for h, x in zip([0, *w], [*w, None], strict=True):
+            p = (count[x] + 1) / (total + distinct + 1)
+            score += math.log10((arcs[h, x] + 100 * p) / (count[h] + 100))
+        assert math.isclose(found[i].score, score, rel_tol=1e-9)
+        assert (found[i].n_tokens, found[i].n_known, found[i].train_tokens) == (len(w) + 1, sum(x in count for x in [*w, None]), total)
