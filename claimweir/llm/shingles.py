@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are hashed at a time; it bounds the memory of a task, and a longer word is cut into two.
+#: Bytes of text that are hashed at a time; it bounds the memory of a task. A longer word is hashed piece by piece.
 WINDOW = 1 << 19
 _FACTOR = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
@@ -40,6 +40,22 @@ def _window_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def _long_word(data: np.ndarray, start: int) -> tuple[int, int]:
+    """Hash of a word that fills the window from `start` on, as _window_words would give it, and its end."""
+    power, _ = _power_table(WINDOW)
+    end, total = start, 0
+    while end < len(data):
+        piece = data[end : end + WINDOW]
+        space = np.flatnonzero(_SPACE[piece])
+        piece = piece[: space[0]] if len(space) else piece
+        part = ((piece.astype(np.uint64) + np.uint64(1)) * power[: len(piece)]).sum()
+        total += int(part) * pow(_FACTOR, end - start, 1 << 64)
+        end += len(piece)
+        if len(space):
+            break
+    return int(mixed(np.array([(total + end - start) % (1 << 64)], np.uint64))[0]), end
+
+
 def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts, A-Z in lower case, and where each text's words begin and end.
 
@@ -53,8 +69,13 @@ def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         window = data[at : at + WINDOW]
         if at + WINDOW < len(data):
             last = np.flatnonzero(_SPACE[window])
-            if len(last):
-                window = window[: last[-1] + 1]
+            if not len(last):
+                word, end = _long_word(data, at)
+                all_starts.append(np.array([at]))
+                hashes.append(np.array([word], np.uint64))
+                at = end
+                continue
+            window = window[: last[-1] + 1]
         starts, words = _window_words(window)
         all_starts.append(starts + at)
         hashes.append(words)

@@ -23,6 +23,24 @@ def test_words_and_shingles_are_those_of_a_plain_split():
     assert len(joined(own[0], 6)) == 0
 
 
+def test_a_word_longer_than_the_window_is_one_word():
+    texts = ["A b\x0bC d e", None, "über Über ÜBER x", "x" * 5_000_000 + " y", "a b c d e", "z " + "X" * 5_000_000, "q" * ((1 << 19) + 1), "q" * (1 << 19) + " q"]
+    hashes, bounds = word_hashes(texts)
+    assert np.diff(bounds).tolist() == [len(words(t)) for t in texts]
+    own = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert own[3][0] == own[5][1] and own[6][0] != own[7][0] != own[7][1]
+    assert all((word_hashes([t])[0] == x).all() for t, x in zip(texts, own, strict=True))
+
+
+def test_windows_do_not_change_hashes(monkeypatch):
+    texts = ["hello worldwideweb x", "abcdefghijklmnopqrstuvw", None, "seven77 seven7 eight888  "]
+    whole = word_hashes(texts)
+    monkeypatch.setattr("claimweir.llm.shingles._powers", {})
+    monkeypatch.setattr("claimweir.llm.shingles.WINDOW", 7)
+    for x, y in zip(whole, word_hashes(texts), strict=True):
+        assert (x == y).all()
+
+
 def test_similar_sets_share_a_token():
     draw = random.Random(3)
     nothing = np.zeros(1 << 24, np.uint8)
