@@ -2,8 +2,8 @@
 
 A line that the longest common subsequence of two such pages shares belongs to the template and goes. Two things bound that
 rule. Markup that names its purpose (navigation, adverts, comments, ...) is dropped at once. And inside an explicit article
-shared lines stay, because mirrored articles, quotes and lines that articles repeat are main text; so only pages without
-<article>, <main> or an article role are compared.
+(<article>, <main> or such a role) a line goes only when two neighbours whose articles differ share it, because mirrored
+articles and quotes are main text.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimweir.llm.shared import Scratch
+from claimweir.operators.lookup import lookup_join
 from claimweir.operators.numbering import number_ranges
 
 _TOKEN = re.compile(
@@ -44,7 +45,7 @@ _PARTS = re.compile(
     r"|login|search\w*|copyright|disclaimer|skip-link|hidden)(?:$|[\s_-])",
     re.I,
 )
-#: A neighbour that shares this part of a page's text is a copy of the page and says nothing about its template.
+#: Pages that share this part of the longer one's text are copies and say nothing about their template.
 COPY = 0.8
 
 
@@ -148,14 +149,40 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([_common(a[:half], b[:cut]), _common(a[half:], b[cut:]) + half])
 
 
+def lines_of_template(mine: tuple[list[int], list[int]], neighbours: list[tuple[list[int], list[int]] | None], explicit: bool) -> list[int]:
+    """Places of the lines to delete from a page, given as hashes and sizes of its lines, with its neighbours, nearest first.
+
+    Copies of the page are passed over. On a page without an explicit article the lines shared with the first neighbour go;
+    inside an article those shared with two, for a passage shared with one other article may be quoted. An article that has
+    nothing of its own stays whole.
+    """
+    lines, size = mine[0], np.array(mine[1])
+    found = []
+    for other in neighbours:
+        if other is not None and len(found) < 1 + explicit:
+            shared = shared_lines(lines, other[0])
+            if not _copied(size[shared].sum(), size.sum(), sum(other[1])):
+                found.append(shared)
+    if len(found) < 1 + explicit:
+        return []
+    gone = np.logical_and.reduce(found)
+    return [] if explicit and gone.all() else np.flatnonzero(gone).tolist()
+
+
+def _copied(shared: int, mine: int, theirs: int) -> bool:
+    return shared >= COPY * mine
+
+
 def page_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Rows (id, url, text, n_chars): the main text of every page, its blocks joined by one space, and its code points.
 
-    Pages without an explicit article are ordered by host and path; of the page before and the page after, on the same host,
-    that with the longer common path is the neighbour (ties: the one before). Equal pages stand once in that order. A
-    neighbour that shares 80 % of the text is a copy, and nothing is deleted for it; neither for a page alone on its host. A
-    null url counts as host and path of no letters; null or empty html gives an empty text. Repeated rows give repeated
-    results. Ordering is by ranges over all hosts, so a large host is in many tasks.
+    Pages are ordered by host and path, those with an explicit article and those without apart. The neighbours of a page are
+    the pages before and after it on the same host; one that shares 80 % of the page's text is a copy and is no neighbour. A page without an article loses the lines that it
+    shares with the neighbour of the longer common path (ties: the one before). An article loses those that it shares with
+    both neighbours (at the end of a host: with the nearest two); with fewer nothing is known about a template, and nothing is
+    deleted. Equal pages stand once in that order.  A null url counts as host and path of no letters; null or empty html gives an empty text. Repeated
+    rows give repeated results. Ordering is by ranges over all hosts, so a large host is in many tasks; pages are compared by
+    64-bit hashes of their lines.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "pages")
@@ -164,53 +191,70 @@ def page_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
         [
             rows.schema["id"],
             rows.schema["url"],
-            T.StructField("text", T.StringType()),
             T.StructField("lines", T.ArrayType(T.StringType())),
+            T.StructField("explicit", T.BooleanType()),
         ]
     )
 
     def parse(batches):
         for batch in batches:
-            texts, lines = [], []
-            for page in batch.column(2).to_pylist():
-                own, explicit = page_lines(page)
-                texts.append(" ".join(own) if explicit or not own else None)
-                lines.append(None if explicit or not own else own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string()))], names=["id", "url", "text", "lines"])
-
-    parsed = scratch.write(rows.mapInArrow(parse, schema))
-    done = parsed.filter("text IS NOT NULL").select("id", "url", "text")
+            found = [page_lines(page) for page in batch.column(2).to_pylist()]
+            lines, explicit = pa.array([x for x, _ in found], pa.list_(pa.string())), pa.array([x for _, x in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lines, explicit], names=["id", "url", "lines", "explicit"])
+
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][\w+.-]*://[^/?#]*)?([^?#]*)", 1)
-    left = parsed.filter("text IS NULL").withColumns({"host": host, "path": path, "mark": F.xxhash64(F.array_join("lines", "\n"))})
-    distinct = scratch.write(left.groupBy("host", "path", "mark").agg(F.first("lines").alias("lines")))
-    order = number_ranges(distinct.select("host", "path", "mark"), ["host", "path", "mark"], "at")
+    parsed = scratch.write(rows.mapInArrow(parse, schema)).withColumns({"host": host, "path": path, "mark": F.xxhash64(F.array_join("lines", "\n"))})
+    page = ["host", "explicit", "path", "mark"]
+    hashed = parsed.filter(F.size("lines") > 0).select(*page, F.transform("lines", lambda x: F.xxhash64(x)).alias("own"), F.transform("lines", F.char_length).alias("sizes"))
+    distinct = scratch.write(hashed.groupBy(*page).agg(F.first("own").alias("own"), F.first("sizes").alias("sizes")))
+    order = scratch.write(number_ranges(distinct, page, "at"))
 
-    def beside(step: int, name: str) -> DataFrame:
-        return order.select(F.col("host"), (F.col("at") + step).alias("at"), F.struct("path", "mark").alias(name))
+    def copies(batches):
+        for batch in batches:
+            same = []
+            for own, size, theirs, their_size in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                same.append(_copied(np.array(size)[shared_lines(own, theirs)].sum(), sum(size), sum(their_size)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.bool_())], names=["at", "copy"])
 
-    near = order.join(beside(1, "before"), ["host", "at"], "left").join(beside(-1, "after"), ["host", "at"], "left")
-    longer = _common_path("path", "after.path") > _common_path("path", "before.path")
-    chosen = F.when(F.col("before").isNull() | (F.col("after").isNotNull() & longer), F.col("after")).otherwise(F.col("before"))
-    near = near.select("host", "path", "mark", chosen.alias("near")).select("host", "path", "mark", F.col("near.path").alias("near_path"), F.col("near.mark").alias("near_mark"))
-    theirs = distinct.select("host", F.col("path").alias("near_path"), F.col("mark").alias("near_mark"), F.col("lines").alias("theirs"))
-    pairs = distinct.join(near, ["host", "path", "mark"]).join(theirs, ["host", "near_path", "near_mark"], "left").select("host", "path", "mark", "lines", "theirs")
+    following = order.select("host", "explicit", (F.col("at") - 1).alias("at"), F.col("own").alias("theirs"), F.col("sizes").alias("their_sizes"))
+    pairs = order.join(following, ["host", "explicit", "at"]).select("at", "own", "sizes", "theirs", "their_sizes")
+    pairs = scratch.write(pairs.mapInArrow(copies, "at long, copy boolean"))
+    # Steps to the next page on either side.
+    ahead = pairs.select(F.lit(True).alias("ahead"), "at", (F.col("at") + 1).alias("to"), "copy")
+    steps = scratch.write(ahead.unionByName(pairs.select(F.lit(False).alias("ahead"), (F.col("at") + 1).alias("at"), F.col("at").alias("to"), "copy")))
+    near = order.select("at", "explicit", "path")
+    for ahead, name in ((False, "before"), (True, "after")):
+        near = near.join(steps.filter(F.col("ahead") == ahead).select("at", F.col("to").alias(name)), "at", "left")
+    # An article at an end of its host has both neighbours on one side.
+    near = near.withColumns({"ahead": F.col("before").isNull(), "one": F.coalesce("before", "after")})
+    near = near.withColumn("one", F.when(F.col("explicit") & (F.col("before").isNull() | F.col("after").isNull()), F.col("one")))
+    near = scratch.write(near)
+    near = lookup_join(near, steps.select("ahead", F.col("at").alias("one"), F.col("to").alias("two")), ["ahead", "one"], "left")
+    near = scratch.write(near.select("at", F.coalesce("before", "two").alias("before"), F.coalesce("after", "two").alias("after")))
+    for name in ("before", "after"):
+        theirs = order.select(F.col("at").alias(name), F.struct("path", "own", "sizes").alias(f"{name}_page"))
+        near = scratch.write(lookup_join(near, theirs, [name], "left").drop(name))
+    both = order.join(near, "at")
+    longer = _common_path("path", "after_page.path") > _common_path("path", "before_page.path")
+    after_first = F.col("before_page").isNull() | (F.col("after_page").isNotNull() & longer)
+    ordered = [F.when(after_first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("after_page", "before_page", "first"), ("before_page", "after_page", "second"))]
 
     def differ(batches):
         for batch in batches:
-            texts = []
-            for mine, other in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                shared = shared_lines(mine, other or [])
-                size = np.array([len(line) for line in mine])
-                if size[shared].sum() >= COPY * size.sum():
-                    shared[:] = False
-                texts.append(" ".join(line for line, gone in zip(mine, shared, strict=True) if not gone))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], names=["host", "path", "mark", "text"])
-
-    told = pairs.mapInArrow(differ, "host string, path string, mark long, text string")
-    rest = left.select("id", "url", "host", "path", "mark").join(told, ["host", "path", "mark"]).select("id", "url", "text")
-    both = done.unionByName(rest)
-    return both.select(F.col("id").alias(id_column), F.col("url").alias(url_column), "text", F.char_length("text").cast("long").alias("n_chars"))
+            own, sizes, first, second, explicit = (c.to_pylist() for c in batch.columns[4:8] + [batch.column(1)])
+            gone = []
+            for a, b, x, y, article in zip(own, sizes, first, second, explicit, strict=True):
+                gone.append(lines_of_template((a, b), [z and (z["own"], z["sizes"]) for z in (x, y)], article))
+            keep = pa.array([len(x) > 0 for x in gone], pa.bool_())
+            columns = [*batch.columns[:4], pa.array(gone, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=[*page, "gone"])
+
+    told = both.select(*page, "own", "sizes", *ordered).mapInArrow(differ, "host string, explicit boolean, path string, mark long, gone array<int>")
+    rest = lookup_join(parsed, scratch.write(told), page, "left")
+    kept = F.filter("lines", lambda line, k: F.col("gone").isNull() | ~F.array_contains("gone", k))
+    text = F.array_join(kept, " ")
+    return rest.select(F.col("id").alias(id_column), F.col("url").alias(url_column), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def _common_path(a: str, b: str) -> Column:

@@ -271,3 +271,18 @@ def test_every_pair_of_words_is_an_arc_at_any_size(spark, monkeypatch):
             score += math.log10((arcs[h, x] + 100 * p) / (count[h] + 100))
         assert math.isclose(found[i].score, score, rel_tol=1e-9)
         assert (found[i].n_tokens, found[i].n_known, found[i].train_tokens) == (len(w) + 1, sum(x in count for x in [*w, None]), total)
+
+
+def _texts(spark, rows):
+    return {r.page_id: r.text for r in page_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_lines_that_articles_of_a_host_repeat_go(spark):
+    page = "<main><p>Read our notice</p><p>story {0}</p>{1}<p>tale {0}</p><div>Subscribe today</div></main>"
+    rows = [(i, f"http://h/a/{i}", page.format(i, "<p>a quote</p>" if i in (1, 2) else "")) for i in range(5)]
+    mirror = "<article><p>a long article that many paths hold</p></article>"
+    rows += [(10 + i, f"http://mirror/{i}", mirror) for i in range(3)] + [(20 + i, f"http://two/{i}", page.format(i, "")) for i in range(2)]
+    found = _texts(spark, rows)
+    want = {i: f"story {i} a quote tale {i}" if i in (1, 2) else f"story {i} tale {i}" for i in range(5)}
+    want |= {10 + i: "a long article that many paths hold" for i in range(3)}
+    assert found == want | {20 + i: f"Read our notice story {i} tale {i} Subscribe today" for i in range(2)}
