@@ -170,17 +170,19 @@ def lines_of_template(mine: tuple[list[int], list[int]], neighbours: list[tuple[
 
 
 def _copied(shared: int, mine: int, theirs: int) -> bool:
-    return shared >= COPY * mine
+    return shared >= COPY * max(mine, theirs)
 
 
 def page_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Rows (id, url, text, n_chars): the main text of every page, its blocks joined by one space, and its code points.
 
     Pages are ordered by host and path, those with an explicit article and those without apart. The neighbours of a page are
-    the pages before and after it on the same host; one that shares 80 % of the page's text is a copy and is no neighbour. A page without an article loses the lines that it
+    the nearest pages before and after it, on the same host, that are no copies of it: two pages are copies when they share
+    80 % of the text of the longer one, and runs of copies are passed over. A page without an article loses the lines that it
     shares with the neighbour of the longer common path (ties: the one before). An article loses those that it shares with
     both neighbours (at the end of a host: with the nearest two); with fewer nothing is known about a template, and nothing is
-    deleted. Equal pages stand once in that order.  A null url counts as host and path of no letters; null or empty html gives an empty text. Repeated
+    deleted. Equal pages stand once in that order. Where copies drift so far that the page beyond a run is a copy again, that
+    side has no neighbour. A null url counts as host and path of no letters; null or empty html gives an empty text. Repeated
     rows give repeated results. Ordering is by ranges over all hosts, so a large host is in many tasks; pages are compared by
     64-bit hashes of their lines.
     """
@@ -220,9 +222,14 @@ def page_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     following = order.select("host", "explicit", (F.col("at") - 1).alias("at"), F.col("own").alias("theirs"), F.col("sizes").alias("their_sizes"))
     pairs = order.join(following, ["host", "explicit", "at"]).select("at", "own", "sizes", "theirs", "their_sizes")
     pairs = scratch.write(pairs.mapInArrow(copies, "at long, copy boolean"))
-    # Steps to the next page on either side.
+    # Steps to the next page on either side; those to a copy are doubled until they leave its run or the host.
     ahead = pairs.select(F.lit(True).alias("ahead"), "at", (F.col("at") + 1).alias("to"), "copy")
     steps = scratch.write(ahead.unionByName(pairs.select(F.lit(False).alias("ahead"), (F.col("at") + 1).alias("at"), F.col("at").alias("to"), "copy")))
+    while not steps.filter("copy").isEmpty():
+        further = steps.select("ahead", F.col("at").alias("to"), F.col("to").alias("beyond"), F.col("copy").alias("again"))
+        doubled = steps.filter("copy").join(further, ["ahead", "to"]).select("ahead", "at", F.col("beyond").alias("to"), F.col("again").alias("copy"))
+        before, steps = steps, scratch.write(steps.filter("NOT copy").unionByName(doubled))
+        scratch.drop(before)
     near = order.select("at", "explicit", "path")
     for ahead, name in ((False, "before"), (True, "after")):
         near = near.join(steps.filter(F.col("ahead") == ahead).select("at", F.col("to").alias(name)), "at", "left")

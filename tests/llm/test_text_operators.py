@@ -286,3 +286,14 @@ def test_lines_that_articles_of_a_host_repeat_go(spark):
     want = {i: f"story {i} a quote tale {i}" if i in (1, 2) else f"story {i} tale {i}" for i in range(5)}
     want |= {10 + i: "a long article that many paths hold" for i in range(3)}
     assert found == want | {20 + i: f"Read our notice story {i} tale {i} Subscribe today" for i in range(2)}
+
+
+def test_copies_beside_a_page_are_passed_over(spark):
+    page = "<p>Menu of the site</p><p>{}</p><p>All rights reserved</p>"
+    mirrored = "a story of some length, told at one path and again at the next, and so for long " * 2
+    rows = [(i, f"http://h/b/{i}", page.format(mirrored + f"({i})") if i % 2 else page.format(mirrored)) for i in range(9)]
+    rows = [(i, url, html.replace("</p><p>All", f"</p><p>{i}</p><p>All")) for i, url, html in rows]
+    rows = [(i, url, html.replace(f"({i})", "")) for i, url, html in rows]
+    rows += [(20, "http://h/a", page.format("short")), (21, "http://h/c", page.format("a page of its own " * 9))]
+    found = _texts(spark, rows)
+    assert found == {i: f"{mirrored.strip()} {i}" for i in range(9)} | {20: "short", 21: ("a page of its own " * 9).strip()}
