@@ -39,21 +39,80 @@ _INLINE = {
 _DROPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "datalist"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 _PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notice\w*|popup\w*|modal\w*|overlay\w*"
-    r"|newsletter\w*|subscri\w*|signup|sidebar\w*|widget\w*|menu\w*|nav|navbar\w*|navigation|breadcrumb\w*|footer\w*|masthead|topbar|toolbar|site-header"
-    r"|page-header|comment|comments|commentlist|disqus\w*|respond|repl(?:y|ies)|share\w*|sharing|social\w*|related\w*|recommend\w*|pagination|pager"
-    r"|login|search\w*|copyright|disclaimer|skip-link|hidden)(?:$|[\s_-])",
-    re.I,
+    r"ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notice\w*|popup\w*|modal\w*|overlay\w*"
+    r"|newsletter\w*|subscri\w*|signup|sidebar\w*|widget\w*|menu\w*|nav|navbar\w*|navigation|breadcrumb\w*|footer\w*|masthead|topbar|toolbar"
+    r"|comment|comments|commentlist|disqus\w*|respond|repl(?:y|ies)|share\w*|sharing|social\w*|related\w*|recommend\w*|pagination|pager"
+    r"|login|search\w*|copyright|disclaimer|hidden"
 )
+_WHOLE = {"site-header", "page-header", "skip-link"}
+#: Words that may stand beside the name of a part in a class, as in ad-box; any other makes it another name (has-sidebar).
+_BESIDE = {
+    "area", "article", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "col", "column", "component", "container", "content",
+    "desktop", "fixed", "floating", "form", "global", "group", "head", "header", "heading", "icon", "icons", "inner", "item", "items", "js", "left", "link", "links",
+    "list", "main", "media", "message", "mobile", "module", "news", "outer", "page", "panel", "policy", "post", "posts", "primary", "region", "right", "row",
+    "secondary", "section", "site", "slot", "sticky", "stories", "story", "text", "title", "top", "unit", "wrap", "wrapper",
+}
+_COMMENT = re.compile(r"(?:^|[\s_-])(?:comment|reply)(?:$|[\s_-])")
 #: Pages that share this part of the longer one's text are copies and say nothing about their template.
 COPY = 0.8
 
 
+def _names_part(names: str) -> bool:
+    """Whether a class or id, as a whole, names a page part."""
+    for name in names.split():
+        parts = [x for x in re.split(r"[_-]+", name) if x]
+        named = [_PARTS.fullmatch(x) is not None for x in parts]
+        if name in _WHOLE or (any(named) and all(n or x in _BESIDE or x.isdigit() for n, x in zip(named, parts, strict=True))):
+            return True
+    return False
+
+
+def _attributes(token: re.Match) -> dict[str, str]:
+    return {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(token[4] or token[7] or "")}
+
+
+def _names(attributes: dict[str, str]) -> str:
+    return f"{attributes.get('class', '')} {attributes.get('id', '')}"
+
+
+def _starts_article(name: str, attributes: dict[str, str]) -> bool:
+    return name in ("article", "main") or attributes.get("role", "") in ("article", "main") or attributes.get("itemprop") == "articlebody"
+
+
+def _holders(tokens: list[re.Match]) -> set[int]:
+    """Where elements start that hold a <main>, or all articles of the page; comments and articles in navigation do not count."""
+    open_: list[tuple[str, int, bool]] = []  # name, start, closed to articles
+    mains: set[int] = set()
+    articles: set[int] | None = None
+    for token in tokens:
+        name = (token[3] or token[6] or "").lower()
+        if not name or name in _VOID:
+            continue
+        if token[2] or token[5]:
+            for k in range(len(open_) - 1, -1, -1):
+                if open_[k][0] == name:
+                    del open_[k:]
+                    break
+            continue
+        closed = bool(open_) and open_[-1][2]
+        attributes = {} if closed else _attributes(token)
+        if not closed and _starts_article(name, attributes):
+            if name == "main" or attributes.get("role") == "main":
+                mains |= {start for _, start, _ in open_}
+            elif _COMMENT.search(_names(attributes)) is None:
+                around = {start for _, start, _ in open_}
+                articles = around if articles is None else articles & around
+            closed = True
+        open_.append((name, token.start(), closed or (name in _DROPPED and name != "form")))
+    return mains | (articles or set())
+
+
 def page_lines(page: str | None) -> tuple[list[str], bool]:
     """The blocks of a whole page in page order, and whether they come from an explicit article.
 
     Character references are decoded, white space becomes one space, empty blocks go. Unclosed elements end with their parent,
-    stray end tags are ignored. Null gives no blocks.
+    stray end tags are ignored. Null gives no blocks. An element that holds the page's article is not dropped for its class, and
+    no inline element of an article is.
     """
     page = page or ""
     lines: list[tuple[str, bool]] = []
@@ -69,7 +128,9 @@ def page_lines(page: str | None) -> tuple[list[str], bool]:
             run.clear()
 
     at = 0
-    for token in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    holders = _holders(tokens)
+    for token in tokens:
         if token.start() > at and not dropped:
             run.append(page[at : token.start()])
         at = token.end()
@@ -91,19 +152,20 @@ def page_lines(page: str | None) -> tuple[list[str], bool]:
             continue
         if name in _VOID:
             continue
-        attributes = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(token[4] or token[7] or "")}
+        attributes = _attributes(token)
         role = attributes.get("role", "")
-        starts = name in ("article", "main") or role in ("article", "main") or attributes.get("itemprop") == "articlebody"
-        named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+        starts = _starts_article(name, attributes)
+        named = _names(attributes)
+        holds = token.start() in holders
         drops = (
-            name in _DROPPED
+            (name in _DROPPED and not (name == "form" and holds))
             or (name == "header" and not article)
             or role in _ROLES
             or "hidden" in attributes
             or attributes.get("aria-hidden") == "true"
             or "display:none" in attributes.get("style", "").replace(" ", "")
-            or (name not in ("html", "body", "article", "main") and _PARTS.search(named) is not None)
-            or (name == "article" and re.search(r"(?:^|[\s_-])(?:comment|reply)(?:$|[\s_-])", named) is not None)
+            or (name not in ("html", "body", "article", "main") and not holds and not (article and name in _INLINE) and _names_part(named))
+            or (name == "article" and _COMMENT.search(named) is not None)
         )
         if drops != dropped or starts:
             end_block()

@@ -297,3 +297,13 @@ def test_copies_beside_a_page_are_passed_over(spark):
     rows += [(20, "http://h/a", page.format("short")), (21, "http://h/c", page.format("a page of its own " * 9))]
     found = _texts(spark, rows)
     assert found == {i: f"{mirrored.strip()} {i}" for i in range(9)} | {20: "short", 21: ("a page of its own " * 9).strip()}
+
+
+def test_classes_that_only_contain_the_name_of_a_part_are_kept():
+    page = '<body><nav>menu</nav><div class="site-content has-sidebar"><article><p>A</p>{}</article></div><div class="sidebar-left">side</div></body>'
+    inside = '<section class="related-work"><p>earlier work</p></section><p>at <span class="share-price">9</span> and <b class="notice">more</b></p><div class="share-buttons">Share</div>'
+    assert page_lines(page.format(inside)) == (["A", "earlier work", "at 9 and more"], True)
+    assert page_lines('<form id="form"><div class="widget-area sidebar"><main>text</main></div></form>') == (["text"], True)
+    teasers = '<article><p>text</p></article><div class="related-posts"><article>teaser</article></div><div class="comments"><article class="comment">c</article></div>'
+    assert page_lines(teasers) == (["text"], True)
+    assert page_lines('<p>text</p><div class="comments"><article class="comment">c</article></div><div class="main-menu">m</div>') == (["text"], False)
