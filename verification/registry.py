@@ -812,7 +812,7 @@ register(
             f"FROM {'mart' if n.endswith('mart') else n}"
             for n in _TABLES
         ),
-        "mart",
+        *["mart" if n.endswith("mart") else n for n in _TABLES],
     ),
 )
 
