@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweir.llm.decontaminate import find_leaks, leak_indexes
@@ -16,6 +16,7 @@ from claimweir.llm.neardup import near_duplicates
 from claimweir.llm.packing import pack
 from claimweir.llm.pages import page_text
 from claimweir.llm.quality import AT_QUANTILE, quality_score, train_ranking
+from claimweir.llm.runs import periodic_runs
 from claimweir.llm.shared import fold, table
 from claimweir.llm.toxicity import severity, train_severity
 
@@ -92,6 +93,40 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def _repeating(doc_id: Column, text: Column) -> Column:
+    """The text of op12: of a tenth of the documents, all words from one on are replaced by a repetition of the first few of them."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = F.floor((n - a) / (F.lit(3) + g % 8)) + 1
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
+    # an array of one element binds the words, so that they are split once
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), F.transform(F.array(words), repeated)[0]).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of all documents, a tenth of which are made to repeat."""
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs(docs.select("doc_id", _repeating(F.col("doc_id"), F.col("text")).alias("text")))
+    line = lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("less"))))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.before")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.less")).alias("period"),
+        F.expr("best.length * 1000 div -best.less").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality": op2_quality,
@@ -103,5 +138,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_leaks": op9_leaks,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLES: dict[str, str] = {}
