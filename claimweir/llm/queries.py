@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweir.llm.align import align_tokens
 from claimweir.llm.decontaminate import find_leaks, leak_indexes
 from claimweir.llm.jaccard_join import jaccard_join
 from claimweir.llm.kd_shards import kd_shards
@@ -15,6 +16,7 @@ from claimweir.llm.lm import score_texts
 from claimweir.llm.neardup import near_duplicates
 from claimweir.llm.packing import pack
 from claimweir.llm.pages import page_text
+from claimweir.llm.pii import KINDS, find_personal_data, train_recogniser
 from claimweir.llm.quality import AT_QUANTILE, quality_score, train_ranking
 from claimweir.llm.runs import periodic_runs
 from claimweir.llm.shared import fold, table
@@ -93,6 +95,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by two tokenizers, with how often the corpus links their pairs of ids."""
+    import public_tokenizers
+
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = align_tokens(table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def _repeating(doc_id: Column, text: Column) -> Column:
     """The text of op12: of a tenth of the documents, all words from one on are replaced by a repetition of the first few of them."""
     h = F.crc32(doc_id.cast("string"))
@@ -127,6 +139,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of all documents, by a model learned from their plain forms."""
+    docs = table(spark, sf_dir, "documents")
+    found = find_personal_data(docs, train_recogniser(docs))
+    base = F.filter("spans", lambda s: s["chance"].isNull())
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    counts = [(F.size(base) - F.size(F.array_remove(F.transform(base, lambda s: s["kind"]), k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality": op2_quality,
@@ -138,6 +160,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_leaks": op9_leaks,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_token_alignment": op11_token_alignment,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_personal_data": op13_personal_data,
 }
 ORACLES: dict[str, str] = {}
