@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import re
+import json
 from collections import defaultdict
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,13 @@ FAN = 64
 #: A pair is a number: the first tokenizer's id, then the second one's in so many bits.
 B_BITS = 24
 _SPACE = "▁"
-#: A space that does not stand alone between two characters that are none.
-_OTHER_SPACES = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
+#: White space in the sense of either tokenizer, and some more; where it stands beside a space a text is not cut.
+_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+_BESIDE = [x for c in _WHITE for x in (c + " ", " " + c)]
+#: How a byte-level BPE file cuts texts before it joins bytes (fixed value).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Units that are encoded in one call.
+TOGETHER = 200
 
 
 def units(text: str) -> list[str]:
@@ -38,7 +43,7 @@ def units(text: str) -> list[str]:
     if not text:
         return []
     parts = text.split(" ")
-    if _OTHER_SPACES.search(text) is None:
+    if parts[0] and parts[-1] and not any(x in text for x in _BESIDE):
         return parts
     out = [parts[0]]
     for part in parts[1:]:
@@ -53,80 +58,93 @@ def units(text: str) -> list[str]:
 class Aligned:
     """Units with their tokens and links; those of unit i are links[bounds[i] : bounds[i + 1]]."""
 
-    right: np.ndarray  # whether both tokenizers give the unit's bytes back
+    right: np.ndarray  # whether both tokenizers give the unit's bytes back; if not it has no tokens
     n_a: np.ndarray
     n_b: np.ndarray
     n_groups: np.ndarray
-    groups: list[str]
     links: np.ndarray
     bounds: np.ndarray
+    groups: list[str]  # empty unless asked for
 
 
 class Aligner:
-    """A byte-level BPE (A) and a sentencepiece BPE (B) side by side."""
+    """A byte-level BPE (A) and a sentencepiece BPE (B) side by side.
+
+    The ids of A's file are the order of its merges, so its tokens are those of tiktoken with these ranks, which encodes many times
+    faster; a file that is not of this form is refused.
+    """
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks of a machine side by side
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.b = SentencePieceProcessor(model_file=path_b)
-        # the byte-level alphabet holds printable bytes as themselves and the others, in their order, from 256 on
-        printable = [b for b in range(256) if chr(b) in set(ByteLevel.alphabet())]
+        from tiktoken import Encoding
+
+        with open(path_a, encoding="utf-8") as file:
+            told = json.load(file)
+        vocabulary, merges = told["model"]["vocab"], told["model"]["merges"]
+        joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+        kept = told["normalizer"] is None and told["pre_tokenizer"]["type"] == "ByteLevel" and not told["pre_tokenizer"]["add_prefix_space"]
+        if not kept or not told["pre_tokenizer"]["use_regex"] or any(vocabulary.get(t) != 256 + i for i, t in enumerate(joined)):
+            raise ValueError(f"{path_a} is no byte-level BPE whose ids follow its merges")
+        # printable bytes stand for themselves, the others, in their order, for the characters from 256 on
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
-        names = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.bytes_a = {i: bytes(byte_of[c] for c in t) for i, t in names.items() if all(c in byte_of for c in t)}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if i < 256 + len(merges)}
+        self.a = Encoding("A", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.b = SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
         if any(_SPACE in p.lstrip(_SPACE) for p in pieces):
             raise ValueError("a piece goes on behind a space, so texts cannot be cut at spaces")
-        self.name_a, self.name_b = {i: str(i) for i in names}, [str(i) for i in range(len(pieces))]
-
-    def align(self, found: list[str]) -> Aligned:
-        """Tokens, groups and links of units."""
-        spaced = [" " + u for u in found]
-        all_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        all_b = self.b.encode(found, num_threads=1) if found else []
+        self.bytes_a = [t for t, _ in sorted(ranks.items(), key=lambda item: item[1])]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.size_a, self.size_b = (np.array([len(t) for t in own]) for own in (self.bytes_a, self.bytes_b))
+        numbers = [str(i) for own in (self.bytes_a, self.bytes_b) for i in range(len(own))]
+        self.named = np.array([[n + sign for n in numbers] for sign in (",", "|", ";", "")], object)
+
+    def _encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units one after the other. Units with white space at an end are encoded alone, others together."""
+        together: list[list[str]] = [[]]
+        for u in found:
+            alone = not u or u[0].isspace() or u[-1].isspace()
+            if alone or len(together[-1]) >= TOGETHER:
+                together.append([])
+            together[-1].append(u)
+            if alone:
+                together.append([])
+        texts = [" ".join(g) for g in together if g]
+        all_a = (self.a.encode_ordinary(" " + t) for t in texts)
+        return tuple(np.fromiter(chain.from_iterable(ids), np.int64) for ids in (all_a, self.b.encode(texts, num_threads=1)))
+
+    def _gives_back(self, unit: str) -> bool:
+        a, b = self._encode([unit])
+        return b"".join([self.bytes_a[i] for i in a]) == b"".join([self.bytes_b[i] for i in b]) == b" " + unit.encode()
+
+    def align(self, found: list[str], with_groups: bool = False) -> Aligned:
+        """Tokens, links and, if asked for, groups of units."""
         right = np.ones(len(found), bool)
-        n_groups, texts, links, bounds = [], [], [], [0]
-        bytes_a, bytes_b, name_a, name_b = self.bytes_a, self.bytes_b, self.name_a, self.name_b
-        for k, (unit, a, b) in enumerate(zip(spaced, all_a, all_b, strict=True)):
-            whole = unit.encode()
-            own_a, own_b = [bytes_a.get(i, b"") for i in a], [bytes_b[i] for i in b]
-            if b"".join(own_a) != whole or b"".join(own_b) != whole:
-                right[k] = False
-                n_groups.append(0)
-                texts.append("")
-                bounds.append(len(links))
-                continue
-            i = j = first_i = first_j = 0
-            end_a, end_b = len(own_a[0]), len(own_b[0])
-            groups = []
-            while True:
-                links.append(a[i] << B_BITS | b[j])
-                if end_a < end_b:
-                    i += 1
-                    end_a += len(own_a[i])
-                elif end_b < end_a:
-                    j += 1
-                    end_b += len(own_b[j])
-                else:
-                    i, j = i + 1, j + 1
-                    groups.append(",".join([name_a[x] for x in a[first_i:i]]) + "|" + ",".join([name_b[x] for x in b[first_j:j]]))
-                    if i == len(a):
-                        break
-                    first_i, first_j = i, j
-                    end_a += len(own_a[i])
-                    end_b += len(own_b[j])
-            n_groups.append(len(groups))
-            texts.append(";".join(groups))
-            bounds.append(len(links))
-        counts = ([len(x) for x in own] for own in (all_a, all_b))
-        n_a, n_b = (np.array(c, np.int64) for c in counts)
-        return Aligned(right, n_a, n_b, np.array(n_groups, np.int64), texts, np.array(links, np.int64), np.array(bounds, np.int64))
+        a, b = self._encode(found)
+        whole = [b" " + u.encode() for u in found]
+        if not b"".join([self.bytes_a[i] for i in a]) == b"".join([self.bytes_b[i] for i in b]) == b"".join(whole):
+            right = np.array([self._gives_back(u) for u in found])
+            a, b = self._encode([u for u, r in zip(found, right, strict=True) if r])
+        # cuts are the byte offsets where a token of either ends: from one to the next lies the overlap of one token of each
+        ends_a, ends_b = self.size_a[a].cumsum(), self.size_b[b].cumsum()
+        cuts, common = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+        links = a[np.searchsorted(ends_a, cuts)] << B_BITS | b[np.searchsorted(ends_b, cuts)]
+        ends = np.cumsum(np.where(right, [len(w) for w in whole], 0)) if found else np.empty(0, np.int64)
+        if not np.isin(ends[right], common).all():
+            raise ValueError("tokens go on behind a cut")
+        upto = [np.concatenate([[0], np.searchsorted(where, ends, side="right")]) for where in (ends_a, ends_b, common, cuts)]
+        n_a, n_b, n_groups = (np.diff(u) for u in upto[:3])
+        groups: list[str] = []
+        if with_groups:
+            in_a, in_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+            last_a, last_b = (np.append(g[1:] != g[:-1], True)[: len(g)] for g in (in_a, in_b))
+            sign = np.concatenate([last_a.astype(int), np.where(last_b, 2 + np.isin(ends_b, ends), 0)])
+            order = np.argsort(np.concatenate([2 * in_a, 2 * in_b + 1]), kind="stable")
+            flat = self.named[sign, np.concatenate([a, b + len(self.bytes_a)])][order].tolist()
+            at = upto[0] + upto[1]
+            groups = ["".join(flat[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+        return Aligned(right, n_a, n_b, n_groups, links, upto[3], groups)
 
 
 #: Tokenizers of this worker process; nothing of a text is kept with them.
@@ -142,11 +160,11 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 class Chunk:
     """Texts as arrays of numbers of their distinct units, which are aligned once."""
 
-    def __init__(self, texts: list[str | None], tokenizers: Aligner):
+    def __init__(self, texts: list[str | None], tokenizers: Aligner, with_groups: bool = False):
         numbers: defaultdict[str, int] = defaultdict()
         numbers.default_factory = numbers.__len__
         own = [np.fromiter(map(numbers.__getitem__, u), np.int64, len(u)) for u in map(units, (t or "" for t in texts))]
-        self.found = tokenizers.align(list(numbers))
+        self.found = tokenizers.align(list(numbers), with_groups)
         right = self.found.right
         #: The units of each text; none where a tokenizer does not give the text's bytes back.
         self.units = own if right.all() else [u if right[u].all() else u[:0] for u in own]
@@ -155,7 +173,7 @@ class Chunk:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct pairs linked in the chunk, sorted, and how many links hold each."""
-        times = np.bincount(self.flat, minlength=len(self.found.groups))
+        times = np.bincount(self.flat, minlength=len(self.found.right))
         keys, which = np.unique(self.found.links, return_inverse=True)
         each = np.repeat(times, np.diff(self.found.bounds))
         counts = np.bincount(which, weights=each, minlength=len(keys)).astype(np.int64)  # whole numbers below 2 ** 53
@@ -306,7 +324,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_column: str = "do
         figures = np.concatenate([*_lists(reply.column("figures")), np.empty(0, np.int64)]).astype(np.int64)
         order = np.argsort(keys)
         keys, figures = keys[order], figures[order]
-        chunk = Chunk(part.column("text").to_pylist(), aligner(path_a, path_b))
+        chunk = Chunk(part.column("text").to_pylist(), aligner(path_a, path_b), with_groups=True)
         found = chunk.found
         # pairs that only texts without tokens hold are not among the keys
         at = np.minimum(np.searchsorted(keys, found.links), max(len(keys) - 1, 0))
