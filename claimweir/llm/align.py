@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from claimweir.llm.shared import Scratch
 from claimweir.llm.shingles import mixed, small_batches
 
 #: Bytes of text that form a chunk, whose distinct pairs are counted together and asked for together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 16 << 20
 #: Distinct pairs that one hash function holds, about.
 RANGE_PAIRS = 1 << 17
 #: Count vectors of a hash function that are added up in one group.
@@ -26,9 +26,8 @@ FAN = 64
 #: A pair is a number: the first tokenizer's id, then the second one's in so many bits.
 B_BITS = 24
 _SPACE = "▁"
-#: White space in the sense of either tokenizer, and some more; where it stands beside a space a text is not cut.
-_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-_BESIDE = [x for c in _WHITE for x in (c + " ", " " + c)]
+#: White space beside white space: there a text is not cut.
+_WIDE = re.compile(r"\s\s")
 #: How a byte-level BPE file cuts texts before it joins bytes (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Units that are encoded in one call.
@@ -43,7 +42,7 @@ def units(text: str) -> list[str]:
     if not text:
         return []
     parts = text.split(" ")
-    if parts[0] and parts[-1] and not any(x in text for x in _BESIDE):
+    if not (text[0].isspace() or text[-1].isspace() or _WIDE.search(text)):
         return parts
     out = [parts[0]]
     for part in parts[1:]:
@@ -102,17 +101,11 @@ class Aligner:
 
     def _encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all units one after the other. Units with white space at an end are encoded alone, others together."""
-        together: list[list[str]] = [[]]
-        for u in found:
-            alone = not u or u[0].isspace() or u[-1].isspace()
-            if alone or len(together[-1]) >= TOGETHER:
-                together.append([])
-            together[-1].append(u)
-            if alone:
-                together.append([])
-        texts = [" ".join(g) for g in together if g]
-        all_a = (self.a.encode_ordinary(" " + t) for t in texts)
-        return tuple(np.fromiter(chain.from_iterable(ids), np.int64) for ids in (all_a, self.b.encode(texts, num_threads=1)))
+        alone = [i for i, u in enumerate(found) if u.strip() != u or not u]
+        cuts = sorted({0, len(found), *range(0, len(found), TOGETHER), *alone, *(i + 1 for i in alone)})
+        texts = [" ".join(found[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        all_a, all_b = [self.a.encode_ordinary(" " + t) for t in texts], self.b.encode(texts, num_threads=1)
+        return tuple(np.concatenate([np.array(i, np.int64) for i in ids]) if texts else np.empty(0, np.int64) for ids in (all_a, all_b))
 
     def _gives_back(self, unit: str) -> bool:
         a, b = self._encode([unit])
@@ -128,7 +121,9 @@ class Aligner:
             a, b = self._encode([u for u, r in zip(found, right, strict=True) if r])
         # cuts are the byte offsets where a token of either ends: from one to the next lies the overlap of one token of each
         ends_a, ends_b = self.size_a[a].cumsum(), self.size_b[b].cumsum()
-        cuts, common = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+        both = np.append(ends_b, -1)[np.searchsorted(ends_b, ends_a)] == ends_a
+        common = ends_a[both]
+        cuts = np.sort(np.concatenate([ends_a[~both], ends_b]), kind="stable")
         links = a[np.searchsorted(ends_a, cuts)] << B_BITS | b[np.searchsorted(ends_b, cuts)]
         ends = np.cumsum(np.where(right, [len(w) for w in whole], 0)) if found else np.empty(0, np.int64)
         if not np.isin(ends[right], common).all():
