@@ -18,7 +18,7 @@ from claimweir.llm.shared import Scratch
 from claimweir.llm.shingles import mixed, small_batches
 
 #: Bytes of text that form a chunk, whose distinct pairs are counted together and asked for together.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 #: Distinct pairs that one hash function holds, about.
 RANGE_PAIRS = 1 << 17
 #: Count vectors of a hash function that are added up in one group.
