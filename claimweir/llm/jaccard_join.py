@@ -5,8 +5,9 @@ inverted lists. Either way a set sends tokens, and similar sets share a token:
 
 - light: sets of sizes s and s' that are similar share c = ceil(num (s + s') / (num + den)) shingles, so both hold a common
   subset of c; a token is (s, s', subset);
-- heavy: in any order of shingles, two similar sets share one of the first |A| - ceil(num |A| / den) + 1 of each. Frequent
-  shingles come last in the order, so that a passage of many documents does not make a list of them.
+- heavy: in any order of shingles, two similar sets share one of the first |A| - ceil(num |A| / den) + 1 of each, and behind the
+  places of the first one they share either set has as many shingles as they have to have in common. Frequent shingles come last in
+  the order, so that a passage of many documents does not make a list of them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweir.llm.bits import bit_array, has_bit
@@ -24,9 +25,13 @@ from claimweir.llm.components import components
 from claimweir.llm.shared import Scratch
 from claimweir.llm.shingles import mixed, shingle_sets, small_batches
 
-#: Shingles whose hash lies in the lowest quarter are counted: prefixes in hash order come from there.
+#: Shingles whose hash lies in the lowest quarter come first and are counted in all sets. The others are counted only in sets that have
+#: too few unfrequent ones there: no other set has them in its prefix.
 LOW_BITS = 62
-PLACE_BITS = 26
+LOW = np.uint64(1 << LOW_BITS)
+#: Least and most bits of an array of places, and bits for each place that is set.
+PLACES = (1 << 20, 1 << 28)
+ROOM = 16
 #: A shingle of more documents counts as frequent and comes last in the order.
 FREQUENT = 16
 ID_BITS = 1 << 24
@@ -65,19 +70,61 @@ def choose_boundary(num: int, den: int, list_length: float, most: int = 64) -> i
     return boundary
 
 
-def tokens_of(shingles: np.ndarray, boundary: int, num: int, den: int, shared: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The tokens of one set; those of shingles known to be in one document only are left out."""
+def place_bits(count: int) -> int:
+    """log2 of the bits of an array that `count` places go into."""
+    least, most = PLACES
+    return (min(max(ROOM * count, least), most) - 1).bit_length()
+
+
+class Places:
+    """Shingles of some property as bits by their hash, low ones and others apart. A few others fall on the same bits, the same ones
+    for every set, so orders stay the same for all and nothing that is shared counts as alone."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray | None = None):
+        self.low, self.high = low, high
+
+    @staticmethod
+    def column(low: bool, bits: int) -> Column:
+        """The place of column shingle, a 64-bit number as Spark's signed long."""
+        return F.shiftrightunsigned("shingle", LOW_BITS - bits if low else 64 - bits).alias("place")
+
+    def has(self, shingles: np.ndarray) -> np.ndarray:
+        """For sorted shingles, the low ones of which are the first."""
+        cut = np.searchsorted(shingles, LOW)
+        parts = [has_bit(self.low, (shingles[:cut] >> np.uint64(LOW_BITS + 1 - (8 * len(self.low)).bit_length())).astype(np.int64))]
+        if cut < len(shingles):
+            parts.append(has_bit(self.high, (shingles[cut:] >> np.uint64(65 - (8 * len(self.high)).bit_length())).astype(np.int64)))
+        return np.concatenate(parts)
+
+
+def prefix_size(n: int, num: int, den: int) -> int:
+    return n - -(-num * n // den) + 1
+
+
+def wants_more(shingles: np.ndarray, boundary: int, num: int, den: int, frequent: Places) -> bool:
+    """Whether a set that may meet a heavy one has too few unfrequent shingles among the low ones to fill its prefix."""
     n = len(shingles)
-    out = []
+    if n <= num * boundary // den:
+        return False
+    low = shingles[: np.searchsorted(shingles, LOW)]
+    size = prefix_size(n, num, den)
+    return len(low) < size or int((~frequent.has(low)).sum()) < size
+
+
+def tokens_of(shingles: np.ndarray, boundary: int, num: int, den: int, shared: Places, frequent: Places) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of one set (sorted shingles), and at which place of its order each stands (0 for subsets).
+
+    The order is: low shingles that are not frequent, others that are not, frequent ones, each by hash. Tokens of shingles known to
+    be in one set only are left out.
+    """
+    n = len(shingles)
+    out, at = [], []
     if n > num * boundary // den:  # may be similar to a heavy set
-        low = shingles < np.uint64(1 << LOW_BITS)
-        place = (shingles[low] >> np.uint64(LOW_BITS - PLACE_BITS)).astype(np.int64)
-        last = np.zeros(n, bool)
-        last[low] = has_bit(frequent, place)
-        order = np.concatenate([np.flatnonzero(~last), np.flatnonzero(last)])[: n - -(-num * n // den) + 1]
-        alone = np.zeros(n, bool)
-        alone[low] = ~has_bit(shared, place)
-        out.append(shingles[order[~alone[order]]])
+        last = frequent.has(shingles)
+        first = np.concatenate([np.flatnonzero(~last), np.flatnonzero(last)])[: prefix_size(n, num, den)]
+        kept = np.flatnonzero(shared.has(shingles)[first])
+        out.append(shingles[first[kept]])
+        at.append(kept)
     if n <= boundary:
         for least, most, c in subset_sizes(n, boundary, num, den):
             subsets = np.array(list(combinations(range(n), c)))
@@ -85,7 +132,8 @@ def tokens_of(shingles: np.ndarray, boundary: int, num: int, den: int, shared: n
             for j in range(c):
                 keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + shingles[subsets[:, j]])
             out.append(keys)
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            at.append(np.zeros(len(keys), np.int64))
+    return (np.concatenate(out), np.concatenate(at)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
 def parity_of(shingles: np.ndarray) -> bytes:
@@ -139,20 +187,34 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_co
     context = spark.sparkContext
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
 
-    def low_shingles(batches):
-        for batch in small_batches(batches, 1):
-            counts: list[np.ndarray] = [s[s < np.uint64(1 << LOW_BITS)] for s in shingle_sets(batch.column(1).to_pylist(), k, True)]
-            found, n = np.unique(np.concatenate(counts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+    def counted(choose, low: bool) -> DataFrame:
+        """The shingles that `choose` takes from the sets and that occur in more than one of them, with how many."""
+
+        def run(batches):
+            for batch in small_batches(batches, 1):
+                chosen = [choose(s) for s in shingle_sets(batch.column(1).to_pylist(), k, True)]
+                found, n = np.unique(np.concatenate(chosen), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+        rows = texts.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
+        return scratch.write(rows)
+
+    def arrays(repeated: DataFrame, low: bool) -> list[np.ndarray]:
+        bits = place_bits(repeated.count())
+        places = repeated.select(Places.column(low, bits), "n")
+        return [bit_array(rows.select("place"), 1 << bits) for rows in (places, places.filter(F.col("n") > FREQUENT))]
 
-    repeated = texts.mapInArrow(low_shingles, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
-    place = F.shiftright("shingle", LOW_BITS - PLACE_BITS).alias("place")
-    repeated = scratch.write(repeated.select(place, "n"))
+    repeated = counted(lambda s: s[: np.searchsorted(s, LOW)], True)
     mean = repeated.agg(F.avg(F.least("n", F.lit(FREQUENT)))).first()[0] or 2.0
     boundary = choose_boundary(num, den, mean)
-    shared = context.broadcast(bit_array(repeated.select("place"), 1 << PLACE_BITS))
-    frequent = context.broadcast(bit_array(repeated.filter(F.col("n") > FREQUENT).select("place"), 1 << PLACE_BITS))
+    shared_low, frequent_low = arrays(repeated, True)
     scratch.drop(repeated)
+    first = context.broadcast(Places(frequent_low))
+    repeated = counted(lambda s: s[np.searchsorted(s, LOW) :] if wants_more(s, boundary, num, den, first.value) else s[:0], False)
+    shared_high, frequent_high = arrays(repeated, False)
+    scratch.drop(repeated)
+    shared = context.broadcast(Places(shared_low, shared_high))
+    frequent = context.broadcast(Places(frequent_low, frequent_high))
 
     def signatures(batches):
         with np.errstate(over="ignore"):
@@ -160,40 +222,48 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_co
                 sets = shingle_sets(batch.column(1).to_pylist(), k, True)
                 prints = [(int(mixed(s + np.uint64(1)).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D))))) if len(s) else (0, 0) for s in sets]
                 prints = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
-                tokens = [tokens_of(s, boundary, num, den, shared.value, frequent.value).view(np.int64) for s in sets]
+                tokens = [tokens_of(s, boundary, num, den, shared.value, frequent.value) for s in sets]
                 sketches = [parity_of(s) for s in sets]
                 folds = np.array([folded(s) for s in sketches], np.int64).reshape(-1, len(FOLDED))
-                offsets = np.cumsum([0] + [len(t) for t in tokens]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64)))
+                offsets = pa.array(np.cumsum([0] + [len(t) for t, _ in tokens]).astype(np.int32))
+                empty = np.empty(0, np.int64)
+                own, at = (np.concatenate([empty, *[t[i].view(np.int64) for t in tokens]]) for i in (0, 1))
+                lists = pa.StructArray.from_arrays([pa.array(own), pa.array(at)], names=["token", "at"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists, pa.array(sketches, pa.binary()), *(pa.array(folds[:, i]) for i in range(len(FOLDED)))],
+                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.ListArray.from_arrays(offsets, lists), pa.array(sketches, pa.binary()), *(pa.array(folds[:, i]) for i in range(len(FOLDED)))],
                     names=["id", "n", "f1", "f2", "tokens", "parity", *FOLDED],
                 )
 
-    signed = scratch.write(texts.mapInArrow(signatures, "id long, n long, f1 long, f2 long, tokens array<long>, parity binary, " + ", ".join(f"{f} long" for f in FOLDED)))
+    signed = scratch.write(texts.mapInArrow(signatures, "id long, n long, f1 long, f2 long, tokens array<struct<token: long, at: long>>, parity binary, " + ", ".join(f"{f} long" for f in FOLDED)))
     known = signed.filter("id IS NOT NULL AND n > 0")
-    classes = scratch.write(known.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "tokens", "parity", *FOLDED)).alias("first")).select("n", "f1", "f2", F.col("first.id").alias("rep"), "first.*"))
+    classes = scratch.write(known.groupBy("n", "f1", "f2").agg(F.min_by(F.struct("id", "tokens", "parity", *FOLDED), "id").alias("first")).select("n", "f1", "f2", F.col("first.id").alias("rep"), "first.*"))
 
-    lists = classes.select(F.explode("tokens").alias("token"), "rep", "n", *FOLDED)
+    lists = classes.select(F.explode("tokens").alias("t"), "rep", "n", *FOLDED).select("t.*", "rep", "n", *FOLDED)
     several = lists.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token")
     lists = scratch.write(lists.join(several, "token"))
     parity = classes.select(F.col("rep").alias("id"), "n", "parity")
 
+    def reaches(n: str, at: str, m: str) -> Column:
+        """Whether a set has as many shingles from the place of a token on as it and another have in common."""
+        return (F.col(n) - F.col(at)) * (num + den) >= num * (F.col(n) + F.col(m))
+
     linked = None
     at = None
     for round_number in range(ROUNDS + 1):
         here = lists if at is None else lists.join(at.select(F.col("id").alias("rep"), "component"), "rep", "left")
         here = here.withColumn("component", F.col("rep") if at is None else F.coalesce("component", "rep"))
-        head = F.struct(F.xxhash64("rep", F.lit(round_number)).alias("hash"), "rep", "n", "component", *FOLDED)
+        # the head of a list has least before the token, so it is likeliest similar to the others; later on, that of some component
+        turn = F.lit(0) if at is None else F.xxhash64("component", F.lit(round_number))
+        head = F.struct(turn.alias("turn"), "at", F.xxhash64("rep").alias("hash"), "rep", "n", "component", *FOLDED)
         heads = here.groupBy("token").agg(F.min(head).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
         if round_number < ROUNDS:
-            pairs = here.join(heads.select("token", F.col("head.rep").alias("other"), F.col("head.n").alias("m"), F.col("head.component").alias("theirs"), *[F.col(f"head.{f}").alias(f"{f}_") for f in FOLDED]), "token")
+            pairs = here.join(heads.select("token", F.col("head.rep").alias("other"), F.col("head.n").alias("m"), F.col("head.at").alias("its"), F.col("head.component").alias("theirs"), *[F.col(f"head.{f}").alias(f"{f}_") for f in FOLDED]), "token")
         else:
             here = scratch.write(here.join(heads.select("token"), "token"))
-            pairs = here.join(here.select("token", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs"), *[F.col(f).alias(f"{f}_") for f in FOLDED]), "token").filter("rep < other")
+            pairs = here.join(here.select("token", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("at").alias("its"), F.col("component").alias("theirs"), *[F.col(f).alias(f"{f}_") for f in FOLDED]), "token").filter("rep < other")
         apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_"))) for f in FOLDED), F.lit(0))
         pairs = pairs.filter(apart * (num + den) <= (den - num) * (F.col("n") + F.col("m")))
-        pairs = pairs.filter((F.col("component") != F.col("theirs")) & (den * F.least("n", "m") >= num * F.greatest("n", "m")))
+        pairs = pairs.filter((F.col("component") != F.col("theirs")) & reaches("n", "at", "m") & reaches("m", "its", "n"))
         pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         close = scratch.write(_close(pairs, parity, num, den))
         found = scratch.write(_similar(close, _sets(texts, close, k), num, den))
@@ -203,12 +273,13 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_co
         work.clear()
         scratch.drop(close, before)
     scratch.drop(lists)
-    for sent in (shared, frequent):
+    for sent in (first, shared, frequent):
         sent.unpersist()
 
     whole = signed.select("id", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"], "left")
     whole = whole.join(at.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return whole.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id")).alias("component_id"))
+    component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id")))
+    return whole.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def _close(pairs: DataFrame, parity: DataFrame, num: int, den: int) -> DataFrame:

@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pytest
 
+from claimweir.llm.bits import bit_array
 from claimweir.llm.components import components
-from claimweir.llm.jaccard_join import bits_apart, choose_boundary, jaccard_join, least_common, parity_of, subset_sizes, tokens_of
+from claimweir.llm.jaccard_join import FREQUENT, LOW, Places, bits_apart, choose_boundary, jaccard_join, least_common, parity_of, place_bits, subset_sizes, tokens_of, wants_more
 from claimweir.llm.shared import Scratch, table
 from claimweir.llm.shingles import joined, shingle_sets, word_hashes
 from tests.llm.helpers import EDGES, Groups, documents, jaccard_groups, words
@@ -43,8 +44,9 @@ def test_windows_do_not_change_hashes(monkeypatch):
 
 def test_similar_sets_share_a_token():
     draw = random.Random(3)
-    nothing = np.zeros(1 << 24, np.uint8)
-    everything = ~nothing
+    nothing = np.zeros(1 << 10, np.uint8)
+    some = np.random.default_rng(1).integers(0, 256, 1 << 10).astype(np.uint8)
+    everything = Places(~nothing, ~nothing)
     for _ in range(400):
         num, den = draw.choice([(85, 100), (8, 10)])
         boundary = draw.choice([0, 6, 9, 14])
@@ -54,9 +56,12 @@ def test_similar_sets_share_a_token():
         both = len(np.intersect1d(a, b))
         if len(b) and den * both >= num * (len(a) + len(b) - both):
             assert bits_apart([parity_of(a)], [parity_of(b)])[0] <= len(a) + len(b) - 2 * both
-            for frequent in (nothing, everything):
-                x, y = (tokens_of(s, boundary, num, den, everything, frequent) for s in (a, b))
-                assert len(np.intersect1d(x, y)), (len(a), len(b), boundary)
+            for frequent in (Places(nothing, nothing), everything, Places(some, some), Places(some, nothing)):
+                (x, i), (y, j) = (tokens_of(s, boundary, num, den, everything, frequent) for s in (a, b))
+                mine, theirs = (dict(zip(t.tolist(), p.tolist(), strict=True)) for t, p in ((x, i), (y, j)))
+                need = num * (len(a) + len(b))
+                # of the tokens that both have, one stands early enough in either
+                assert any(min(len(a) - mine[t], len(b) - theirs[t]) * (num + den) >= need for t in mine.keys() & theirs.keys()), (len(a), len(b), boundary)
 
 
 def test_parity_sketches_of_different_sizes_bound_the_difference():
@@ -70,6 +75,34 @@ def test_parity_sketches_of_different_sizes_bound_the_difference():
     assert near <= len(np.setxor1d(a, b)) and far > 1500
 
 
+def test_places_are_the_same_in_spark_and_in_numpy(spark):
+    hashes = np.unique(np.random.default_rng(4).integers(0, 1 << 64, 4_000, dtype=np.uint64))
+    rows = spark.createDataFrame([(int(h),) for h in hashes.view(np.int64)], "shingle long")
+    bits, low = place_bits(100), hashes < LOW
+    assert place_bits(0) == place_bits(100) == 20 and place_bits(1 << 20) == 24 and place_bits(1 << 60) == 28
+    half = [bit_array(rows.filter(f"pmod(shingle, 2) = 0 AND ({side})").select(Places.column(is_low, bits)), 1 << bits) for is_low, side in ((True, f"shingle >= 0 AND shingle < {int(LOW)}"), (False, f"shingle < 0 OR shingle >= {int(LOW)}"))]
+    assert low.sum() > 800
+    found = Places(*half).has(hashes)
+    assert found[hashes % 2 == 0].all() and found[hashes % 2 == 1].mean() < 0.02
+
+
+def test_prefixes_of_sets_with_many_frequent_shingles_hold_few_of_them():
+    draw = np.random.default_rng(9)
+    base = np.unique(draw.integers(0, 1 << 64, 400, dtype=np.uint64))
+    own = np.unique(np.concatenate([base, draw.integers(0, 1 << 64, 80, dtype=np.uint64)]))
+    arrays = []
+    for side in (base[base < LOW], base[base >= LOW]):
+        bits = np.zeros(1 << 20, bool)
+        shift = 62 - 20 if len(side) and side[0] < LOW else 64 - 20
+        bits[(side >> np.uint64(shift)).astype(int)] = True
+        arrays.append(np.packbits(bits, bitorder="little"))
+    frequent, everything = Places(*arrays), Places(*(np.full(1 << 17, 255, np.uint8),) * 2)
+    assert wants_more(own, 10, 85, 100, frequent) and not wants_more(np.setdiff1d(own, base), 10, 85, 100, frequent)
+    tokens, at = tokens_of(own, 10, 85, 100, everything, frequent)
+    assert len(tokens) == 73 and not np.isin(tokens, base).any() and (at == np.arange(73)).all()
+    assert FREQUENT == 16
+
+
 def test_boundary_follows_cost():
     assert choose_boundary(85, 100, 1.0) <= choose_boundary(85, 100, 50.0) <= choose_boundary(85, 100, 5000.0)
     assert least_common(6, 7, 85, 100) == 6
@@ -107,9 +140,7 @@ def test_join_of_near_copies_and_shared_passages_equals_brute_force(spark):
 def test_join_edges(spark):
     docs = documents(spark, EDGES)
     found = sorted(((r[0], r[1], r[2]) for r in jaccard_join(docs, 4, 85, 100).collect()), key=lambda r: (r[0] is None, r))
-    assert found == [(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 3, 4), (4, 3, 4), (5, 3, 4), (6, 0, 6), (7, 1, 7), (8, 1, 8), (None, 3, None)] or [
-        (r[0], r[1]) for r in found
-    ] == [(1, 0), (2, 0), (3, 1), (4, 3), (4, 3), (5, 3), (6, 0), (7, 1), (8, 1), (None, 3)]
+    assert found == [(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 3, 4), (4, 3, 4), (5, 3, 4), (6, 0, 6), (7, 1, 7), (8, 1, 8), (None, 3, None)]
     assert jaccard_join(docs.filter("false")).collect() == []
 
 
