@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from array import array
+from collections import defaultdict
 from collections.abc import Mapping
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,10 +21,13 @@ from claimweir.llm.shingles import small_batches
 
 #: Bytes of text that one task packs at a time.
 BUCKET_BYTES = 16_000_000
-#: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 300_000
 #: White space as the tokenizer's normaliser knows it (Unicode White_Space).
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Words of letters up to U+024F and ASCII signs: normal forms already, in lower case letter by letter.
+_PLAIN = re.compile(r"[!-~\xa1-\u012f\u0131-\u024f]+")
+#: How the word-level files cut words (fixed value), and what is put behind each part, and between words as a part of its own.
+WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PART_END, _WORD_END = "\x01", "\n"
 
 
 def _words(text: str) -> list[str]:
@@ -32,43 +37,114 @@ def _words(text: str) -> list[str]:
     return text.split()
 
 
+class PlainWords:
+    """Ids of plain words by tiktoken, for a BPE file of the word-level form; many times faster than one call for each word.
+
+    Such a file marks the last sign of a word part. Here a mark of one byte follows the part, and joining it to the sign before
+    comes ahead of all merges, which then follow in the file's order: the ids are the file's.
+    """
+
+    def __init__(self, told: dict):
+        from tiktoken import Encoding
+
+        vocabulary, merges = told["model"]["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in told["model"]["merges"]]
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+        mark = _PART_END.encode()
+
+        def plain(token: str) -> bytes:
+            ends = token.endswith("</w>") and len(token) > 4
+            return bytes(byte_of[c] for c in (token[:-4] if ends else token)) + mark * ends
+
+        # bytes first, as tiktoken wants them; then each byte with the mark, then the merges
+        order = [bytes([b]) for b in range(256)] + [bytes([b]) + mark for b in range(256)] + [plain("".join(m)) for m in merges]
+        sign = {b: c for c, b in byte_of.items()}
+        names = [sign[b] for b in range(256)] + [sign[b] + "</w>" for b in range(256)] + ["".join(m) for m in merges]
+        ranks = {t: i for i, t in enumerate(order)}
+        if len(ranks) != len(order) or any(n not in vocabulary for n in names):
+            raise ValueError("two merges give the same token")
+        self.ids = np.array([vocabulary[n] for n in names])
+        self.end = ranks[(_WORD_END + _PART_END).encode()]
+        self.encoding = Encoding("words", pat_str=f"[^{_PART_END}]+{_PART_END}", mergeable_ranks=ranks, special_tokens={})
+        self.parts = regex.compile(f"{WORD_PARTS}|{_WORD_END}")
+
+    @classmethod
+    def of(cls, path: str) -> PlainWords | None:
+        """None for files of another form."""
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        normalizers = [n["type"] for n in (told["normalizer"] or {}).get("normalizers", [])]
+        cut = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        same = normalizers == ["NFC", "Replace", "Lowercase"] and cut.get("pattern") == {"Regex": WORD_PARTS} and told["model"].get("end_of_word_suffix") == "</w>"
+        return cls(told) if same else None
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and how many each has."""
+        found, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for low in range(0, len(words), 10_000):
+            text = _WORD_END.join([*words[low : low + 10_000], ""]).lower()
+            marked = _PART_END.join([*self.parts.findall(text), ""])
+            ranks = np.array(self.encoding.encode_ordinary(marked), np.int64)
+            ends = np.flatnonzero(ranks == self.end)
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            found.append(self.ids[np.delete(ranks, ends)])
+        return np.concatenate(found), np.concatenate(sizes)
+
+
 class WordTokens:
-    """Token ids of texts; each distinct word is encoded once while it is remembered.
+    """Token ids of texts; each distinct word of a call is encoded once.
 
-    Right for tokenizers that drop white space and never join what it parts, as the word-level files do. Words are kept in two
-    generations: when the younger one is full the older one is forgotten, so words in use stay and the memory is bounded.
+    Right for tokenizers that drop white space and never join what it parts, as the word-level files do. Plain words go the fast way
+    if the file allows it, all others to the tokenizer itself, which is loaded when it is needed. Nothing of a text is kept.
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks of a machine side by side
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
+        self._tokenizer = None
+        self.plain = PlainWords.of(path)
         #: Ids of a vocabulary that is not larger take two bytes each.
-        self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        size = int(self.plain.ids.max()) + 3 if self.plain else self.tokenizer.get_vocab_size()
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+
+    @property
+    def tokenizer(self):
+        if self._tokenizer is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks of a machine side by side
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in some order, and where those of each word begin and end."""
+        fast = [self.plain is not None and _PLAIN.fullmatch(w) is not None and "<|" not in w for w in words]
+        rest = [w for w, f in zip(words, fast, strict=True) if not f]
+        ids, sizes = self.plain.encode([w for w, f in zip(words, fast, strict=True) if f]) if any(fast) else (np.empty(0, np.int64),) * 2
+        slow = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)] if rest else []
+        lengths = np.zeros(len(words), np.int64)
+        is_fast = np.array(fast, bool)
+        lengths[is_fast], lengths[~is_fast] = sizes, [len(i) for i in slow]
+        first = np.zeros(len(words), np.int64)
+        first[is_fast] = np.cumsum(sizes) - sizes
+        first[~is_fast] = len(ids) + np.cumsum([0, *[len(i) for i in slow]])[:-1]
+        return np.concatenate([ids, *[np.array(i, np.int64) for i in slow]]), np.stack([first, first + lengths])
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian numbers of self.kind."""
-        words = [_words(t or "") for t in texts]
-        distinct = set().union(*words)
-        missing = [w for w in distinct if w not in self.young]
-        if len(self.young) + len(missing) > REMEMBERED:
-            self.old, self.young, missing = self.young, {}, list(distinct)
-        new = []
-        for w in missing:
-            if (ids := self.old.get(w)) is None:
-                new.append(w)
-            else:
-                self.young[w] = ids
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.young[w] = array(self.code, e.ids).tobytes()
-        known = self.young
-        return [b"".join([known[w] for w in own]) for own in words]
-
-
-#: Tokenizers of this worker process; they outlive a task.
+        numbers: defaultdict[str, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        own = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in map(_words, (t or "" for t in texts))]
+        ids, (first, end) = self.encode_words(list(numbers))
+        words = np.concatenate([*own, np.empty(0, np.int64)])
+        sizes = (end - first)[words]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.arange(upto[-1]) + np.repeat(first[words] - upto[:-1], sizes)
+        data, width = ids[places].astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+        cuts = (width * upto[np.cumsum([0, *map(len, own)])]).tolist()
+        return [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+#: Tokenizers of this worker process.
 _encoders: dict[str, WordTokens] = {}
 
 
@@ -206,12 +282,13 @@ def pack(
     dealt out to tasks by hash, and measured and cut from that one shuffle.
 
     Null text counts as empty: such documents are one end id. A null source is a queue of its own. Repeated rows are packed
-    each. An empty table gives an empty result. Other columns are ignored.
+    each, in buckets by their place in the input, so that no bucket grows with them. An empty table gives an empty result. Other columns are ignored.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    bucket = F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("long").alias("bucket")
+    # rows that repeat an id and a text are dealt out by their place in the input, which any number of them may share
+    bucket = F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id()), F.lit(buckets)).cast("long").alias("bucket")
     rows = rows.select("id", "source", bucket, F.xxhash64("text").alias("mark"), "text")
     width = np.dtype(word_tokens(tokenizer).kind).itemsize
 
