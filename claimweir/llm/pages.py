@@ -2,18 +2,20 @@
 
 A line that the longest common subsequence of two such pages shares belongs to the template and goes. Two things bound that
 rule. Markup that names its purpose (navigation, adverts, comments, ...) is dropped at once. And inside an explicit article
-(<article>, <main> or such a role) a line goes only when two neighbours whose articles differ share it, because mirrored
-articles and quotes are main text.
+(<article>, <main> or such a role) lines go only where a template has them, in an unbroken run behind the headline or at the end, and
+only when two neighbours with other headlines share them: mirrored articles and quotes are main text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from os.path import commonprefix
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,14 +23,12 @@ from claimweir.llm.shared import Scratch
 from claimweir.operators.lookup import lookup_join
 from claimweir.operators.numbering import number_ranges
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|math|iframe|object|canvas|audio|video|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][\w:-]*)([^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"</?([a-zA-Z][\w:-]*+)")
+#: The rest of a tag. Quotes count behind an equals sign only; each of the possessive repeats reads a character once.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
+# Elements whose contents are no text.
+_RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "canvas", "audio", "video", "title"}
+_RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in _RAW}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|style|aria-hidden|aria-label|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 # Element names of HTML and common names of page parts.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -52,23 +52,94 @@ _BESIDE = {
     "list", "main", "media", "message", "mobile", "module", "news", "outer", "page", "panel", "policy", "post", "posts", "primary", "region", "right", "row",
     "secondary", "section", "site", "slot", "sticky", "stories", "story", "text", "title", "top", "unit", "wrap", "wrapper",
 }
+#: What a class drops inside an explicit article: adverts, comments, buttons. Any other name there may be that of a section of the text.
+_PARTS_INSIDE = re.compile(r"ad|ads|adv|advert\w*|adsense|sponsor\w*|comment|comments|commentlist|disqus\w*")
+_INTERFACE = {"bar", "btn", "button", "buttons", "icon", "icons", "links", "toolbar"}
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comment|reply)(?:$|[\s_-])")
 #: Pages that share this part of the longer one's text are copies and say nothing about their template.
 COPY = 0.8
 
 
-def _names_part(names: str) -> bool:
-    """Whether a class or id, as a whole, names a page part."""
+def _names_part(names: str, inside: bool = False) -> bool:
+    """Whether a class or id, as a whole, names a page part; inside an article only adverts, comments and buttons are such parts."""
     for name in names.split():
         parts = [x for x in re.split(r"[_-]+", name) if x]
         named = [_PARTS.fullmatch(x) is not None for x in parts]
-        if name in _WHOLE or (any(named) and all(n or x in _BESIDE or x.isdigit() for n, x in zip(named, parts, strict=True))):
-            return True
+        if (not inside and name in _WHOLE) or (any(named) and all(n or x in _BESIDE or x.isdigit() for n, x in zip(named, parts, strict=True))):
+            if not inside or any(x in _INTERFACE or _PARTS_INSIDE.fullmatch(x) for x in parts):
+                return True
     return False
 
 
-def _attributes(token: re.Match) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(token[4] or token[7] or "")}
+class Tag(NamedTuple):
+    """Where markup starts and ends; comments and elements without text have no name."""
+
+    start: int
+    end: int
+    name: str = ""
+    closes: bool = False
+    attributes: str = ""
+
+
+def scan(page: str) -> list[Tag]:
+    """The markup of a page, in time linear in the page.
+
+    A tag whose end cannot be found behind its quotes makes the rest of the page be read without regard to quotes: every later tag
+    ends at the next `>`. Where no `>` follows, the rest is text; unclosed comments and scripts reach to the end.
+    """
+    out, at, last, quoted = [], 0, page.rfind(">"), True
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            out.append(Tag(start, at))
+        elif start > last:
+            break
+        elif (name := _NAME.match(page, start)) is not None:
+            rest = _REST.match(page, name.end()) if quoted else None
+            quoted = quoted and rest is not None
+            at = rest.end() if rest else page.find(">", name.end()) + 1
+            if not at:  # the name itself reaches beyond the last >
+                break
+            lower, closes = name[1].lower(), page[start + 1] == "/"
+            if lower in _RAW and not closes:
+                end = _RAW_END[lower].search(page, at)
+                at = end.end() if end else len(page)
+                out.append(Tag(start, at))
+            else:
+                out.append(Tag(start, at, lower, closes, page[name.end() : at - 1]))
+        elif page[start + 1 : start + 2] in ("!", "?", "/"):
+            at = page.find(">", start) + 1
+            out.append(Tag(start, at))
+        else:
+            at = start + 1
+    return out
+
+
+class _Open:
+    """Open elements, found by name without a search."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, *rest) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, *rest))
+
+    def close(self, name: str) -> bool:
+        """End the innermost element of a name and all inside it; False if there is none."""
+        places = self.places.get(name)
+        if not places:
+            return False
+        place = places[-1]
+        while len(self.stack) > place:
+            self.places[self.stack.pop()[0]].pop()
+        return True
+
+
+def _attributes(tag: Tag) -> dict[str, str]:
+    return {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(tag.attributes)}
 
 
 def _names(attributes: dict[str, str]) -> str:
@@ -79,84 +150,87 @@ def _starts_article(name: str, attributes: dict[str, str]) -> bool:
     return name in ("article", "main") or attributes.get("role", "") in ("article", "main") or attributes.get("itemprop") == "articlebody"
 
 
-def _holders(tokens: list[re.Match]) -> set[int]:
+def _holders(tags: list[Tag]) -> set[int]:
     """Where elements start that hold a <main>, or all articles of the page; comments and articles in navigation do not count."""
-    open_: list[tuple[str, int, bool]] = []  # name, start, closed to articles
+    open_ = _Open()  # name, start, closed to articles
     mains: set[int] = set()
-    articles: set[int] | None = None
-    for token in tokens:
-        name = (token[3] or token[6] or "").lower()
-        if not name or name in _VOID:
+    common: list[int] | None = None  # elements around all articles so far
+    least = 0  # fewest open elements since the last article
+    for tag in tags:
+        if not tag.name or tag.name in _VOID:
             continue
-        if token[2] or token[5]:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    del open_[k:]
-                    break
+        if tag.closes:
+            open_.close(tag.name)
+            least = min(least, len(open_.stack))
             continue
-        closed = bool(open_) and open_[-1][2]
-        attributes = {} if closed else _attributes(token)
-        if not closed and _starts_article(name, attributes):
-            if name == "main" or attributes.get("role") == "main":
-                mains |= {start for _, start, _ in open_}
+        closed = bool(open_.stack) and open_.stack[-1][2]
+        attributes = {} if closed else _attributes(tag)
+        if not closed and _starts_article(tag.name, attributes):
+            if tag.name == "main" or attributes.get("role") == "main":
+                for _, start, _ in reversed(open_.stack):
+                    if start in mains:
+                        break
+                    mains.add(start)
             elif _COMMENT.search(_names(attributes)) is None:
-                around = {start for _, start, _ in open_}
-                articles = around if articles is None else articles & around
+                if common is None:
+                    common = [start for _, start, _ in open_.stack]
+                else:
+                    del common[least:]
+                least = len(common)
             closed = True
-        open_.append((name, token.start(), closed or (name in _DROPPED and name != "form")))
-    return mains | (articles or set())
+        open_.push(tag.name, tag.start, closed or (tag.name in _DROPPED and tag.name != "form"))
+    return mains | set(common or ())
 
 
-def page_lines(page: str | None) -> tuple[list[str], bool]:
-    """The blocks of a whole page in page order, and whether they come from an explicit article.
+def page_lines(page: str | None) -> tuple[list[str], bool, int]:
+    """The blocks of a whole page in page order, whether they come from an explicit article, and which is its headline (the first
+    <h1>; -1 without one).
 
     Character references are decoded, white space becomes one space, empty blocks go. Unclosed elements end with their parent,
     stray end tags are ignored. Null gives no blocks. An element that holds the page's article is not dropped for its class, and
-    no inline element of an article is.
+    inside an article only classes of adverts, comments and buttons drop an element, inline ones aside.
     """
     page = page or ""
-    lines: list[tuple[str, bool]] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, dropped, inside an article
+    lines: list[tuple[str, bool, bool]] = []
+    open_ = _Open()  # name, dropped, inside an article
     run: list[str] = []
-    dropped = article = any_article = False
+    dropped = article = any_article = heading = False
 
     def end_block() -> None:
+        nonlocal heading
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
-                lines.append((text, article))
+                lines.append((text, article, heading))
             run.clear()
+        heading = False
 
     at = 0
-    tokens = list(_TOKEN.finditer(page))
-    holders = _holders(tokens)
-    for token in tokens:
-        if token.start() > at and not dropped:
-            run.append(page[at : token.start()])
-        at = token.end()
-        name = token[3] or token[6]
-        if name is None:
+    tags = scan(page)
+    holders = _holders(tags)
+    for tag in tags:
+        if tag.start > at and not dropped:
+            run.append(page[at : tag.start])
+        at = tag.end
+        name = tag.name
+        if not name:
             continue
-        name = name.lower()
         if name not in _INLINE:
             end_block()
-        if token[2] or token[5]:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    del open_[k:]
-                    outer = open_[-1][1:] if open_ else (False, False)
-                    if outer != (dropped, article):
-                        end_block()
-                    dropped, article = outer
-                    break
+        if tag.closes:
+            if open_.close(name):
+                outer = open_.stack[-1][1:] if open_.stack else (False, False)
+                if outer != (dropped, article):
+                    end_block()
+                dropped, article = outer
             continue
         if name in _VOID:
             continue
-        attributes = _attributes(token)
+        attributes = _attributes(tag)
         role = attributes.get("role", "")
         starts = _starts_article(name, attributes)
         named = _names(attributes)
-        holds = token.start() in holders
+        holds = tag.start in holders
         drops = (
             (name in _DROPPED and not (name == "form" and holds))
             or (name == "header" and not article)
@@ -164,7 +238,7 @@ def page_lines(page: str | None) -> tuple[list[str], bool]:
             or "hidden" in attributes
             or attributes.get("aria-hidden") == "true"
             or "display:none" in attributes.get("style", "").replace(" ", "")
-            or (name not in ("html", "body", "article", "main") and not holds and not (article and name in _INLINE) and _names_part(named))
+            or (name not in ("html", "body", "article", "main") and not holds and not (article and name in _INLINE) and _names_part(named, article))
             or (name == "article" and _COMMENT.search(named) is not None)
         )
         if drops != dropped or starts:
@@ -172,11 +246,14 @@ def page_lines(page: str | None) -> tuple[list[str], bool]:
         dropped = dropped or drops
         article = article or starts
         any_article = any_article or (starts and not dropped)
-        open_.append((name, dropped, article))
+        heading = heading or name == "h1"
+        open_.push(name, dropped, article)
     if at < len(page) and not dropped:
         run.append(page[at:])
     end_block()
-    return [text for text, inside in lines if inside or not any_article], any_article
+    kept = [(text, first) for text, inside, first in lines if inside or not any_article]
+    headline = next((i for i, (_, first) in enumerate(kept) if first), -1)
+    return [text for text, _ in kept], any_article, headline
 
 
 def shared_lines(mine: list[str], theirs: list[str]) -> np.ndarray:
@@ -211,24 +288,42 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([_common(a[:half], b[:cut]), _common(a[half:], b[cut:]) + half])
 
 
-def lines_of_template(mine: tuple[list[int], list[int]], neighbours: list[tuple[list[int], list[int]] | None], explicit: bool) -> list[int]:
-    """Places of the lines to delete from a page, given as hashes and sizes of its lines, with its neighbours, nearest first.
+class Lines(NamedTuple):
+    """A page as hashes and sizes of its lines, and which of them is its headline (-1: none)."""
+
+    own: list[int]
+    sizes: list[int]
+    headline: int
+
+    def same_article(self, other: Lines) -> bool:
+        return self.headline >= 0 and other.headline >= 0 and self.own[self.headline] == other.own[other.headline]
 
-    Copies of the page are passed over. On a page without an explicit article the lines shared with the first neighbour go;
-    inside an article those shared with two, for a passage shared with one other article may be quoted. An article that has
-    nothing of its own stays whole.
+
+def lines_of_template(mine: Lines, neighbours: list[Lines | None], explicit: bool) -> list[int]:
+    """Places of the lines to delete from a page, given its neighbours, nearest first.
+
+    Copies of the page are passed over, and for an explicit article pages of the same headline, which are other versions of it. On a
+    page without an explicit article the lines shared with the first neighbour go. Inside an article those go that are shared with
+    two and stand in an unbroken run of such lines behind the headline or at the end; a passage in between may be quoted. The headline
+    stays, and an article that has nothing else of its own stays whole.
     """
-    lines, size = mine[0], np.array(mine[1])
+    lines, size = mine.own, np.array(mine.sizes)
     found = []
     for other in neighbours:
-        if other is not None and len(found) < 1 + explicit:
-            shared = shared_lines(lines, other[0])
-            if not _copied(size[shared].sum(), size.sum(), sum(other[1])):
+        if other is not None and len(found) < 1 + explicit and not (explicit and mine.same_article(other)):
+            shared = shared_lines(lines, other.own)
+            if not _copied(size[shared].sum(), size.sum(), sum(other.sizes)):
                 found.append(shared)
     if len(found) < 1 + explicit:
         return []
     gone = np.logical_and.reduce(found)
-    return [] if explicit and gone.all() else np.flatnonzero(gone).tolist()
+    if explicit:
+        gone[: mine.headline + 1] = False
+        own = np.flatnonzero(~gone[mine.headline + 1 :]) + mine.headline + 1
+        if not len(own):
+            return []
+        gone[own[0] : own[-1]] = False
+    return np.flatnonzero(gone).tolist()
 
 
 def _copied(shared: int, mine: int, theirs: int) -> bool:
@@ -240,10 +335,10 @@ def page_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
 
     Pages are ordered by host and path, those with an explicit article and those without apart. The neighbours of a page are
     the nearest pages before and after it, on the same host, that are no copies of it: two pages are copies when they share
-    80 % of the text of the longer one, and runs of copies are passed over. A page without an article loses the lines that it
-    shares with the neighbour of the longer common path (ties: the one before). An article loses those that it shares with
-    both neighbours (at the end of a host: with the nearest two); with fewer nothing is known about a template, and nothing is
-    deleted. Equal pages stand once in that order. Where copies drift so far that the page beyond a run is a copy again, that
+    80 % of the text of the longer one, articles also when they have the same headline, and runs of copies are passed over. A page
+    without an article loses the lines that it shares with the neighbour of the longer common path (ties: the one before). An
+    article loses those behind its headline and at its end that it shares with both neighbours (at the end of a host: with the
+    nearest two); with fewer nothing is known about a template, and nothing is deleted. Equal pages stand once in that order. Where copies drift so far that the page beyond a run is a copy again, that
     side has no neighbour. A null url counts as host and path of no letters; null or empty html gives an empty text. Repeated
     rows give repeated results. Ordering is by ranges over all hosts, so a large host is in many tasks; pages are compared by
     64-bit hashes of their lines.
@@ -257,32 +352,38 @@ def page_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
             rows.schema["url"],
             T.StructField("lines", T.ArrayType(T.StringType())),
             T.StructField("explicit", T.BooleanType()),
+            T.StructField("headline", T.IntegerType()),
         ]
     )
 
     def parse(batches):
         for batch in batches:
             found = [page_lines(page) for page in batch.column(2).to_pylist()]
-            lines, explicit = pa.array([x for x, _ in found], pa.list_(pa.string())), pa.array([x for _, x in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lines, explicit], names=["id", "url", "lines", "explicit"])
+            columns = [pa.array(list(c), kind) for c, kind in zip(zip(*found, strict=True), (pa.list_(pa.string()), pa.bool_(), pa.int32()), strict=True)] if found else None
+            if columns:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "url", "lines", "explicit", "headline"])
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][\w+.-]*://[^/?#]*)?([^?#]*)", 1)
     parsed = scratch.write(rows.mapInArrow(parse, schema)).withColumns({"host": host, "path": path, "mark": F.xxhash64(F.array_join("lines", "\n"))})
     page = ["host", "explicit", "path", "mark"]
-    hashed = parsed.filter(F.size("lines") > 0).select(*page, F.transform("lines", lambda x: F.xxhash64(x)).alias("own"), F.transform("lines", F.char_length).alias("sizes"))
-    distinct = scratch.write(hashed.groupBy(*page).agg(F.first("own").alias("own"), F.first("sizes").alias("sizes")))
+    content = F.struct(F.transform("lines", lambda x: F.xxhash64(x)).alias("own"), F.transform("lines", F.char_length).alias("sizes"), "headline")
+    hashed = parsed.filter(F.size("lines") > 0).select(*page, content.alias("page"))
+    distinct = scratch.write(hashed.groupBy(*page).agg(F.first("page").alias("page")))
     order = scratch.write(number_ranges(distinct, page, "at"))
+    scratch.drop(distinct)
 
     def copies(batches):
         for batch in batches:
             same = []
-            for own, size, theirs, their_size in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                same.append(_copied(np.array(size)[shared_lines(own, theirs)].sum(), sum(size), sum(their_size)))
+            for mine, theirs, explicit in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                mine, theirs = Lines(**mine), Lines(**theirs)
+                shared = np.array(mine.sizes)[shared_lines(mine.own, theirs.own)].sum()
+                same.append(bool(_copied(shared, sum(mine.sizes), sum(theirs.sizes)) or (explicit and mine.same_article(theirs))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.bool_())], names=["at", "copy"])
 
-    following = order.select("host", "explicit", (F.col("at") - 1).alias("at"), F.col("own").alias("theirs"), F.col("sizes").alias("their_sizes"))
-    pairs = order.join(following, ["host", "explicit", "at"]).select("at", "own", "sizes", "theirs", "their_sizes")
+    following = order.select("host", "explicit", (F.col("at") - 1).alias("at"), F.col("page").alias("theirs"))
+    pairs = order.join(following, ["host", "explicit", "at"]).select("at", "page", "theirs", "explicit")
     pairs = scratch.write(pairs.mapInArrow(copies, "at long, copy boolean"))
     # Steps to the next page on either side; those to a copy are doubled until they leave its run or the host.
     ahead = pairs.select(F.lit(True).alias("ahead"), "at", (F.col("at") + 1).alias("to"), "copy")
@@ -298,36 +399,30 @@ def page_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     # An article at an end of its host has both neighbours on one side.
     near = near.withColumns({"ahead": F.col("before").isNull(), "one": F.coalesce("before", "after")})
     near = near.withColumn("one", F.when(F.col("explicit") & (F.col("before").isNull() | F.col("after").isNull()), F.col("one")))
-    near = scratch.write(near)
-    near = lookup_join(near, steps.select("ahead", F.col("at").alias("one"), F.col("to").alias("two")), ["ahead", "one"], "left")
-    near = scratch.write(near.select("at", F.coalesce("before", "two").alias("before"), F.coalesce("after", "two").alias("after")))
+    near = lookup_join(scratch.write(near), steps.select("ahead", F.col("at").alias("one"), F.col("to").alias("two")), ["ahead", "one"], "left")
+    near = near.select("at", F.coalesce("before", "two").alias("before"), F.coalesce("after", "two").alias("after"))
+    near = scratch.write(near.filter("before IS NOT NULL OR after IS NOT NULL"))
     for name in ("before", "after"):
-        theirs = order.select(F.col("at").alias(name), F.struct("path", "own", "sizes").alias(f"{name}_page"))
-        near = scratch.write(lookup_join(near, theirs, [name], "left").drop(name))
-    both = order.join(near, "at")
-    longer = _common_path("path", "after_page.path") > _common_path("path", "before_page.path")
-    after_first = F.col("before_page").isNull() | (F.col("after_page").isNotNull() & longer)
-    ordered = [F.when(after_first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("after_page", "before_page", "first"), ("before_page", "after_page", "second"))]
+        theirs = order.select(F.col("at").alias(name), F.struct("path", "page").alias(f"{name}_page"))
+        wide = scratch.write(lookup_join(near, theirs, [name], "left").drop(name))
+        scratch.drop(near)
+        near = wide
+    both = order.join(near, "at").select(*page, "page", "before_page", "after_page")
 
     def differ(batches):
         for batch in batches:
-            own, sizes, first, second, explicit = (c.to_pylist() for c in batch.columns[4:8] + [batch.column(1)])
+            explicit, path, mine, before, after = (c.to_pylist() for c in (batch.column(1), batch.column(2), *batch.columns[4:]))
             gone = []
-            for a, b, x, y, article in zip(own, sizes, first, second, explicit, strict=True):
-                gone.append(lines_of_template((a, b), [z and (z["own"], z["sizes"]) for z in (x, y)], article))
+            for article, own, lines, x, y in zip(explicit, path, mine, before, after, strict=True):
+                neighbours = sorted((z for z in (x, y) if z is not None), key=lambda z: -len(commonprefix([own, z["path"]])))  # noqa: B023
+                gone.append(lines_of_template(Lines(**lines), [Lines(**z["page"]) for z in neighbours], article))
             keep = pa.array([len(x) > 0 for x in gone], pa.bool_())
             columns = [*batch.columns[:4], pa.array(gone, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=[*page, "gone"])
 
-    told = both.select(*page, "own", "sizes", *ordered).mapInArrow(differ, "host string, explicit boolean, path string, mark long, gone array<int>")
-    rest = lookup_join(parsed, scratch.write(told), page, "left")
+    told = scratch.write(both.mapInArrow(differ, "host string, explicit boolean, path string, mark long, gone array<int>"))
+    scratch.drop(order, pairs, steps, near)
+    rest = lookup_join(parsed, told, page, "left")
     kept = F.filter("lines", lambda line, k: F.col("gone").isNull() | ~F.array_contains("gone", k))
     text = F.array_join(kept, " ")
     return rest.select(F.col("id").alias(id_column), F.col("url").alias(url_column), text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
-
-
-def _common_path(a: str, b: str) -> Column:
-    """Characters that two paths have in common at their start, up to 256."""
-    steps = F.sequence(F.lit(1), F.lit(256))
-    return F.size(F.filter(steps, lambda k: (k <= F.length(a)) & (F.substring(F.col(a), F.lit(1), k) == F.substring(F.col(b), F.lit(1), k))))
-

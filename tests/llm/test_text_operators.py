@@ -1,9 +1,14 @@
 import collections
+import html
 import math
+import os
 import random
+import re
+import time
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -11,7 +16,7 @@ from claimweir.llm.decontaminate import find_leaks, leak_indexes, without_leaks
 from claimweir.llm.kd_shards import kd_shards
 from claimweir.llm.lm import score_texts
 from claimweir.llm.packing import Schedule, WordTokens, pack
-from claimweir.llm.pages import page_lines, page_text, shared_lines
+from claimweir.llm.pages import COPY, page_lines, page_text, shared_lines
 from claimweir.llm.queries import op9_leaks, tokenizer_path
 from claimweir.llm.shared import fold, table
 from tests.llm.helpers import EDGES, documents, shingles, words
@@ -145,14 +150,118 @@ def test_pages_without_an_article_lose_lines_of_their_neighbour(spark):
 
 
 def test_markup():
-    assert page_lines("a<!-- x -->b<script>if (a < b) '</p>'</script> c") == (["ab c"], False)
+    assert page_lines("a<!-- x -->b<script>if (a < b) '</p>'</script> c") == (["ab c"], False, -1)
     text = "<main><aside>s</aside><header>Head</header><p>A<b>b</b>&eacute;&#33;\n c<br>d<p class='ad-box'>buy</p><div id=comments><p>nice</p></div></main>tail"
-    assert page_lines(text) == (["Head", "Abé! c", "d"], True)
-    assert page_lines("<div hidden>x</div><p title=\"a>b\">y <i>z</p></i>w<form>f") == (["y z", "w"], False)
+    assert page_lines(text) == (["Head", "Abé! c", "d"], True, -1)
+    assert page_lines("<div hidden>x</div><p title=\"a>b\">y <i>z</p></i>w<form>f") == (["y z", "w"], False, -1)
     assert page_lines("<p class='adventure'>kept</p>")[0] == ["kept"]
     assert page_lines("1 < 2 <")[0] == ["1 < 2 <"]
 
 
+def test_markup_inside_an_article_is_text_unless_it_is_an_advert():
+    page = '<article><h1>T</h1><p>Keep one.</p><section class="search"><p>How search works.</p></section><div class="share-text">A share fell.</div><div class="ad-box">buy</div><aside>x</aside></article>'
+    assert page_lines(page) == (["T", "Keep one.", "How search works.", "A share fell."], True, 0)
+    assert page_lines('<p a=">">x</p><p a=\'"\'>y</p><p b="unclosed>z</p><p>w</p>')[0][:2] == ["x", "y"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["<a " * 350_000, "<p a='" * 180_000 + ">", "<p a='" * 180_000, "<a b=\"'>" * 120_000, "<div>" * 100_000 + "</p>" * 100_000, "<div>" * 30_000 + "<article>x</article>" * 30_000,
+     "<div>" * 100_000 + "</div>" * 100_000, "<!-- " * 200_000, "<script>" * 100_000, "<" * 1_000_000, "&" * 500_000, "</" * 300_000, "<main>" * 100_000, "word " * 200_000, "<p>x" * 200_000],
+)
+def test_long_and_broken_pages_take_linear_time(text):
+    began = time.perf_counter()
+    page_lines(text)
+    assert time.perf_counter() - began < 6
+
+
+def test_mirrored_articles_keep_headline_and_lead(spark):
+    page = "<body><article><h1>{0}</h1><p><b>Lead of {0}</b></p><p>Les.</p><p>own {1}</p><p>Les.</p><p>Follow us</p></article></body>"
+    rows = [(i, f"http://h/{i}", page.format("Same head", i)) for i in range(4)] + [(10 + i, f"http://h/x{i}", page.format(f"Head {i}", f"text {i}")) for i in range(4)]
+    found = _texts(spark, rows)
+    # with other headlines the shared end goes; versions of one article at the end of a host know nothing of its template
+    assert {i: found[10 + i] for i in (1, 2)} == {i: f"Head {i} Lead of Head {i} Les. own text {i}" for i in (1, 2)}
+    assert all(found[i].startswith(f"Same head Lead of Same head Les. own {i}") for i in range(4))
+
+
+def plain_page_texts(spark, rows):
+    """The rules of page_text, one page at a time."""
+    parsed = {i: page_lines(text) for i, _, text in rows}
+    marks = {r.i: r.m for r in spark.createDataFrame([(i, "\n".join(p[0])) for i, p in parsed.items()], "i long, t string").selectExpr("i", "xxhash64(t) AS m").collect()}
+
+    def split(url):
+        m = re.match(r"(?:([A-Za-z][\w+.-]*)://([^/?#]*))?([^?#]*)", url or "")
+        return (m[2] or "").lower(), m[3]
+
+    groups = {}
+    for i, url, _ in rows:
+        if parsed[i][0]:
+            host, path = split(url)
+            groups.setdefault((host, parsed[i][1]), {})[path, marks[i]] = parsed[i]
+
+    def weight(a, b):
+        return sum(len(line) for line, s in zip(a, shared_lines(a, b), strict=True) if s)
+
+    def copy(a, b, explicit):
+        same = explicit and a[2] >= 0 <= b[2] and a[0][a[2]] == b[0][b[2]]
+        return same or weight(a[0], b[0]) >= COPY * max(sum(map(len, a[0])), sum(map(len, b[0])))
+
+    out = {}
+    for (host, explicit), pages in groups.items():
+        order = sorted(pages)
+        for k, key in enumerate(order):
+            mine, sides = pages[key], []
+            for step in (-1, 1):
+                chain, j = [], k
+                while len(chain) < 2 and 0 <= j + step < len(order):
+                    if not copy(pages[order[j]] if step > 0 else pages[order[j + step]], pages[order[j + step]] if step > 0 else pages[order[j]], explicit):
+                        chain.append(order[j + step])
+                    j += step
+                sides.append(chain)
+            before, after = sides
+            if explicit and (not before or not after):
+                near = (before or after)[:2]
+                near = near if before else near[::-1]
+            else:
+                near = [*before[:1], *after[:1]]
+            near.sort(key=lambda o: -len(os.path.commonprefix([key[0], o[0]])))
+            found = [shared_lines(mine[0], pages[o][0]) for o in near if not copy(mine, pages[o], explicit)][: 1 + explicit]
+            gone = set()
+            if len(found) == 1 + explicit:
+                gone = {n for n in range(len(mine[0])) if all(s[n] for s in found)}
+                if explicit:
+                    own = [n for n in range(mine[2] + 1, len(mine[0])) if n not in gone]
+                    gone = {n for n in gone if n > mine[2] and own and not own[0] < n < own[-1]}
+            out[host, explicit, key] = " ".join(line for n, line in enumerate(mine[0]) if n not in gone)
+    return {i: out.get((split(url)[0], parsed[i][1], (split(url)[1], marks[i])), "") for i, url, _ in rows}
+
+
+def test_page_text_equals_brute_force(spark, sf):
+    known = [(r.page_id, r.url, r.html) for r in table(spark, sf, "pages").select("page_id", "url", "html").collect()]
+    draw = random.Random(4)
+    some = []
+    for i in range(160):
+        article = draw.random() < 0.5
+        body = [draw.choice(["Menu", "About us"])] * (draw.random() < 0.8) + [f"story {draw.randrange(6)}" for _ in range(draw.randint(0, 4))] + ["Les."] * draw.randrange(2) + ["All rights"] * (draw.random() < 0.7)
+        inside = f"<h1>Head {draw.randrange(5)}</h1>" * (draw.random() < 0.7) + "".join(f"<p>{x}</p>" for x in body)
+        some.append((100_000 + i, draw.choice([f"http://h{draw.randrange(3)}/{draw.choice('ab')}/{draw.randrange(40)}", f"https://H1/b?x={i}", None, "p/q"]), f"<article>{inside}</article>" if article else f"<body>{inside}</body>"))
+    rows = known + some
+    assert _texts(spark, rows) == plain_page_texts(spark, rows)
+
+
+def test_given_articles_come_whole(spark):
+    """In the given pages the article is the main text, and all of it is."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages").collect()
+    found = _texts(spark, [(r.page_id, r.url, r.html) for r in pages])
+    for r in pages:
+        inside = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        assert found[r.page_id] == plain_article(inside)
+
+
+def plain_article(inside):
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inside))).split())
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     def length(a, b):
         m = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -302,8 +411,8 @@ def test_copies_beside_a_page_are_passed_over(spark):
 def test_classes_that_only_contain_the_name_of_a_part_are_kept():
     page = '<body><nav>menu</nav><div class="site-content has-sidebar"><article><p>A</p>{}</article></div><div class="sidebar-left">side</div></body>'
     inside = '<section class="related-work"><p>earlier work</p></section><p>at <span class="share-price">9</span> and <b class="notice">more</b></p><div class="share-buttons">Share</div>'
-    assert page_lines(page.format(inside)) == (["A", "earlier work", "at 9 and more"], True)
-    assert page_lines('<form id="form"><div class="widget-area sidebar"><main>text</main></div></form>') == (["text"], True)
+    assert page_lines(page.format(inside)) == (["A", "earlier work", "at 9 and more"], True, -1)
+    assert page_lines('<form id="form"><div class="widget-area sidebar"><main>text</main></div></form>') == (["text"], True, -1)
     teasers = '<article><p>text</p></article><div class="related-posts"><article>teaser</article></div><div class="comments"><article class="comment">c</article></div>'
-    assert page_lines(teasers) == (["text"], True)
-    assert page_lines('<p>text</p><div class="comments"><article class="comment">c</article></div><div class="main-menu">m</div>') == (["text"], False)
+    assert page_lines(teasers) == (["text"], True, -1)
+    assert page_lines('<p>text</p><div class="comments"><article class="comment">c</article></div><div class="main-menu">m</div>') == (["text"], False, -1)
