@@ -1,8 +1,13 @@
-"""A corpus from raw documents: quality, toxicity, near duplicates, leaked benchmark items, packing."""
+"""A corpus from raw documents: quality, toxicity, near duplicates, leaked benchmark items, packing.
+
+In every stage null and empty texts are texts without words, repeated rows are decided each (of near duplicates one stays), an empty
+table gives an empty result, and further columns are carried along, whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimweir.llm.decontaminate import leak_indexes, without_leaks
 from claimweir.llm.jaccard_join import jaccard_join
@@ -26,9 +31,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 5-word shingles at 0.8 or more, the one with the smallest id; documents without an id stay."""
-    repeats = jaccard_join(docs, k=5, num=8, den=10).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(repeats, "doc_id", "left_anti").select(docs.columns)
+    """Of documents linked by 5-word shingles at 0.8 or more, the first in the order of the input, whatever their ids: rows that
+    repeat an id, and rows without one, are documents of their own. Documents without words are linked with nothing and stay."""
+    row = next(name for n in range(len(docs.columns) + 1) if (name := f"row_{n}") not in docs.columns)
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    repeats = jaccard_join(numbered, k=5, num=8, den=10, id_column=row).filter(F.col(row) != F.col("component_id")).select(row)
+    return numbered.join(repeats, row, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
