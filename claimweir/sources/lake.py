@@ -11,6 +11,7 @@ from claimweir import schemas
 from claimweir.functions.text import strip
 from claimweir.operators.extract import clean_policy
 from claimweir.operators.latest import latest_by_key, upsert
+from claimweir.sources.keyed import BUCKET_BYTES, KeyedTable
 from claimweir.sources.staging import stage
 
 _BROKEN = "_corrupt_record"
@@ -53,15 +54,60 @@ def scan_inbound(spark: SparkSession, folder: str, pattern: str = "*.txt") -> Da
 
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """Inbound documents (file_name, file_path, content, text), one row each."""
-    name = F.element_at(F.split("path", "/"), -1)
-    return _binary_files(spark, folder, pattern).select(
-        name.alias("file_name"),
+    return _documents(_binary_files(spark, folder, pattern))
+
+
+_BINARY = "path string, modificationTime timestamp, length long, content binary"
+
+
+def _documents(files: DataFrame) -> DataFrame:
+    return files.select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"),
         F.col("path").alias("file_path"),
         "content",
         F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
     )
 
 
+def each_new_document(
+    spark: SparkSession,
+    folder: str,
+    checkpoint: str,
+    land: Callable[[DataFrame], None],
+    pattern: str = "*.txt",
+    files_at_a_time: int = 100_000,
+) -> int:
+    """Hand the inbound documents that no earlier call has seen to `land`, in batches; how many batches there were.
+
+    A file stream remembers under `checkpoint` which paths it has seen, so that a file is read once whatever the size of the folder,
+    and a folder without new files is listed only. A batch that failed is handed over again, so `land` must bear that.
+    A folder that does not exist has no files.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return 0
+    files = (
+        spark.readStream.format("binaryFile")
+        .schema(_BINARY)
+        .option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_at_a_time)
+        .load(folder)
+    )
+    landed = []
+
+    def batch(rows: DataFrame, number: int) -> None:
+        land(_documents(rows))
+        landed.append(number)
+
+    query = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+    return len(landed)
+
+
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Regulatory texts (file_name, file_path, text), each file whole."""
     return read_documents(spark, folder, "*.txt").select("file_name", "file_path", "text")
@@ -70,8 +116,8 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
 # --- bronze ---------------------------------------------------------------------------------------------------------
 
 
-BRONZE_BUCKETS = 64
 _SOURCE_ORDER = ["source_filename", "source_file_path", "source_file_sha256"]
+_LINE = T.StructType([T.StructField("value", T.StringType())])
 
 
 def latest_envelopes(envelopes: DataFrame) -> DataFrame:
@@ -79,32 +125,27 @@ def latest_envelopes(envelopes: DataFrame) -> DataFrame:
     return latest_by_key(envelopes, ["extracted_payload.claim_id"], _SOURCE_ORDER)
 
 
-def write_bronze(envelopes: DataFrame, path: str) -> None:
+def bronze_table(spark: SparkSession, path: str, bucket_bytes: int = BUCKET_BYTES) -> KeyedTable:
+    """Bronze as JSON lines by claim id."""
+    return KeyedTable(spark, path, _LINE, "text", lambda: F.get_json_object("value", "$.extracted_payload.claim_id"), bucket_bytes)
+
+
+def write_bronze(envelopes: DataFrame, path: str, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Insert envelopes, or put them in the place of those of the same claim; other stored claims stay.
 
-    Bronze is JSON lines in buckets by a hash of the claim id. Only buckets that envelopes fall into are read and written
-    again; without envelopes nothing is touched. Stored lines that name no claim are kept as they are.
+    Bronze is JSON lines in buckets by a hash of the claim id, whose number grows with the table. Only buckets that envelopes fall
+    into are read and written again; without envelopes nothing is touched. Readers see all of a batch or nothing of it. Stored
+    lines that name no claim are kept as they are. Returns the generation that holds the envelopes.
     """
-    spark = envelopes.sparkSession
     # uuid() draws again whenever a plan runs, so envelopes are fixed in a table before the latest are chosen.
     latest = latest_envelopes(stage(envelopes, "envelopes"))
-    claim = F.col("extracted_payload.claim_id")
-    line = F.to_json(F.struct(*envelopes.columns), {"ignoreNullFields": "false"})
-    incoming = stage(latest.select(claim.alias("claim"), line.alias("value"), _bucket(claim).alias("bucket")), "incoming")
-    touched = [row["bucket"] for row in incoming.select("bucket").distinct().collect()]  # at most BRONZE_BUCKETS
-    if not touched:
-        return
-    stored = read_or_empty(spark, path, T.StructType.fromDDL("value string, bucket int"), "text")
-    stored = stored.filter(F.col("bucket").isin(touched))
-    stored = stored.withColumn("claim", F.get_json_object("value", "$.extracted_payload.claim_id"))
-    kept = stored.join(incoming.select("claim"), "claim", "left_anti").select("value", "bucket")
-    merged = stage(kept.unionByName(incoming.select("value", "bucket")), "bronze")
-    writer = merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket")
-    writer.option("partitionOverwriteMode", "dynamic").text(path)
+    lines = latest.select(F.to_json(F.struct(*envelopes.columns), {"ignoreNullFields": "false"}).alias("value"))
+    return bronze_table(envelopes.sparkSession, path, bucket_bytes).merge(lines)
 
 
-def _bucket(claim: Column) -> Column:
-    return F.pmod(F.xxhash64(claim), F.lit(BRONZE_BUCKETS)).cast("int")
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The stored JSON lines of bronze."""
+    return bronze_table(spark, path).read()
 
 
 def validated(envelopes: DataFrame) -> DataFrame:
@@ -142,11 +183,10 @@ def read_bronze(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Valid envelopes, and what could not be read as one together with the reason."""
     schema = T.StructType([*schemas.ENVELOPE.fields, T.StructField(_BROKEN, T.StringType())])
     reader = spark.read.schema(schema).option("mode", "PERMISSIVE")
-    try:
-        rows = reader.option("columnNameOfCorruptRecord", _BROKEN).json(path).drop("bucket")
-    except AnalysisException as error:
-        if not _missing(error):
-            raise
+    paths = bronze_table(spark, path).paths()
+    if paths:
+        rows = reader.option("columnNameOfCorruptRecord", _BROKEN).json(paths).select(*schema.names)
+    else:
         rows = spark.createDataFrame([], schema)
     required = ["claim_id", "filing_date", "incident_date", "total_net_claimed"]
     payload = F.col("extracted_payload")
@@ -255,14 +295,26 @@ def upsert_chunks(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(existing, incoming, "chunk_id", ["text", "metadata.source_file"])
 
 
-def index_corpus(chunks: DataFrame, path: str, force: bool = False) -> DataFrame:
+def chunk_table(spark: SparkSession, path: str, bucket_bytes: int = BUCKET_BYTES) -> KeyedTable:
+    """Stored chunks as Parquet by chunk id."""
+    return KeyedTable(spark, path, schemas.CHUNK, "parquet", lambda: F.col("chunk_id"), bucket_bytes)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return chunk_table(spark, path).read()
+
+
+def index_corpus(chunks: DataFrame, path: str, force: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The chunk table at a path. Chunks are inserted, or put in the place of those with their id, when the table is empty or
-    when that is forced; else it stays as it is."""
-    spark = chunks.sparkSession
-    stored = read_or_empty(spark, path, schemas.CHUNK, "parquet")
-    if force or stored.isEmpty():
-        stage(upsert_chunks(stored, chunks), "chunks").write.mode("overwrite").parquet(path)
-    return spark.read.schema(schemas.CHUNK).parquet(path)
+    when that is forced; else it stays as it is.
+
+    Only buckets that chunks fall into are written again, and readers see all of it or nothing. Of chunks with one id, that
+    which is greatest by text and file stays.
+    """
+    table = chunk_table(chunks.sparkSession, path, bucket_bytes)
+    if force or table.read().isEmpty():
+        table.merge(latest_by_key(chunks.select(*schemas.CHUNK.names), ["chunk_id"], ["text", "metadata.source_file"]))
+    return table.read()
 
 
 # --- adjudication log -----------------------------------------------------------------------------------------------
@@ -277,6 +329,12 @@ def read_adjudications(spark: SparkSession, path: str) -> DataFrame:
     return read_or_empty(spark, path, schemas.ADJUDICATION, "json")
 
 
+def log_mark(decisions: DataFrame) -> DataFrame:
+    """One row that tells logs apart: how many decisions, and the sum of their hashes whatever their order."""
+    hashed = F.xxhash64(*schemas.ADJUDICATION.names).cast("decimal(38,0)")
+    return decisions.agg(F.count(F.lit(1)).alias("decisions"), F.coalesce(F.sum(hashed), F.lit(0)).cast("string").alias("hashes"))
+
+
 # --- status ---------------------------------------------------------------------------------------------------------
 
 
