@@ -1,18 +1,38 @@
 """Equi-joins to lookup tables whose size is not known beforehand, with hot keys spread over many tasks."""
 
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: A lookup of more rows or bytes is not broadcast.
 SMALL_ROWS = 200_000
+SMALL_BYTES = 64 << 20
 MOST_HOT_KEYS = 10_000
 
 
-def is_small(table: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """Whether a table has at most so many rows. Every task sends one number, and a written table has it in its footers."""
-    return table.count() <= rows
+def row_bytes(table: DataFrame) -> Column:
+    """About what a row takes in memory."""
+
+    def size(field: T.StructField) -> Column:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 16
+        return F.lit(16)
+
+    return reduce(add, [size(field) for field in table.schema.fields], F.lit(0).cast("long"))
+
+
+def is_small(table: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
+    """Whether a table has at most so many rows and bytes.
+
+    Every task sends one number, and a written table has its rows in its footers; bytes are added up only of few enough rows.
+    """
+    return table.count() <= rows and (table.agg(F.sum(row_bytes(table))).first()[0] or 0) <= size
 
 
 def hot_keys(table: DataFrame, on: list[str], least_rows: int) -> DataFrame:
@@ -36,7 +56,7 @@ def lookup_join(
 ) -> DataFrame:
     """Join facts to a lookup table (inner or left), both of them cheap to read twice.
 
-    Up to small_rows the lookup is broadcast. Beyond that both sides shuffle on the key, and every key that owns at least
+    Up to small_rows, and SMALL_BYTES, the lookup is broadcast. Beyond that both sides shuffle on the key, and every key that owns at least
     hot_rows facts (a million, or one part in MOST_HOT_KEYS of all facts if that is more) is cut into parts of about that
     many: its facts get a number by their own content, its lookup rows one copy per number. Facts without a key are cut
     into `copies` parts. There can be no more than MOST_HOT_KEYS hot keys, so the list of them is small whatever the data.

@@ -2,21 +2,29 @@
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweir import fixed
 from claimweir.functions.text import strip
-from claimweir.operators.lookup import SMALL_ROWS, lookup_join
+from claimweir.operators.lookup import lookup_join
 from claimweir.sources.staging import stage
 
+#: Queries that may go to every task at once.
 QUERY_BLOCK = 1_000
+#: Bytes of vectors that a block holds, as double precision numbers; cells of a product of two blocks worked out at a time.
+BLOCK_BYTES = 32 << 20
+PRODUCT_CELLS = 4 << 20
 _WEIGHT = "decimal(16,6)"
+#: Words of a corpus whose rarity may go to every task; some 30 bytes each.
+SMALL_WORDS = 1_000_000
+#: Most telling tokens of a query by which its first chunks are found, and so many times k chunks.
+SEEDS = 3
 
 
 @dataclass(frozen=True)
@@ -52,11 +60,15 @@ def _best(scored: DataFrame, identifier: str, top_k: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class TermIndex:
-    """Chunks with their term weights. Weights are decimals, so sums of them do not depend on the order of rows."""
+    """Chunks with their term weights. Weights are decimals, so sums of them do not depend on the order of rows.
+
+    `terms` are the postings: weights by token, and their impact, the weight over the chunk's length. They are stored by token,
+    greatest impact first. `words` has each token's rarity and greatest impact.
+    """
 
     chunks: DataFrame
     terms: DataFrame
-    rarity: DataFrame
+    words: DataFrame
     norms: DataFrame
 
 
@@ -79,70 +91,119 @@ def term_rarity(counts: DataFrame, chunks: DataFrame) -> DataFrame:
     return (
         counts.groupBy("token")
         .agg(with_token)
-        .select("token", F.round(value, 6).cast("decimal(12,6)").alias("rarity"))
+        .select("token", F.round(value, 6).cast("decimal(12,6)").alias("rarity"), "chunks_with_token")
     )
 
 
-def build_index(chunks: DataFrame, small_rows: int = SMALL_ROWS) -> TermIndex:
-    """Weights and lengths of all chunks, written once so that searches only read them."""
+def build_index(chunks: DataFrame, small_rows: int = SMALL_WORDS, file_rows: int = 1_000_000) -> TermIndex:
+    """Weights and lengths of all chunks, written once so that searches only read them.
+
+    Postings are dealt out by token, those of a frequent token over as many tasks as it has file_rows.
+    """
     counts = stage(term_counts(chunks), "term_counts")
     rarity = stage(term_rarity(counts, chunks), "term_rarity")
-    weighted = lookup_join(counts, rarity, ["token"], small_rows=small_rows)
     weight = (F.col("times") * F.col("rarity")).cast(_WEIGHT)
-    columns = ["chunk_id", "section_number", "token", weight.alias("weight")]
-    terms = stage(weighted.select(*columns), "term_weights")
+    weighted = lookup_join(counts, rarity, ["token"], small_rows=small_rows).withColumn("weight", weight)
     squares = F.sum(F.col("weight") * F.col("weight")).cast("decimal(38,12)")
-    norms = stage(terms.groupBy("chunk_id").agg(squares.alias("square")), "chunk_lengths")
-    return TermIndex(chunks, terms, rarity, norms)
-
+    norms = stage(weighted.groupBy("chunk_id").agg(squares.alias("square")), "chunk_lengths")
+    impact = F.col("weight").cast("double") / F.sqrt(F.col("square").cast("double"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("chunks_with_token") / file_rows))
+    terms = weighted.join(norms, "chunk_id").select(
+        "chunk_id", "section_number", "token", "weight", impact.alias("impact"), F.pmod(F.xxhash64("chunk_id"), parts).alias("part")
+    )
+    terms = terms.repartition("token", "part").sortWithinPartitions("token", F.desc("impact")).drop("part")
+    terms = stage(terms, "term_weights")
+    most = terms.groupBy("token").agg(F.max("impact").alias("most"))
+    words = stage(rarity.join(most, "token").select("token", "rarity", "most"), "words")
+    return TermIndex(chunks, terms, words, norms)
 
-def _query_weights(spark: SparkSession, queries: Sequence[Query], rarity: DataFrame) -> DataFrame:
-    rows = [(q.name, q.section, q.text) for q in queries]
-    asked = spark.createDataFrame(rows, "query string, wanted long, text string")
-    words = asked.select("query", "wanted", F.explode(tokens(F.col("text"))).alias("token"))
-    counted = words.groupBy("query", "wanted", "token").agg(F.count(F.lit(1)).alias("times"))
-    # The texts of one block of queries: at most QUERY_BLOCK of them.
-    known = rarity.join(F.broadcast(counted), "token")
-    weight = (F.col("times") * F.col("rarity")).cast(_WEIGHT)
-    return known.select("query", "wanted", "token", weight.alias("query_weight"))
 
+# Bounds are compared with this much to spare, so that rounding never drops a chunk that ties.
+_SPARE = 1e-9
 
-def search(
-    index: TermIndex, queries: Sequence[Query], top_k: int = 3, cutoff: float | None = None
-) -> DataFrame:
-    """The k nearest chunks of every query among those that share a term with it."""
-    blocks = [queries[i : i + QUERY_BLOCK] for i in range(0, len(queries), QUERY_BLOCK)]
-    hits = reduce(DataFrame.unionByName, [_search_block(index, b, top_k) for b in blocks])
-    return hits if cutoff is None else hits.filter(F.col("similarity_score") >= cutoff)
 
+def _query_weights(queries: DataFrame, words: DataFrame) -> DataFrame:
+    """Tokens of queries: weight, share of the query's length, and the most that a chunk can gain by the token (`most`).
 
-def _search_block(index: TermIndex, queries: Sequence[Query], top_k: int) -> DataFrame:
-    weights = _query_weights(index.chunks.sparkSession, queries, index.rarity)
-    lengths = weights.groupBy("query").agg(
-        F.sum(F.col("query_weight") * F.col("query_weight")).cast("double").alias("query_square")
+    `below` is what a chunk can gain by the token and all less telling ones together, `all` by all tokens.
+    """
+    asked = queries.select("query", F.col("section").alias("wanted"), F.explode(tokens(F.col("text"))).alias("token"))
+    counted = asked.groupBy("query", "wanted", "token").agg(F.count(F.lit(1)).alias("times"))
+    weight = (F.col("times") * F.col("rarity")).cast(_WEIGHT)
+    known = words.join(stage(counted, "query_tokens"), "token").withColumn("query_weight", weight)
+    own = Window.partitionBy("query")
+    telling = own.orderBy("most", "token")
+    square = F.sum(F.col("query_weight") * F.col("query_weight")).over(own).cast("double")
+    share = F.col("query_weight").cast("double") / F.sqrt("query_square")
+    known = known.withColumn("query_square", square).withColumn("share", share).withColumn("most", F.col("share") * F.col("most"))
+    return known.withColumns(
+        {
+            "below": F.sum("most").over(telling.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "all": F.sum("most").over(own),
+            "place": F.row_number().over(own.orderBy(F.desc("most"), F.desc("token"))),
+        }
     )
-    wanted = F.col("wanted").isNull() | (F.col("wanted") == F.col("section_number"))
-    products = (
-        index.terms.join(F.broadcast(weights), "token")
-        .filter(wanted)
-        .groupBy("query", "chunk_id")
+
+
+def _cosines(pairs: DataFrame, weights: DataFrame, index: TermIndex) -> DataFrame:
+    """The exact cosine of pairs (query, chunk_id), from the postings of the queries' tokens."""
+    asked = pairs.join(weights.select("query", "token", "query_weight", "query_square"), "query")
+    return (
+        index.terms.select("chunk_id", "token", "weight")
+        .join(asked, ["chunk_id", "token"])
+        .groupBy("query", "chunk_id", "query_square")
         .agg(F.sum(F.col("weight") * F.col("query_weight")).cast("double").alias("product"))
+        .join(index.norms, "chunk_id")
+        .select("query", "chunk_id", (F.col("product") / F.sqrt(F.col("query_square") * F.col("square").cast("double"))).alias("cosine"))
     )
-    scored = (
-        products.join(index.norms, "chunk_id")
-        .join(F.broadcast(lengths), "query")
-        .select(
-            "query",
-            "chunk_id",
-            (
-                F.col("product") / F.sqrt(F.col("query_square") * F.col("square").cast("double"))
-            ).alias("cosine"),
-        )
-    )
-    # k rows per query of the block.
-    best = F.broadcast(_best(scored, "chunk_id", top_k))
+
+
+def _postings(index: TermIndex, weights: DataFrame) -> DataFrame:
+    """Postings of the queries' tokens in the section that the query wants."""
+    wanted = F.col("wanted").isNull() | (F.col("wanted") == F.col("section_number"))
+    return index.terms.join(weights, "token").filter(wanted).withColumn("gain", F.col("share") * F.col("impact"))
+
+
+def candidates(index: TermIndex, weights: DataFrame, top_k: int) -> DataFrame:
+    """Pairs (query, chunk_id) among which the k nearest chunks of every query are, and few others.
+
+    First the chunks where the query's most telling tokens weigh most are scored; the k-th of them is a floor that the k nearest
+    reach. Tokens by which a chunk cannot reach it, all of them together, are not read: they are the frequent ones. A posting
+    of another token is dropped when all other tokens at their greatest impact could not lift its chunk to the floor, and a chunk is
+    when what it gains by the tokens read and could gain by the others does not reach it.
+    """
+    seeds = _postings(index, weights.filter(F.col("place") <= SEEDS))
+    order = Window.partitionBy("query").orderBy(F.desc("gain"), "chunk_id")
+    seeds = seeds.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= SEEDS * top_k)
+    scored = _cosines(seeds.select("query", "chunk_id").distinct(), weights, index)
+    order = Window.partitionBy("query").orderBy(F.desc("cosine"))
+    floor = scored.withColumn("at", F.row_number().over(order)).filter(F.col("at") == top_k)
+    floor = stage(floor.select("query", (F.col("cosine") - _SPARE).alias("floor")), "floors")
+    bounded = weights.join(floor, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    essential = F.col("below") >= F.col("floor")
+    unread = F.sum(F.when(~essential, F.col("most")).otherwise(0.0)).over(Window.partitionBy("query"))
+    read = bounded.withColumn("unread", unread).filter(essential)
+    postings = _postings(index, read).filter(F.col("gain") + F.col("all") - F.col("most") >= F.col("floor"))
+    gained = postings.groupBy("query", "chunk_id", "floor", "unread").agg(F.sum("gain").alias("gained"))
+    return gained.filter(F.col("gained") + F.col("unread") >= F.col("floor")).select("query", "chunk_id")
+
+
+def search(
+    index: TermIndex, queries: DataFrame | Sequence[Query], top_k: int = 3, cutoff: float | None = None
+) -> DataFrame:
+    """The k nearest chunks of every query among those that share a term with it.
+
+    Queries are a table (query, text, section), one row per query, or a list. All of them are answered in one go; which side of a
+    join is sent to all tasks follows from the sizes of the written tables.
+    """
+    if not isinstance(queries, DataFrame):
+        rows = [(q.name, q.text, q.section) for q in queries]
+        queries = index.chunks.sparkSession.createDataFrame(rows, "query string, text string, section long")
+    weights = stage(_query_weights(queries, index.words), "query_weights")
+    scored = _cosines(candidates(index, weights, top_k), weights, index)
+    best = stage(_best(scored, "chunk_id", top_k), "hits")
     distance = F.lit(1.0) - F.col("cosine")
-    return index.chunks.join(best, "chunk_id").select(
+    hits = index.chunks.join(best, "chunk_id").select(
         "query",
         "rank",
         "chunk_id",
@@ -151,6 +212,7 @@ def _search_block(index: TermIndex, queries: Sequence[Query], top_k: int) -> Dat
         distance.alias("distance"),
         similarity(distance).alias("similarity_score"),
     )
+    return hits if cutoff is None else hits.filter(F.col("similarity_score") >= cutoff)
 
 
 # --- vectors --------------------------------------------------------------------------------------------------------
@@ -231,17 +293,66 @@ def unusable_vectors(vectors: DataFrame, size: int, identifier: str = "chunk_id"
     return vectors.select(identifier, reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
-def _vector_blocks(queries: DataFrame | Sequence[VectorQuery]) -> Iterator[list[VectorQuery]]:
-    """Queries in blocks; those of a table (query, vector, section) come to the driver one block at a time."""
-    if not isinstance(queries, DataFrame):
-        yield from (list(queries[i : i + QUERY_BLOCK]) for i in range(0, len(queries), QUERY_BLOCK))
-        return
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    place = F.pmod(F.xxhash64("query"), F.lit(blocks))
-    for block in range(blocks):
-        rows = queries.filter(place == block).select("query", "vector", "section").collect()
-        if rows:
-            yield [VectorQuery(*row) for row in sorted(rows, key=lambda row: row["query"])]
+def _ranked(order: np.ndarray, cosines: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k greatest finite cosines of each row; of equal ones those whose column comes first in `order`."""
+    k = min(top_k, cosines.shape[1])
+    least = np.partition(cosines, -k, axis=1)[:, -k] if k else np.empty(0)
+    row, column = np.nonzero((cosines >= least[:, None]) & np.isfinite(cosines)) if k else (np.empty(0, int),) * 2
+    first = np.lexsort((order[column], -cosines[row, column], row))
+    row, column = row[first], column[first]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < top_k], column[place < top_k]
+
+
+def block_scores(vectors: DataFrame, queries: DataFrame, top_k: int, identifier: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Candidates (query, identifier, cosine) of a table of queries (query, vector, section): the k best of every block of vectors.
+
+    Vectors and queries are cut into blocks of about block_bytes by hashes of their names. Each block of queries meets each block
+    of vectors of its length in one task, as rows of a cogroup, so neither side passes the driver or has to fit into one task. What is
+    shuffled is either table once for each block of the other, which is why blocks are as large as a task holds easily.
+    """
+    size = F.size("vector").cast("long")
+    asked = queries.select("query", "section", "vector").withColumn("_size", size).filter("_size > 0")
+    known = vectors.select(identifier, "section_number", F.col("embedding").alias("vector")).withColumn("_size", size).filter("_size > 0")
+    amounts = [frame.agg(F.sum(F.col("_size") * 8)).first()[0] or 0 for frame in (asked, known)]
+    query_blocks, vector_blocks = (max(1, -(-amount // block_bytes)) for amount in amounts)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    number = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    asked = asked.withColumn("_q", number("query", query_blocks)).withColumn("_v", every(vector_blocks))
+    known = known.withColumn("_v", number(identifier, vector_blocks)).withColumn("_q", every(query_blocks))
+    kinds = [vectors.schema[identifier].dataType.simpleString(), queries.schema["query"].dataType.simpleString()]
+
+    def nearest(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        parts = []
+        if mine.num_rows and theirs.num_rows:
+            wanted, rows = (_unit_rows(t.column("vector"), key[0].as_py()) for t in (mine, theirs))
+            ids, sections = theirs.column(identifier), theirs.column("section_number").to_numpy()
+            order = np.empty(len(rows), np.int64)
+            order[pc.sort_indices(ids).to_numpy()] = np.arange(len(rows))
+            asked_sections = mine.column("section").to_pandas().to_numpy()
+            odd = ~np.isfinite(rows).all(axis=1)
+            step = max(1, PRODUCT_CELLS // len(rows))
+            for low in range(0, len(wanted), step):
+                cosines = np.round(wanted[low : low + step] @ rows.T, 10)
+                cosines[:, odd] = -np.inf
+                section = asked_sections[low : low + step]
+                limited = ~pd.isna(section)
+                cosines[limited] = np.where(section[limited][:, None] == sections[None, :], cosines[limited], -np.inf)
+                row, column = _ranked(order, cosines, top_k)
+                parts.append(pa.table([mine.column("query").take(pa.array(row + low)), ids.take(pa.array(column)), pa.array(cosines[row, column])], names=["query", identifier, "cosine"]))
+        return pa.concat_tables(parts) if parts else pa.table([mine.column("query").slice(0, 0), theirs.column(identifier).slice(0, 0), pa.array([], pa.float64())], names=["query", identifier, "cosine"])
+
+    place = ["_size", "_q", "_v"]
+    schema = f"query {kinds[1]}, {identifier} {kinds[0]}, cosine double"
+    return asked.groupBy(*place).cogroup(known.groupBy(*place)).applyInArrow(nearest, schema)
+
+
+def _unit_rows(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """Vectors of one length as rows of length 1; those with a component that is no finite number keep one that is none."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("float64")
+    rows = flat.reshape(-1, size)
+    with np.errstate(invalid="ignore"):
+        return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
 def search_vectors(
@@ -250,16 +361,29 @@ def search_vectors(
     top_k: int = 3,
     identifier: str = "chunk_id",
     cutoff: float | None = None,
+    few: int = QUERY_BLOCK,
 ) -> DataFrame:
     """The k nearest of vectors (identifier, section_number, embedding) for every query.
 
-    Queries are a table (query, vector, section) or a list; their number is not limited. What cannot be found at all is in
-    unusable_vectors.
+    Queries are a table (query, vector, section) or a list; their number is not limited. Up to `few` of them, counted before, go to
+    every task as one matrix; beyond that blocks of them meet blocks of vectors, see block_scores. A query finds vectors of its
+    own length only. What cannot be found at all is in unusable_vectors.
     """
-    blocks = _vector_blocks(queries)
-    scored = reduce(
-        DataFrame.unionByName, [cosine_scores(vectors, b, top_k, identifier) for b in blocks]
-    )
+    if not isinstance(queries, DataFrame):
+        if 0 < len(queries) <= few and len({len(q.vector) for q in queries}) == 1:
+            scored = cosine_scores(vectors, list(queries), top_k, identifier)
+        else:
+            rows = [(q.name, [float(x) for x in q.vector], q.section) for q in queries]
+            table = vectors.sparkSession.createDataFrame(rows, "query string, vector array<double>, section long")
+            scored = block_scores(vectors, table, top_k, identifier)
+    else:
+        asked = queries.select("query", "vector", "section").filter(F.size("vector") > 0)
+        rows = asked.limit(few + 1).collect() if few else []
+        lengths = {len(row["vector"]) for row in rows}
+        if 0 < len(rows) <= few and len(lengths) == 1:
+            scored = cosine_scores(vectors, [VectorQuery(*row) for row in sorted(rows, key=lambda row: str(row["query"]))], top_k, identifier)
+        else:
+            scored = block_scores(vectors, asked, top_k, identifier)
     distance = F.lit(1.0) - F.col("cosine")
     hits = _best(scored, identifier, top_k).select(
         "query",
