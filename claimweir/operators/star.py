@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from claimweir import fixed
 from claimweir.operators.lookup import SMALL_ROWS, lookup_join
-from claimweir.operators.numbering import number_rows
+from claimweir.operators.numbering import number_ranges, number_rows
+from claimweir.sources.staging import stage
 
 GEOGRAPHY = ["loss_county", "eircode_routing_key"]
 INCIDENT = ["incident_type", "dora_classification"]
@@ -113,9 +114,43 @@ def timely_flag(days: Column, limit: int = 90) -> Column:
     return F.when(days <= limit, 1).otherwise(0)
 
 
+MEMBERS = {
+    "date": ["full_date"],
+    "geography": GEOGRAPHY,
+    "incident": INCIDENT,
+    "policy": ["policy_number", "governance_status"],
+    "claimant": CLAIMANT,
+}
+
+
+def dimension_members(silver: DataFrame) -> dict[str, DataFrame]:
+    """The distinct members of all dimensions, from one scan of silver.
+
+    Grouping sets send a row once for each dimension to the same aggregation, which combines before its one shuffle; the members
+    are written by dimension, so that each of them reads its own.
+    """
+    sets = [["_filed"], ["_incident"], *[MEMBERS[name] for name in MEMBERS if name != "date"]]
+    names = ["date", "date", *[name for name in MEMBERS if name != "date"]]
+    columns = [c for one in sets for c in one]
+    dated = silver.select(*columns[2:], date_of(F.col("filing_date")).alias("_filed"), date_of(F.col("incident_date")).alias("_incident"))
+    # a bit of grouping_id is set for each column that a set does not group by
+    ids = [sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in one) for one in sets]
+    found = dated.groupingSets([[F.col(c) for c in one] for one in sets], *[F.col(c) for c in columns]).agg(F.grouping_id().alias("_set"))
+    named = F
+    for name, number in zip(names, ids, strict=True):
+        named = named.when(F.col("_set") == number, name)
+    found = found.withColumn("_dimension", named).withColumn("full_date", F.coalesce("_filed", "_incident"))
+    written = stage(found.select("_dimension", *[c for own in MEMBERS.values() for c in own]), "members", by="_dimension")
+    own = {name: written.filter(F.col("_dimension") == name).select(*columns) for name, columns in MEMBERS.items()}
+    return own | {"date": own["date"].dropna().distinct()}
+
+
 def dim_date(silver: DataFrame) -> DataFrame:
     both = F.array(date_of(F.col("filing_date")), date_of(F.col("incident_date")))
-    dates = silver.select(F.explode(both).alias("full_date")).dropna().distinct()
+    return _dim_date(silver.select(F.explode(both).alias("full_date")).dropna().distinct())
+
+
+def _dim_date(dates: DataFrame) -> DataFrame:
     day = F.col("full_date")
     weekday = F.dayofweek(day) - 1
     return dates.select(
@@ -133,8 +168,11 @@ def dim_date(silver: DataFrame) -> DataFrame:
 
 
 def dim_geography(silver: DataFrame) -> DataFrame:
-    places = silver.select(*GEOGRAPHY).distinct()
-    return number_rows(places, GEOGRAPHY, "geography_key").select(
+    return _dim_geography(stage(silver.select(*GEOGRAPHY).distinct(), "geography"))
+
+
+def _dim_geography(places: DataFrame) -> DataFrame:
+    return number_ranges(places, GEOGRAPHY, "geography_key").select(
         "geography_key",
         "loss_county",
         province(F.col("loss_county")).alias("province"),
@@ -144,8 +182,11 @@ def dim_geography(silver: DataFrame) -> DataFrame:
 
 
 def dim_incident_classification(silver: DataFrame) -> DataFrame:
-    kinds = silver.select(*INCIDENT).distinct()
-    return number_rows(kinds, INCIDENT, "incident_type_key").select(
+    return _dim_incident_classification(stage(silver.select(*INCIDENT).distinct(), "incident"))
+
+
+def _dim_incident_classification(kinds: DataFrame) -> DataFrame:
+    return number_ranges(kinds, INCIDENT, "incident_type_key").select(
         "incident_type_key",
         "incident_type",
         "dora_classification",
@@ -155,11 +196,13 @@ def dim_incident_classification(silver: DataFrame) -> DataFrame:
 
 
 def dim_policy(silver: DataFrame) -> DataFrame:
-    columns = ["policy_number", "governance_status"]
-    policies = silver.select(*columns).distinct()
-    return number_rows(policies, columns, "policy_key").select(
+    return _dim_policy(stage(silver.select(*MEMBERS["policy"]).distinct(), "policy"))
+
+
+def _dim_policy(policies: DataFrame) -> DataFrame:
+    return number_ranges(policies, MEMBERS["policy"], "policy_key").select(
         "policy_key",
-        *columns,
+        *MEMBERS["policy"],
         F.lit(fixed.CONTRACT_STATUS).alias("contract_status"),
         F.lit(fixed.UNDERWRITER).alias("underwriting_entity"),
     )
@@ -173,14 +216,15 @@ def dim_claimant(
     A person with two addresses has two rows, and the fact join then repeats that person's claims. With
     one_row_per_hash the least identity of each hash is kept, so that nothing repeats.
     """
-    people = silver.select(*CLAIMANT)
+    return _dim_claimant(stage(silver.select(*CLAIMANT).distinct(), "claimant"), one_row_per_hash)
+
+
+def _dim_claimant(people: DataFrame, one_row_per_hash: bool) -> DataFrame:
     if one_row_per_hash:
         rest = F.struct(*CLAIMANT[1:])
         people = people.groupBy("claimant_ppsn_hash").agg(F.min(rest).alias("least"))
-        people = people.select("claimant_ppsn_hash", "least.*")
-    else:
-        people = people.distinct()
-    return number_rows(people, CLAIMANT, "claimant_key").select(
+        people = stage(people.select("claimant_ppsn_hash", "least.*"), "claimant")
+    return number_ranges(people, CLAIMANT, "claimant_key").select(
         "claimant_key",
         "claimant_ppsn_hash",
         "claimant_name_masked",
@@ -246,6 +290,7 @@ def unnumbered_mart(
         "claimant_name_masked",
         F.split_part("claimant_email_masked", F.lit("@"), F.lit(2)).alias("email_domain"),
     )
+    people = stage(people, "people")  # counted, then joined
     keyed = _dated(silver).dropna(subset=[*GEOGRAPHY, *INCIDENT, "policy_number"])
     rows = lookup_join(
         keyed, people, ["claimant_ppsn_hash"], small_rows=small_rows, hot_rows=hot_rows, heat=silver
@@ -297,11 +342,12 @@ def build_star(
     small_rows: int = SMALL_ROWS,
     hot_rows: int | None = None,
 ) -> Star:
+    members = dimension_members(silver)
     builders = [
-        lambda: dim_geography(silver),
-        lambda: dim_incident_classification(silver),
-        lambda: dim_policy(silver),
-        lambda: dim_claimant(silver, one_row_per_hash),
+        lambda: _dim_geography(members["geography"]),
+        lambda: _dim_incident_classification(members["incident"]),
+        lambda: _dim_policy(members["policy"]),
+        lambda: _dim_claimant(members["claimant"], one_row_per_hash),
     ]
     # Four independent sets of jobs, submitted together.
     with ThreadPoolExecutor(len(builders)) as pool:
@@ -316,7 +362,7 @@ def build_star(
         }
     )
     return Star(
-        dim_date(silver),
+        _dim_date(members["date"]),
         geography,
         incident,
         policy,
