@@ -1,6 +1,7 @@
 """The whole cycle over a lake folder: documents to bronze, silver and quarantine, audit, gold, feeds."""
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,9 @@ _FOLDERS = {
     "quarantine_table": "silver/claims_quarantine",
     "rejected": "silver/rejected",
     "adjudications": "silver/adjudications",
+    "adjudications_applied": "silver/adjudications_applied",
+    "released": "silver/released_json",
+    "seen": "inbound_seen",
     "chunks": "gold/regulatory_chunks",
     "audit_reports": "gold/compliance_audit_reports",
     "audit_ledger": "gold/compliance_audit_ledger",
@@ -70,6 +74,24 @@ def to_bronze(documents: DataFrame, target: Lake, settings: CycleSettings) -> Da
     return extract.ingestion_statistics(extracted)
 
 
+def ingest_inbound(
+    spark: SparkSession, target: Lake, settings: CycleSettings, files_at_a_time: int = 100_000
+) -> DataFrame:
+    """Write the envelopes of the inbound files that no earlier call has read; ingestion counts of these files.
+
+    A file that is changed under its old name is not read again; to_bronze(lake.read_documents(...)) reads all there are.
+    """
+    counts = []
+
+    def land(documents: DataFrame) -> None:
+        counts.append(stage(to_bronze(stage(documents, "documents"), target, settings), "ingested"))
+
+    lake.each_new_document(spark, target.inbound, target.seen, land, files_at_a_time=files_at_a_time)
+    nothing = spark.createDataFrame([], "total_processed long, successful long, failed long, anomalies_detected long, clean_detected long")
+    every = reduce(DataFrame.unionByName, counts, nothing)
+    return every.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in nothing.columns])
+
+
 def to_silver(spark: SparkSession, target: Lake, settings: CycleSettings) -> DataFrame:
     """Write silver, quarantine and rejected rows; the promotion counts.
 
@@ -84,12 +106,8 @@ def to_silver(spark: SparkSession, target: Lake, settings: CycleSettings) -> Dat
         settings.rules.ppsn_pattern,
     )
     evaluated = stage(quality.evaluate(governed, settings.rules), "evaluated")
-    lake.write_silver(quality.to_silver(evaluated, settings.at), target.silver, settings.codec)
-    quarantine = quality.to_quarantine(evaluated, settings.rules, settings.at)
-    lake.write_quarantine(quarantine, target.quarantine)
-    lake.write_silver(
-        quality.flatten_quarantine(quarantine), target.quarantine_table, settings.codec
-    )
+    held = quality.to_quarantine(evaluated, settings.rules, settings.at)
+    _settle(target, quality.to_silver(evaluated, settings.at), held, lake.read_adjudications(spark, target.adjudications), settings.codec)
     # Rejected rows carry no personal data onwards: only what names the record, and why.
     failed = evaluated.filter(F.col("governance_error").isNotNull()).select(
         "ingestion_id", "source_filename", F.col("governance_error").alias("reason")
@@ -99,6 +117,44 @@ def to_silver(spark: SparkSession, target: Lake, settings: CycleSettings) -> Dat
     return quality.promotion_summary(evaluated)
 
 
+def _settle(target: Lake, silver: DataFrame, held: DataFrame, decisions: DataFrame, codec: str) -> None:
+    """Write silver with the claims released by the latest decisions, quarantine with the others, and which log that was.
+
+    The released claims are kept as they were in quarantine too, so that a later decision can take them back. The mark of the log is
+    removed first and written last: after a crash in between all of it is done again, with the same result.
+    """
+    spark = silver.sparkSession
+    moved, stays = apply_adjudications(held, decisions)
+    released = held.join(moved.select("claim_id"), "claim_id", "left_semi")
+    staged = [stage(frame, name) for frame, name in ((silver.unionByName(moved), "silver"), (stays, "quarantine"), (released, "released"), (lake.log_mark(decisions), "mark"))]
+    spark.createDataFrame([], staged[3].schema).write.mode("overwrite").json(target.adjudications_applied)
+    lake.write_quarantine(staged[2].select(*schemas.QUARANTINE.names), target.released)
+    lake.write_silver(staged[0].select(*schemas.SILVER.names), target.silver, codec)
+    lake.write_quarantine(staged[1].select(*schemas.QUARANTINE.names), target.quarantine)
+    lake.write_silver(quality.flatten_quarantine(staged[1]), target.quarantine_table, codec)
+    staged[3].coalesce(1).write.mode("overwrite").json(target.adjudications_applied)
+
+
+def to_release(spark: SparkSession, target: Lake, settings: CycleSettings) -> bool:
+    """Apply decisions logged since silver was written: claims that examiners release move to silver, those taken back return.
+
+    Only the latest decision on a claim counts, so it does not matter how often this runs, nor where an earlier run broke off. A log
+    that has been applied is not applied again; whether there was anything to do is returned.
+    """
+    decisions = lake.read_adjudications(spark, target.adjudications)
+    mark = lake.log_mark(decisions)
+    applied = lake.read_or_empty(spark, target.adjudications_applied, mark.schema, "json")
+    if mark.collect() == applied.collect():
+        return False
+    out = lake.read_quarantine(spark, target.released)
+    held = lake.read_quarantine(spark, target.quarantine)
+    held = stage(held.unionByName(out.join(held.select("claim_id"), "claim_id", "left_anti").select(*held.columns)), "held")
+    silver = lake.read_or_empty(spark, target.silver, schemas.SILVER, "parquet")
+    promoted = silver.join(held.select("claim_id"), "claim_id", "left_anti").select(*silver.columns)
+    _settle(target, promoted, held, decisions, settings.codec)
+    return True
+
+
 def to_audit(
     spark: SparkSession, target: Lake, settings: CycleSettings, reindex: bool = False
 ) -> DataFrame:
@@ -143,7 +199,7 @@ def to_feeds(spark: SparkSession, target: Lake) -> DataFrame:
 
 
 def release_overrides(spark: SparkSession, target: Lake) -> DataFrame:
-    """Silver with the claims that examiners released from quarantine."""
+    """Silver as it will be once to_release has applied the log."""
     moved, _ = apply_adjudications(
         lake.read_quarantine(spark, target.quarantine),
         lake.read_adjudications(spark, target.adjudications),
@@ -152,8 +208,12 @@ def release_overrides(spark: SparkSession, target: Lake) -> DataFrame:
 
 
 def run_cycle(spark: SparkSession, target: Lake, settings: CycleSettings) -> DataFrame:
-    """All stages in order over the inbound folder of a lake; the KPI row."""
-    to_bronze(lake.read_documents(spark, target.inbound), target, settings)
+    """All stages in order over the inbound folder of a lake; the KPI row.
+
+    Each inbound file is read once, whatever the number of cycles. Decisions in the log when silver is written are applied to it;
+    for later ones there is to_release, after which audit, gold and feeds are due again.
+    """
+    ingest_inbound(spark, target, settings)
     to_silver(spark, target, settings)
     to_audit(spark, target, settings)
     to_gold(spark, target, settings)
@@ -167,7 +227,7 @@ def tier_status(spark: SparkSession, target: Lake) -> DataFrame:
     return lake.tier_counts(
         [
             ("raw", lake.scan_inbound(spark, target.inbound)),
-            ("bronze", lake.read_or_empty(spark, target.bronze, schemas.ENVELOPE, "json")),
+            ("bronze", lake.read_lines(spark, target.bronze)),
             ("silver", lake.read_or_empty(spark, target.silver, nothing, "parquet")),
             ("quarantine", lake.read_quarantine(spark, target.quarantine)),
             ("gold", mart),

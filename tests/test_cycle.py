@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from claimweir import fixed, schemas
 from claimweir.operators import audit as auditing
 from claimweir.operators import review
-from claimweir.plans.cycle import CycleSettings, Lake, release_overrides, run_cycle, tier_status
+from claimweir.plans.cycle import CycleSettings, Lake, ingest_inbound, release_overrides, run_cycle, tier_status, to_release
 from claimweir.sources import lake
 from tests.test_text import DOSSIER
 
@@ -162,3 +162,94 @@ def test_register_and_lookup(spark, target):
     assert rows["CLM-IE-2026-0002"]["policy"] == "[MISSING / NOT PROVIDED]"
     assert rows["CLM-IE-2026-0003"]["latency"] == "320 days"
     assert review.dossier(quarantine, "CLM-IE-2026-0003").select(F.col("total_net_claimed")).first()[0] == 950.25
+
+
+@pytest.fixture
+def small_lake(spark, tmp_path):
+    for folder in ("inbound/a", "corpus"):
+        (tmp_path / folder).mkdir(parents=True)
+    (tmp_path / "corpus" / "guide.txt").write_text(CORPUS, encoding="utf-8")
+    for number, more in enumerate(({}, {"policy": "N/A"}, {"days": 320}), 1):
+        (tmp_path / "inbound" / "a" / f"claim_{number}.txt").write_text(dossier(number, **more), encoding="utf-8")
+    return Lake(str(tmp_path))
+
+
+def tiers(spark, target):
+    read = {"silver": lake.read_silver(spark, target.silver), "quarantine": lake.read_quarantine(spark, target.quarantine)}
+    return {name: sorted(r.claim_id[-1] for r in rows.select("claim_id").collect()) for name, rows in read.items()}
+
+
+def test_each_inbound_file_is_read_once(spark, small_lake, monkeypatch):
+    counts = ingest_inbound(spark, small_lake, SETTINGS, files_at_a_time=2).first()
+    assert (counts.total_processed, counts.successful) == (3, 3)
+    before = lake.bronze_table(spark, small_lake.bronze).state()
+    with monkeypatch.context() as unused:
+        unused.setattr("claimweir.plans.cycle.to_bronze", lambda *_: pytest.fail("a file was read again"))
+        assert ingest_inbound(spark, small_lake, SETTINGS).first().total_processed == 0
+    assert lake.bronze_table(spark, small_lake.bronze).state() == before
+    with open(f"{small_lake.inbound}/claim_4.txt", "w", encoding="utf-8") as file:
+        file.write(dossier(4))
+    assert ingest_inbound(spark, small_lake, SETTINGS).first().total_processed == 1
+    assert lake.read_lines(spark, small_lake.bronze).count() == 4
+    assert ingest_inbound(spark, Lake("/tmp/no-such-lake"), SETTINGS).first().total_processed == 0
+
+
+def test_a_file_whose_batch_failed_is_handed_over_again(spark, small_lake, monkeypatch):
+    with monkeypatch.context() as broken:
+        broken.setattr("claimweir.plans.cycle.to_bronze", lambda *_: 1 / 0)
+        with pytest.raises(Exception, match="division"):
+            ingest_inbound(spark, small_lake, SETTINGS)
+    assert ingest_inbound(spark, small_lake, SETTINGS).first().total_processed == 3
+
+
+def test_released_claims_reach_silver_and_the_mart_once(spark, small_lake, monkeypatch):
+    run_cycle(spark, small_lake, SETTINGS)
+    assert tiers(spark, small_lake) == {"silver": ["1"], "quarantine": ["2", "3"]}
+    assert to_release(spark, small_lake, SETTINGS) is False
+
+    def decide(claim, action, at):
+        row = [(f"CLM-IE-2026-000{claim}", action, "why", f"2026-01-0{at}T00:00:00", "e")]
+        lake.append_adjudications(spark.createDataFrame(row, schemas.ADJUDICATION), small_lake.adjudications)
+
+    decide(3, fixed.OVERRIDE_ACTION, 1)
+    decide(2, fixed.REJECT_ACTION, 1)
+    assert to_release(spark, small_lake, SETTINGS) is True
+    assert tiers(spark, small_lake) == {"silver": ["1", "3"], "quarantine": ["2"]}
+    monkeypatch.setattr("claimweir.plans.cycle._settle", lambda *_: pytest.fail("an applied log was applied again"))
+    assert to_release(spark, small_lake, SETTINGS) is False
+    monkeypatch.undo()
+    for _ in range(2):  # a whole cycle again, twice: the same lake
+        run_cycle(spark, small_lake, SETTINGS)
+        assert tiers(spark, small_lake) == {"silver": ["1", "3"], "quarantine": ["2"]}
+        mart = spark.read.parquet(small_lake.gold("claims_analytical_mart"))
+        assert sorted(r.claim_id[-1] for r in mart.collect()) == ["1", "3"]
+        assert to_release(spark, small_lake, SETTINGS) is False
+    status = {r.claim_id[-1]: r.governance_status for r in lake.read_silver(spark, small_lake.silver).collect()}
+    assert status == {"1": fixed.PROMOTED, "3": fixed.PROMOTED}
+    decide(3, fixed.REJECT_ACTION, 2)  # second thoughts
+    decide(2, fixed.OVERRIDE_ACTION, 3)
+    assert to_release(spark, small_lake, SETTINGS) is True
+    assert tiers(spark, small_lake) == {"silver": ["1", "2"], "quarantine": ["3"]}
+    back = lake.read_quarantine(spark, small_lake.quarantine).first()
+    assert back.governance_status == fixed.QUARANTINED and back.failed_rules == ["RULE_TIMELY_NOTIFICATION"]
+
+
+@pytest.mark.parametrize("write", ["write_quarantine", "write_silver"])
+def test_a_release_that_broke_off_is_done_again(spark, small_lake, monkeypatch, write):
+    run_cycle(spark, small_lake, SETTINGS)
+    row = [("CLM-IE-2026-0003", fixed.OVERRIDE_ACTION, "storm", "2026-01-03T00:00:00", "e")]
+    lake.append_adjudications(spark.createDataFrame(row, schemas.ADJUDICATION), small_lake.adjudications)
+    known, calls = getattr(lake, write), []
+
+    def once(*arguments):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("gone")
+        return known(*arguments)
+
+    with monkeypatch.context() as broken:
+        broken.setattr(lake, write, once)
+        with pytest.raises(OSError):
+            to_release(spark, small_lake, SETTINGS)
+    assert to_release(spark, small_lake, SETTINGS) is True
+    assert tiers(spark, small_lake) == {"silver": ["1", "3"], "quarantine": ["2"]}
