@@ -11,7 +11,7 @@ from claimweir.operators import audit as auditing
 from claimweir.operators import chunking, extract, measures, quality, retrieval, review, star
 from claimweir.operators.govern import govern, null_defaults, redaction_actions
 from claimweir.operators.latest import latest_by_key
-from claimweir.plans.cycle import CycleSettings, Lake, tier_status, to_bronze, to_silver
+from claimweir.plans.cycle import CycleSettings, Lake, ingest_inbound, tier_status, to_bronze, to_release, to_silver
 from claimweir.sources import lake
 from claimweir.sources.staging import stage, staging_path
 from verification import bindings as b
@@ -497,6 +497,16 @@ register("search_text", _preset, s.query(_HITS, "preset_hits"))
 register("search_text_cutoff", lambda spark, d: _preset(spark, d, 0.1), s.query(_HITS + " WHERE similarity_score >= 0.1", "preset_hits"))
 
 
+def _items(spark, d):
+    """Every benchmark item as a query, from a table."""
+    queries = b.table(spark, d, "benchmark").select(F.concat(F.lit("item_"), c("item_id").cast("string")).alias("query"), "text", F.lit(None).cast("long").alias("section"))
+    found = retrieval.search(retrieval.build_index(stage(b.chunks(spark, d), "chunks")), queries, top_k=3)
+    return found.select("query", c("rank").cast("long").alias("rank"), "chunk_id", "text", "metadata.section", "similarity_score")
+
+
+register("search_text_by_table", _items, s.query(_HITS.replace("preset_hits", "item_hits"), "item_hits"))
+
+
 def _vector_sql(where: str, top_k: int) -> str:
     return f"""
     SELECT query, rank, vec_id, similarity_score FROM (
@@ -517,6 +527,26 @@ def _vector_search(spark, d, same_section, top_k):
 
 register("search_vectors", lambda spark, d: _vector_search(spark, d, False, 5), _vector_sql("true", 5))
 register("search_vectors_in_section", lambda spark, d: _vector_search(spark, d, True, 3), _vector_sql("e.label = q.label", 3))
+
+
+def _every_vector(spark, d):
+    """Every vector as a query against all, in blocks."""
+    queries = b.table(spark, d, "embeddings").select(c("vec_id").alias("query"), c("embedding").alias("vector"), F.lit(None).cast("long").alias("section"))
+    found = retrieval.search_vectors(b.vectors(spark, d), queries, 3, "vec_id", few=0)
+    return found.select("query", c("rank").cast("long").alias("rank"), "vec_id", "similarity_score")
+
+
+register(
+    "search_vectors_in_blocks",
+    _every_vector,
+    """
+    SELECT query, rank, vec_id, similarity_score FROM (
+      SELECT query, vec_id, round(greatest(0.0, 1 - (1 - cosine)), 4) AS similarity_score,
+        row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank
+      FROM (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(cast(e.embedding AS DOUBLE[]), cast(q.embedding AS DOUBLE[])), 10) AS cosine
+            FROM embeddings e, embeddings q))
+    WHERE rank <= 3""",
+)
 register("citations", b.citations, s.query("SELECT * FROM citations", "citations"))
 
 
@@ -698,6 +728,33 @@ def _read(spark, d):
     return read.groupBy(_language(c("file_path"))).agg(F.sum(F.char_length("text")).alias("characters"))
 
 
+def _corpus(spark, d):
+    """The same files as a corpus: characters."""
+    path = _path(spark, "corpus")
+    b.table(spark, d, "documents").select("lang", "text").write.partitionBy("lang").text(path)
+    read = lake.read_corpus(spark, path)
+    return read.groupBy(_language(c("file_path"))).agg(F.sum(F.char_length("text")).alias("characters"))
+
+
+def _ingested(spark, d):
+    """The files of two languages, then all, then nothing new through the inbound stream: how often each was read, and what bronze has."""
+    target, settings = Lake(_path(spark, "lake")), CycleSettings(b.SALT, at=b.at())
+    texts = b.table(spark, d, "documents").select("lang", "text")
+    counts = []
+    # a job for each language: files of one job would bear the same names in each folder, and so name the same claims
+    for batch in (["en", "fr"], ["de", "es"], []):
+        for lang in batch:
+            texts.filter(c("lang") == lang).write.mode("append").partitionBy("lang").text(target.inbound)
+        counts.append(ingest_inbound(spark, target, settings).first()["total_processed"])
+    files = lake.scan_inbound(spark, target.inbound).count()
+    good = lake.read_lines(spark, target.bronze).select(F.from_json("value", schemas.ENVELOPE).alias("e")).select("e.*")
+    read = good.groupBy(_language(c("source_file_path"))).agg(F.sum("raw_text_length").alias("characters"))
+    return read.select("lang", "characters", F.lit(sum(counts) == files and counts[2] == 0).alias("each_read_once"))
+
+
+_CHARACTERS_SQL = "SELECT lang, cast(sum(length(text) + 1) AS BIGINT) AS characters FROM documents GROUP BY lang"
+register("read_corpus", _corpus, _CHARACTERS_SQL)
+register("ingest_inbound", _ingested, _CHARACTERS_SQL.replace("characters FROM", "characters, true AS each_read_once FROM"))
 register("scan_inbound", _scanned, "SELECT lang, cast(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY lang")
 register("read_documents", _read, "SELECT lang, cast(sum(length(text) + 1) AS BIGINT) AS characters FROM documents GROUP BY lang")
 
@@ -723,29 +780,28 @@ register(
 )
 
 
-def _bronze(spark, d):
+def _bronze(spark, d, bucket_bytes=lake.BUCKET_BYTES):
     """All dossiers, then those with even keys again under a later name, then nothing: corrections replace, the rest stays."""
     path = _path(spark, "bronze")
     first = _documents(spark, d)
     again = first.filter("order_key % 2 = 0").withColumn("file_name", F.concat(F.lit("zz_"), "file_name"))
     for batch in (first, again, first.filter("false")):
-        lake.write_bronze(extract.create_envelopes(extract.extract_claims(batch), b.at()), path)
+        lake.write_bronze(extract.create_envelopes(extract.extract_claims(batch), b.at()), path, bucket_bytes)
     good, _ = lake.read_bronze(spark, path)
     return good.select("extracted_payload.claim_id", "extracted_payload.policy_number", "source_filename", "source_file_sha256", F.size("extracted_payload.line_items").cast("long").alias("items"))
 
 
-register(
-    "write_bronze",
-    _bronze,
-    s.query(
+_BRONZE_SQL = s.query(
         """SELECT CASE WHEN contains(text, 'DOSSIER ID: ') THEN claim_id ELSE 'CLM-UNKNOWN-' || prefix || 'claim_' || order_key END AS claim_id,
            policy_number, prefix || 'claim_' || order_key || '.txt' AS source_filename, sha256(text) AS source_file_sha256,
            order_key % 7 AS items
            FROM extracted, (VALUES (''), ('zz_')) AS rounds(prefix)
            WHERE CASE WHEN prefix = 'zz_' THEN order_key % 2 = 0 ELSE order_key % 2 = 1 OR NOT contains(text, 'DOSSIER ID: ') END""",
         "extracted",
-    ),
-)
+    )
+register("write_bronze", _bronze, _BRONZE_SQL)
+# the same in buckets so small that they split from batch to batch
+register("write_bronze_in_many_buckets", lambda spark, d: _bronze(spark, d, 1 << 20), _BRONZE_SQL)
 register(
     "latest_by_key",
     lambda spark, d: latest_by_key(b.table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).withColumn("ts", c("ts").cast("string")),
@@ -883,6 +939,31 @@ def _log(spark, d):
 register("append_adjudications", _log, s.query("SELECT * FROM decisions UNION ALL SELECT * FROM decisions", "decisions"))
 
 
+def _released(spark, d):
+    """Half of the decisions logged and applied, then the rest, each twice: where every claim is then."""
+    _, target = _lake_cycle(spark, d)
+    decisions = _decisions(spark, d)
+    for half in (c("adjudication_timestamp") < "2024-01-16", c("adjudication_timestamp") >= "2024-01-16"):
+        lake.append_adjudications(decisions.filter(half), target.adjudications)
+        for _ in range(2):
+            to_release(spark, target, CycleSettings(b.SALT, at=b.at()))
+    silver, held = lake.read_silver(spark, target.silver), lake.read_quarantine(spark, target.quarantine)
+    parts = [rows.select(F.lit(tier).alias("tier"), "claim_id", "quality_score", "governance_status") for tier, rows in (("silver", silver), ("quarantine", held))]
+    return parts[0].unionByName(parts[1])
+
+
+register(
+    "release_claims",
+    _released,
+    s.query(
+        """SELECT CASE WHEN silver THEN 'silver' ELSE 'quarantine' END AS tier, claim_id, quality_score,
+             CASE WHEN silver THEN 'VALID_PROMOTED' ELSE 'QUARANTINED' END AS governance_status
+           FROM (SELECT *, is_valid OR claim_id IN (SELECT claim_id FROM released) AS silver FROM text_gate)""",
+        "text_gate", "released",
+    ),
+)
+
+
 def _tiers(spark, d):
     _, target = _lake_cycle(spark, d)
     return tier_status(spark, target)

@@ -352,7 +352,8 @@ def hits(prefix: str, top_k: int) -> None:
     )
 
 
-for prefix in ("preset", "area"):
+layer("item_asked", "SELECT 'item_' || item_id AS query, text, cast(NULL AS BIGINT) AS wanted FROM benchmark")
+for prefix in ("preset", "area", "item"):
     layer(
         f"{prefix}_weights",
         f"""
@@ -367,6 +368,7 @@ for prefix in ("preset", "area"):
     )
 hits("preset", 3)
 hits("area", 1)
+hits("item", 3)
 
 layer(
     "fallbacks",
