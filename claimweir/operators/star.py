@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweir import fixed
-from claimweir.operators.lookup import SMALL_ROWS, lookup_join
+from claimweir.operators.lookup import SMALL_ROWS, FrequentKeys, lookup_join
 from claimweir.operators.numbering import number_ranges, number_rows
 from claimweir.sources.staging import stage
 
@@ -293,7 +293,7 @@ def unnumbered_mart(
     people = stage(people, "people")  # counted, then joined
     keyed = _dated(silver).dropna(subset=[*GEOGRAPHY, *INCIDENT, "policy_number"])
     rows = lookup_join(
-        keyed, people, ["claimant_ppsn_hash"], small_rows=small_rows, hot_rows=hot_rows, heat=silver
+        keyed, people, ["claimant_ppsn_hash"], small_rows=small_rows, heat=FrequentKeys(silver, [["claimant_ppsn_hash"]], hot_rows)
     )
     described = _measured(rows).withColumns(
         {
@@ -319,11 +319,10 @@ def _joined(
     A date key is a function of the date, so both date lookups come down to dropping rows without a date.
     """
     dated = _dated(silver)
+    heat = FrequentKeys(silver, [GEOGRAPHY, INCIDENT, ["policy_number"], ["claimant_ppsn_hash"]], hot_rows)
 
     def to(facts, lookup, on):
-        return lookup_join(
-            facts, lookup, on, small_rows=small_rows, hot_rows=hot_rows, heat=silver
-        )
+        return lookup_join(facts, lookup, on, small_rows=small_rows, heat=heat)
 
     joined = to(dated, geography.drop("country"), GEOGRAPHY)
     joined = to(joined, incident, INCIDENT)

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from claimweir.operators.latest import latest_by_key
-from claimweir.operators.lookup import lookup_join
+from claimweir.operators.lookup import SMALL_ROWS, FrequentKeys, is_small, lookup_join
 from claimweir.operators.numbering import number_rows
 from claimweir.operators.star import build_star, unnumbered_mart
 from claimweir.sources.staging import stage
@@ -42,6 +42,25 @@ def test_hot_key_rows_leave_their_single_partition(spark):
     assert max(r["count"] for r in parts) < 2000
 
 
+def test_one_scan_finds_the_frequent_keys_of_all_sets(spark):
+    rows = [(f"a{min(i % 100, 60)}", i % 7, None if i % 2 else "x") for i in range(7_000)]
+    table = spark.createDataFrame(rows, "a string, b long, c string").repartition(6)
+    keys = FrequentKeys(table, [["a"], ["b", "c"]], 900)
+    hashes = {tuple(r)[:2]: r[2] for r in table.selectExpr("'a'", "a", "xxhash64(a)").distinct().collect()}
+    found = {r._key: r._parts for r in keys.of(["a"]).collect()}
+    assert found == {hashes["a", "a60"]: 4}  # 2,800 rows
+    scanned = keys._found
+    assert keys.of(["b", "c"]).count() == 0 and keys._found is scanned
+    assert FrequentKeys(table, [["b", "c"]], 400).of(["b", "c"]).count() == 14
+    assert FrequentKeys(table, [["a"]]).of(["a"]).count() == 0
+
+
+def test_a_lookup_is_small_by_rows_and_by_bytes(spark):
+    wide = spark.range(100).selectExpr("id", "repeat('x', 1000) AS text", "array(id, id) AS parts", "CAST(NULL AS string) AS none")
+    assert is_small(wide) and not is_small(wide, rows=99) and not is_small(wide, size=100_000) and is_small(wide.limit(0), size=0)
+    assert SMALL_ROWS == 200_000
+
+
 def test_numbers_follow_the_order(spark):
     draw = random.Random(2)
     values = [(draw.choice([None, "a", "b", "same"]), i) for i in range(2000)]
