@@ -11,15 +11,6 @@ def exact(amount: Column) -> Column:
     return amount.try_cast(CENTS)
 
 
-def total(amount: Column) -> Column:
-    """Sum that does not depend on the order of the rows."""
-    return F.sum(exact(amount)).cast("double")
-
-
-def mean(amount: Column) -> Column:
-    return F.try_divide(total(amount), F.count(amount))
-
-
 def ratio(part: Column, whole: Column) -> Column:
     """Division giving 0 where the denominator is 0 or there is nothing to divide."""
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))

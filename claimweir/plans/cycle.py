@@ -193,7 +193,8 @@ def to_feeds(spark: SparkSession, target: Lake) -> DataFrame:
         "claims_analytical_mart",
     ]
     lake.write_feeds(spark, {name: target.gold(name) for name in tables}, target.feed)
-    summary = measures.kpi_summary(spark.read.parquet(target.gold("claims_analytical_mart")))
+    partials, _ = measures.partial_measures(spark.read.parquet(target.gold("claims_analytical_mart")))
+    summary = measures.kpi_summary(partials, measures.PARTIALS)
     lake.write_document(summary, target.kpi_summary)
     return summary
 

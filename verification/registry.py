@@ -989,3 +989,27 @@ def _kpi_document(spark, d):
 
 
 register("write_kpi_summary", _kpi_document, s.query(_KPI_TEXT, "mart"))
+
+# The same figures from partial sums.
+_PARTIAL = {
+    "kpi_numbers": measures.kpi_numbers,
+    "kpi_summary": measures.kpi_summary,
+    "dashboard_kpis": measures.dashboard_kpis,
+    "net_amount_mtd": measures.net_amount_mtd,
+    "net_amount_ytd": measures.net_amount_ytd,
+    "claims_count_mtd": measures.claims_count_mtd,
+    "exposure_by_province": lambda rows, of: measures.exposure_by(rows, "province", of),
+    "exposure_by_tier": lambda rows, of: measures.exposure_by(rows, "dora_regulatory_tier", of),
+    "exposure_by_incident_type": measures.exposure_by_incident_type,
+}
+for _name, _figures in _PARTIAL.items():
+    register(
+        f"{_name}_of_partials",
+        lambda spark, d, figures=_figures: figures(measures.partial_measures(_mart(spark, d))[0], measures.PARTIALS),
+        ORACLES[_name],
+    )
+register(
+    "latency_histogram_of_partials",
+    lambda spark, d: measures.latency_histogram(measures.partial_measures(_mart(spark, d))[1], of=measures.PARTIALS),
+    ORACLES["latency_histogram"],
+)
