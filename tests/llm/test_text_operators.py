@@ -316,6 +316,48 @@ def test_shards_of_edges_and_hot_groups(spark):
     assert max(sizes.values()) < 1.04 * min(sizes.values())
 
 
+@pytest.mark.parametrize("shards", [8, 21])
+def test_shards_are_the_leaves_of_a_k_d_tree(spark, sf, shards):
+    """Every node is cut on its widest dimension, as near to its share of the weight as one group allows."""
+    docs = table(spark, sf, "documents")
+    found = {r.doc_id: r.shard for r in kd_shards(docs, shards, dimensions=("size", "doc_id")).collect()}
+    groups = {}
+    for r in docs.collect():
+        size = len((r.text or "").encode()) + 1
+        at = groups.setdefault((r.text or "", found[r.doc_id]), [0, math.inf, math.inf])
+        groups[r.text or "", found[r.doc_id]] = [at[0] + size, min(at[1], math.log2(size)), min(at[2], r.doc_id)]
+    ends = [(math.log2(len((t or "").encode()) + 1), i) for t, i in ((r.text, r.doc_id) for r in docs.collect())]
+    lows, highs = ([f(e[i] for e in ends) for i in (0, 1)] for f in (min, max))
+    points = [(k[1], g[0], [(g[i + 1] - lows[i]) / (highs[i] - lows[i]) for i in (0, 1)]) for k, g in groups.items()]
+    heaviest = max(p[1] for p in points)
+
+    def check(first, leaves, own):
+        if leaves == 1:
+            assert {p[0] for p in own} == {first}
+            return
+        half = leaves // 2
+        parts = [[p for p in own if p[0] < first + half], [p for p in own if p[0] >= first + half]]
+        spans = [max(p[2][i] for p in own) - min(p[2][i] for p in own) for i in (0, 1)]
+        widest = spans.index(max(spans))
+        assert max(p[2][widest] for p in parts[0]) <= min(p[2][widest] for p in parts[1])
+        weight = sum(p[1] for p in own)
+        assert abs(sum(p[1] for p in parts[0]) - weight * half / leaves) <= max(heaviest, weight / leaves / 512)
+        check(first, half, parts[0])
+        check(first + half, leaves - half, parts[1])
+
+    check(0, shards, points)
+
+
+def test_shards_by_target_bytes(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    found = kd_shards(docs, target_bytes=40_000).collect()
+    sizes = collections.Counter()
+    for r in found:
+        sizes[r.shard] += r.size
+    assert len(sizes) == -(-sum(sizes.values()) // 40_000) > 60 and max(sizes.values()) < 1.5 * 40_000
+    assert len(kd_shards(docs, target_bytes=1 << 40).select("shard").distinct().collect()) == 1
+
+
 def test_automaton_equals_direct_counts(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
     share, strength = 1e-4, 50.0
