@@ -3,7 +3,7 @@
 A line that the longest common subsequence of two such pages shares belongs to the template and goes. Two things bound that
 rule. Markup that names its purpose (navigation, adverts, comments, ...) is dropped at once. And inside an explicit article
 (<article>, <main> or such a role) lines go only where a template has them, in an unbroken run behind the headline or at the end, and
-only when two neighbours with other headlines share them: mirrored articles and quotes are main text.
+only when two neighbours with other headlines have them in the same place: mirrored articles and quotes are main text.
 """
 
 from __future__ import annotations
@@ -299,31 +299,39 @@ class Lines(NamedTuple):
         return self.headline >= 0 and other.headline >= 0 and self.own[self.headline] == other.own[other.headline]
 
 
+def lines_at_edges(mine: Lines, theirs: Lines) -> np.ndarray:
+    """Which lines of an article stand in the same place in another one: behind the headline, or counted from the end."""
+    out = np.zeros(len(mine.own), bool)
+    for at, other in zip(range(mine.headline + 1, len(mine.own)), theirs.own[theirs.headline + 1 :], strict=False):
+        if mine.own[at] != other:
+            break
+        out[at] = True
+    for at, other in zip(range(len(mine.own) - 1, mine.headline, -1), reversed(theirs.own[theirs.headline + 1 :]), strict=False):
+        if mine.own[at] != other:
+            break
+        out[at] = True
+    return out
+
+
 def lines_of_template(mine: Lines, neighbours: list[Lines | None], explicit: bool) -> list[int]:
     """Places of the lines to delete from a page, given its neighbours, nearest first.
 
     Copies of the page are passed over, and for an explicit article pages of the same headline, which are other versions of it. On a
-    page without an explicit article the lines shared with the first neighbour go. Inside an article those go that are shared with
-    two and stand in an unbroken run of such lines behind the headline or at the end; a passage in between may be quoted. The headline
-    stays, and an article that has nothing else of its own stays whole.
+    page without an explicit article the lines shared with the first neighbour go. Inside an article those go that two share at the
+    same place, in an unbroken run behind the headline or up to the end; what is shared elsewhere may be quoted. The headline stays, and
+    an article that has nothing else of its own stays whole.
     """
-    lines, size = mine.own, np.array(mine.sizes)
+    size = np.array(mine.sizes)
     found = []
     for other in neighbours:
         if other is not None and len(found) < 1 + explicit and not (explicit and mine.same_article(other)):
-            shared = shared_lines(lines, other.own)
+            shared = shared_lines(mine.own, other.own)
             if not _copied(size[shared].sum(), size.sum(), sum(other.sizes)):
-                found.append(shared)
+                found.append(lines_at_edges(mine, other) if explicit else shared)
     if len(found) < 1 + explicit:
         return []
     gone = np.logical_and.reduce(found)
-    if explicit:
-        gone[: mine.headline + 1] = False
-        own = np.flatnonzero(~gone[mine.headline + 1 :]) + mine.headline + 1
-        if not len(own):
-            return []
-        gone[own[0] : own[-1]] = False
-    return np.flatnonzero(gone).tolist()
+    return [] if explicit and gone[mine.headline + 1 :].all() else np.flatnonzero(gone).tolist()
 
 
 def _copied(shared: int, mine: int, theirs: int) -> bool:
@@ -337,8 +345,8 @@ def page_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     the nearest pages before and after it, on the same host, that are no copies of it: two pages are copies when they share
     80 % of the text of the longer one, articles also when they have the same headline, and runs of copies are passed over. A page
     without an article loses the lines that it shares with the neighbour of the longer common path (ties: the one before). An
-    article loses those behind its headline and at its end that it shares with both neighbours (at the end of a host: with the
-    nearest two); with fewer nothing is known about a template, and nothing is deleted. Equal pages stand once in that order. Where copies drift so far that the page beyond a run is a copy again, that
+    article loses those behind its headline and at its end that both neighbours (at the end of a host: the nearest two) have in the
+    same place; with fewer nothing is known about a template, and nothing is deleted. Equal pages stand once in that order. Where copies drift so far that the page beyond a run is a copy again, that
     side has no neighbour. A null url counts as host and path of no letters; null or empty html gives an empty text. Repeated
     rows give repeated results. Ordering is by ranges over all hosts, so a large host is in many tasks; pages are compared by
     64-bit hashes of their lines.

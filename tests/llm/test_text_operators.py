@@ -225,13 +225,14 @@ def plain_page_texts(spark, rows):
             else:
                 near = [*before[:1], *after[:1]]
             near.sort(key=lambda o: -len(os.path.commonprefix([key[0], o[0]])))
-            found = [shared_lines(mine[0], pages[o][0]) for o in near if not copy(mine, pages[o], explicit)][: 1 + explicit]
+            near = [pages[o] for o in near if not copy(mine, pages[o], explicit)][: 1 + explicit]
             gone = set()
-            if len(found) == 1 + explicit:
-                gone = {n for n in range(len(mine[0])) if all(s[n] for s in found)}
-                if explicit:
-                    own = [n for n in range(mine[2] + 1, len(mine[0])) if n not in gone]
-                    gone = {n for n in gone if n > mine[2] and own and not own[0] < n < own[-1]}
+            if len(near) == 1 + explicit and not explicit:
+                gone = {n for n, s in enumerate(shared_lines(mine[0], near[0][0])) if s}
+            elif len(near) == 2:
+                body, others = mine[0][mine[2] + 1 :], [o[0][o[2] + 1 :] for o in near]
+                edges = [{n for n in range(len(body)) if body[: n + 1] == o[: n + 1] or body[n:] == o[len(o) - len(body) + n :] and len(o) >= len(body) - n} for o in others]
+                gone = {n + mine[2] + 1 for n in edges[0] & edges[1]} if len(edges[0] & edges[1]) < len(body) else set()
             out[host, explicit, key] = " ".join(line for n, line in enumerate(mine[0]) if n not in gone)
     return {i: out.get((split(url)[0], parsed[i][1], (split(url)[1], marks[i])), "") for i, url, _ in rows}
 
