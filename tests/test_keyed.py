@@ -114,3 +114,18 @@ def test_bronze_grows_and_keeps_lines_that_name_no_claim(spark, tmp_path):
     assert lake.bronze_table(spark, path).state().buckets > 10
     assert {json.loads(x)["extracted_payload"]["claim_id"] for x in lines if x[1] != "b"} == {f"C{i}" for i in range(200)}
     assert keyed.BUCKET_BYTES == 1 << 30
+
+
+def test_a_merge_leaves_only_compressed_buckets_and_splits_large_ones_over_tasks(spark, tmp_path, monkeypatch):
+    left = tmp_path / "staged"
+    monkeypatch.setattr(keyed, "staging_path", lambda _, name: f"{left}/{name}-{len(list(left.glob('*')))}")
+    monkeypatch.setattr(keyed, "TASK_BYTES", 4_000)
+    schema = T.StructType([T.StructField("value", T.StringType())])
+    made = KeyedTable(spark, str(tmp_path / "t"), schema, "text", lambda: F.split_part("value", F.lit(" "), F.lit(1)), 40_000)
+    line = lambda word: F.concat(F.lit("k"), F.col("id").cast("string"), F.lit(" "), F.repeat(F.lit(word), 30)).alias("value")
+    made.merge(spark.range(300).select(line("old ")))
+    made.merge(spark.range(100, 400).select(line("new ")))
+    files = list((tmp_path / "t").glob("generation=2-*/bucket=*/part-*"))
+    assert made.state().buckets == 2 and len(files) > 4 and all(f.name.endswith(".gz") for f in files)
+    assert sorted((int(r.value.split()[0][1:]), r.value.split()[1]) for r in made.read().collect()) == [(i, "old" if i < 100 else "new") for i in range(400)]
+    assert sum(b.rows for b in made.state().live.values()) == 400 and not list(left.glob("*"))
