@@ -152,3 +152,21 @@ def test_vector_search_against_brute_force(spark, sf):
         )
         want.update({(query.name, rank): vec for rank, (_, vec) in enumerate(order[:7], 1)})
     assert got == want
+
+
+def test_index_equals_plain_counts_with_and_without_small_words(spark):
+    """Chunks of one id and section count as one; words that go to every task and others get the same weights."""
+    meta = "struct<source_file: string, section: string, section_number: bigint, regulatory_body: string, framework: string>"
+    texts = [("a", "Lex lex, rule 7 of rule", 1), ("b", "rule", 1), ("b", "rule Zed", 1), ("b", "of of", 2), ("c", "", 1), ("d", None, 1), ("e", "one Éa rule of", 3)]
+    rows = spark.createDataFrame([(i, t, ("f", "s", n, "r", "w")) for i, t, n in texts], f"chunk_id string, text string, metadata {meta}")
+    counts = retrieval.term_counts(rows)
+    bags = retrieval.term_bags(rows)
+    told = bags.select("chunk_id", "section_number", F.explode("bag").alias("t")).select("chunk_id", "section_number", "t.*")
+    assert sorted(told.collect()) == sorted(counts.collect())
+    expected = {(r.chunk_id, r.section_number, r.token): r.times * r.rarity for r in counts.join(retrieval.term_rarity(counts, rows), "token").collect()}
+    for small_rows in (100, 3, 0):
+        index = retrieval.build_index(rows, small_rows=small_rows)
+        assert {(r.chunk_id, r.section_number, r.token): r.weight for r in index.terms.collect()} == expected
+        assert {r.chunk_id for r in index.norms.collect()} == {"a", "b", "e"}
+    common, others = retrieval._common_words(retrieval.term_rarity(counts, rows), len(expected), 3)
+    assert 0 < common.count() <= 3 and common.count() + others.count() == 7
