@@ -170,3 +170,18 @@ def test_index_equals_plain_counts_with_and_without_small_words(spark):
         assert {r.chunk_id for r in index.norms.collect()} == {"a", "b", "e"}
     common, others = retrieval._common_words(retrieval.term_rarity(counts, rows), len(expected), 3)
     assert 0 < common.count() <= 3 and common.count() + others.count() == 7
+
+
+def test_long_queries_are_scored_in_one_pass_with_the_hits_of_bounded_search(spark, monkeypatch):
+    chunks = b.chunks(spark, "/root/testdata/sf0.001").limit(300).localCheckpoint()
+    index = retrieval.build_index(chunks)
+    texts = [r.text for r in chunks.orderBy("chunk_id").limit(6).collect()]
+    asked = [retrieval.Query(f"q{i}", t if i % 2 else " ".join(t.split()[:3]), 2 if i == 3 else None) for i, t in enumerate(texts)]
+    read = retrieval.candidates
+    sent = []
+    monkeypatch.setattr(retrieval, "candidates", lambda index, weights, k: sent.append(weights.agg(F.max("asked")).first()[0]) or read(index, weights, k))
+    found = {}
+    for limit in (retrieval.LONG_QUERY, 10_000):
+        monkeypatch.setattr(retrieval, "LONG_QUERY", limit)
+        found[limit] = sorted((r.query, r["rank"], r.chunk_id, r.similarity_score) for r in retrieval.search(index, asked, 3).collect())
+    assert len(found[10_000]) > 6 and found[12] == found[10_000] and sent[0] <= 12 < sent[1]
