@@ -62,23 +62,38 @@ def _distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]]
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """8-byte numbers as all first bytes, then all second bytes, ..., each of them compressed apart: counts and the upper bytes of
+    differences are far from evenly spread, which the compression of a shuffle cannot use."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T)
+    parts = [pa.compress(plane.tobytes(), codec="zstd", asbytes=True) for plane in planes]
+    return np.array([len(numbers), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+
+
+def _restored(data: bytes) -> np.ndarray:
+    count, *sizes = np.frombuffer(data, np.int64, 9).tolist()
+    ends = np.cumsum([72, *sizes]).tolist()
+    planes = b"".join(pa.decompress(data[a:b], decompressed_size=count, codec="zstd", asbytes=True) for a, b in zip(ends[:-1], ends[1:], strict=True))
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
 def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, all first bytes, then all second bytes, ...: the high ones are zeros, which compress well."""
+    """Sorted keys as differences."""
     steps = keys.copy()
     steps[1:] -= keys[:-1]
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return _squeezed(steps)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_restored(data), dtype=np.uint64)
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
-    return np.ascontiguousarray(counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return _squeezed(counts.astype(np.int64))
 
 
 def unpacked_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    return _restored(data).view(np.int64)
 
 
 def range_bounds(ranges: int) -> np.ndarray:

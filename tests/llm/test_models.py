@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from claimweir.llm import lm
 from claimweir.llm.langid import UNKNOWN, count_grams, detect_language, gram_vectors, learn_profiles
 from claimweir.llm.quality import AT_QUANTILE, fit_ranking, quality_score, text_features, train_ranking
 from claimweir.llm.queries import op2_quality, op4_toxicity, op8_language
@@ -96,3 +97,14 @@ def test_grams_are_bound_letters():
     a, b = gram_vectors(grams, 3, 64), gram_vectors(grams[::-1].copy(), 3, 64)
     assert (a == b[::-1]).all() and set(np.unique(a)) == {-1.0, 1.0}
     assert len(count_grams("7", 3)[0]) == 0 and len(count_grams("x", 3)[0]) == 1
+
+
+def test_packed_keys_and_counts_come_back_in_less_room_than_their_planes():
+    draw = np.random.default_rng(5)
+    keys = np.unique(draw.integers(0, 1 << 64, 20_000, np.uint64) >> np.uint64(6))
+    counts = draw.geometric(0.6, len(keys))
+    for n in (0, 1, 2, len(keys)):
+        assert (lm.unpacked(lm.packed(keys[:n])) == keys[:n]).all() and (lm.unpacked_counts(lm.packed_counts(counts[:n])) == counts[:n]).all()
+        assert len(lm.unpacked(lm.packed(keys[:n]))) == len(lm.unpacked_counts(lm.packed_counts(counts[:n]))) == n
+    # one byte a count is what whole bytes take; keys differ in some 6 bytes
+    assert len(lm.packed_counts(counts)) < 0.5 * len(counts) and len(lm.packed(keys)) < 6.2 * len(keys)
