@@ -185,3 +185,17 @@ def test_long_queries_are_scored_in_one_pass_with_the_hits_of_bounded_search(spa
         monkeypatch.setattr(retrieval, "LONG_QUERY", limit)
         found[limit] = sorted((r.query, r["rank"], r.chunk_id, r.similarity_score) for r in retrieval.search(index, asked, 3).collect())
     assert len(found[10_000]) > 6 and found[12] == found[10_000] and sent[0] <= 12 < sent[1]
+
+
+def test_search_of_few_queries_writes_no_postings_and_has_the_hits_of_the_index(spark, sf, monkeypatch):
+    chunks = b.chunks(spark, sf).cache()
+    queries = [*b.preset_queries(), *b.area_queries()]
+    rows = lambda found: sorted(tuple(r) for r in found.select("query", "rank", "chunk_id", "distance", "similarity_score").collect())
+    want = rows(retrieval.search(retrieval.build_index(chunks), queries, top_k=3))
+    written, stage = [], retrieval.stage
+    monkeypatch.setattr(retrieval, "stage", lambda table, name, *a, **k: written.append(name) or stage(table, name, *a, **k))
+    for small_rows in (0, 1_000_000):
+        assert rows(retrieval.search_once(chunks, queries, 3, small_rows=small_rows)) == want
+    b.citations(spark, sf).collect()
+    assert written and "term_weights" not in written
+    chunks.unpersist()
