@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from claimweir import fixed, schemas
 from claimweir.operators import audit as auditing
 from claimweir.operators import review
+from claimweir.plans import cycle
 from claimweir.plans.cycle import CycleSettings, Lake, ingest_inbound, release_overrides, run_cycle, tier_status, to_release
 from claimweir.sources import lake
 from tests.test_text import DOSSIER
@@ -253,3 +255,17 @@ def test_a_release_that_broke_off_is_done_again(spark, small_lake, monkeypatch,
             to_release(spark, small_lake, SETTINGS)
     assert to_release(spark, small_lake, SETTINGS) is True
     assert tiers(spark, small_lake) == {"silver": ["1", "3"], "quarantine": ["2"]}
+
+
+def test_json_tables_are_compressed_and_silver_is_written_at_once(spark, target, tmp_path, monkeypatch):
+    for folder in (target.quarantine, target.audit_reports):
+        names = [p.name for p in Path(folder).glob("part-*")]
+        assert names and all(n.endswith(".json.gz") for n in names)
+    assert all(p.name.endswith(".json") for p in Path(target.kpi_summary).glob("part-*"))
+    staged, before = [], cycle.stage
+    monkeypatch.setattr(cycle, "stage", lambda table, name, *a, **k: staged.append(name) or before(table, name, *a, **k))
+    made = Lake(str(tmp_path))
+    cycle.to_bronze(lake.read_documents(spark, target.inbound), made, SETTINGS)
+    cycle.to_silver(spark, made, SETTINGS)
+    assert lake.read_silver(spark, made.silver).count() == 2 and lake.read_quarantine(spark, made.quarantine).count() == 2
+    assert "silver" not in staged
