@@ -102,3 +102,11 @@ def test_two_addresses_repeat_claims_unless_asked_otherwise(spark, sf):
     assert build_star(both).fact_claims.count() == 4
     single = build_star(both, one_row_per_hash=True)
     assert single.fact_claims.count() == 2 and single.dim_claimant.count() == 1
+
+
+def test_gold_reads_silver_without_narratives(spark, sf):
+    read = b.gold_input(spark, sf)
+    assert not {"incident_description_clean", "statutory_attestation"} & set(read.columns)
+    want = build_star(b.silver(spark, sf).cache(), b.at()).fact_claims
+    got = build_star(read, b.at()).fact_claims
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
