@@ -129,3 +129,15 @@ def test_a_merge_leaves_only_compressed_buckets_and_splits_large_ones_over_tasks
     assert made.state().buckets == 2 and len(files) > 4 and all(f.name.endswith(".gz") for f in files)
     assert sorted((int(r.value.split()[0][1:]), r.value.split()[1]) for r in made.read().collect()) == [(i, "old" if i < 100 else "new") for i in range(400)]
     assert sum(b.rows for b in made.state().live.values()) == 400 and not list(left.glob("*"))
+
+
+def test_no_two_shares_of_a_merge_meet_in_one_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "TASK_BYTES", 1 << 12)
+    made = keyed.KeyedTable(spark, str(tmp_path), T.StructType([T.StructField("value", T.StringType())]), "text", lambda: F.col("value"))
+    rows = lambda low: spark.range(low, low + 4000).select(F.lpad(F.col("id").cast("string"), 9, "0").alias("value"))
+    made.merge(rows(0))
+    made.merge(rows(2000))
+    assert made.read().count() == made.read().distinct().count() == 6000
+    folder = next(iter(made.state().live.values())).folder
+    # some 4 kB for each task: 80,000 bytes in 20 shares, none of them empty, each written by its own task
+    assert len(list((tmp_path / folder / "bucket=0").glob("part-*.gz"))) == 20
