@@ -10,16 +10,19 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from os.path import commonprefix
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimweir.llm.shared import Scratch
+from claimweir.llm.shingles import cut_batches, small_batches
 from claimweir.operators.lookup import lookup_join
 from claimweir.operators.numbering import number_ranges
 
@@ -58,6 +61,9 @@ _INTERFACE = {"bar", "btn", "button", "buttons", "icon", "icons", "links", "tool
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comment|reply)(?:$|[\s_-])")
 #: Pages that share this part of the longer one's text are copies and say nothing about their template.
 COPY = 0.8
+#: Bytes of html, and lines of pages that are compared, that become Python objects at a time; a batch of a task may hold 10,000 pages.
+PAGE_BYTES = 1 << 20
+LINES = 1 << 15
 
 
 def _names_part(names: str, inside: bool = False) -> bool:
@@ -338,6 +344,16 @@ def _copied(shared: int, mine: int, theirs: int) -> bool:
     return shared >= COPY * max(mine, theirs)
 
 
+def few_lines(batches: Iterator[pa.RecordBatch], *pages: list[str], most: int = LINES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the pages of each row (columns, or fields of columns) have `most` lines together, or there is one row."""
+
+    def lines(batch: pa.RecordBatch) -> pa.Array:
+        counts = [pc.list_value_length(pc.struct_field(batch.column(at[0]), [*at[1:], "own"])) for at in pages]
+        return pa.array(sum(pc.fill_null(n, 0).to_numpy(zero_copy_only=False).astype(np.int64) for n in counts))
+
+    return cut_batches(batches, lines, most)
+
+
 def page_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Rows (id, url, text, n_chars): the main text of every page, its blocks joined by one space, and its code points.
 
@@ -365,7 +381,7 @@ def page_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     )
 
     def parse(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 2, PAGE_BYTES):
             found = [page_lines(page) for page in batch.column(2).to_pylist()]
             columns = [pa.array(list(c), kind) for c, kind in zip(zip(*found, strict=True), (pa.list_(pa.string()), pa.bool_(), pa.int32()), strict=True)] if found else None
             if columns:
@@ -382,7 +398,7 @@ def page_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     scratch.drop(distinct)
 
     def copies(batches):
-        for batch in batches:
+        for batch in few_lines(batches, ["page"], ["theirs"]):
             same = []
             for mine, theirs, explicit in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 mine, theirs = Lines(**mine), Lines(**theirs)
@@ -418,7 +434,7 @@ def page_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     both = order.join(near, "at").select(*page, "page", "before_page", "after_page")
 
     def differ(batches):
-        for batch in batches:
+        for batch in few_lines(batches, ["page"], ["before_page", "page"], ["after_page", "page"]):
             explicit, path, mine, before, after = (c.to_pylist() for c in (batch.column(1), batch.column(2), *batch.columns[4:]))
             gone = []
             for article, own, lines, x, y in zip(explicit, path, mine, before, after, strict=True):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -107,18 +107,23 @@ def slices(texts: Sequence[str | None], size: int = 1 << 20) -> Iterator[tuple[i
         yield first, len(texts)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the texts of a column have about `size` bytes together."""
+def cut_batches(batches: Iterator[pa.RecordBatch], sizes: Callable[[pa.RecordBatch], pa.Array], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the sizes of their rows (null: 0) are `most` together at most, or they have one row."""
     for batch in batches:
-        lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        total = np.cumsum(pc.fill_null(sizes(batch), 0).to_numpy(zero_copy_only=False))
         first = 0
         while first < batch.num_rows:
-            done = lengths[first - 1] if first else 0
-            end = max(first + 1, int(np.searchsorted(lengths, done + size, side="right")))
+            done = total[first - 1] if first else 0
+            end = max(first + 1, int(np.searchsorted(total, done + most, side="right")))
             yield batch.slice(first, end - first)
             first = end
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of a column have about `size` bytes together."""
+    return cut_batches(batches, lambda batch: pc.binary_length(batch.column(column)), size)
+
+
 def shingle_sets(texts: Sequence[str | None], k: int, short: bool) -> list[np.ndarray]:
     """The sorted distinct shingles of k words of each text. Of fewer words (`short`) all together are one, else there is none."""
     out = []

@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +17,7 @@ from claimweir.llm.decontaminate import find_leaks, leak_indexes, without_leaks
 from claimweir.llm.kd_shards import kd_shards
 from claimweir.llm.lm import score_texts
 from claimweir.llm.packing import Schedule, WordTokens, pack
-from claimweir.llm.pages import COPY, page_lines, page_text, shared_lines
+from claimweir.llm.pages import COPY, few_lines, page_lines, page_text, shared_lines
 from claimweir.llm.queries import op9_leaks, tokenizer_path
 from claimweir.llm.shared import fold, table
 from tests.llm.helpers import EDGES, documents, shingles, words
@@ -459,3 +460,14 @@ def test_classes_that_only_contain_the_name_of_a_part_are_kept():
     teasers = '<article><p>text</p></article><div class="related-posts"><article>teaser</article></div><div class="comments"><article class="comment">c</article></div>'
     assert page_lines(teasers) == (["text"], True, -1)
     assert page_lines('<p>text</p><div class="comments"><article class="comment">c</article></div><div class="main-menu">m</div>') == (["text"], False, -1)
+
+
+def test_pages_are_compared_few_lines_at_a_time():
+    page = pa.struct([("own", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("headline", pa.int32())])
+    made = [{"own": list(range(n)), "sizes": [1] * n, "headline": -1} for n in (4, 0, 3, 30, 2, 2, 1)]
+    beside = [None, {"path": "/x", "page": made[2]}, None, {"path": "/y", "page": None}, {"path": "/z", "page": made[0]}, None, {"path": None, "page": made[1]}]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(made, page), pa.array(beside, pa.struct([("path", pa.string()), ("page", page)]))], names=["at", "page", "before_page"])
+    for whole in (batch, pa.RecordBatch.from_arrays([pa.concat_arrays([c[:3], c]) for c in batch.columns], names=batch.schema.names).slice(3)):
+        cut = list(few_lines([whole], ["page"], ["before_page", "page"], most=8))
+        assert [b.column(0).to_pylist() for b in cut] == [[0, 1], [2], [3], [4, 5], [6]]
+        assert pa.Table.from_batches(cut).to_pylist() == batch.to_pylist()
