@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from claimweir.llm.bits import bit_array, has_bit
 from claimweir.llm.components import components
-from claimweir.llm.shared import Scratch
+from claimweir.llm.shared import Scratch, arrow_rows
 from claimweir.llm.shingles import mixed, shingle_sets, small_batches
 
 #: Shingles whose hash lies in the lowest quarter come first and are counted in all sets. The others are counted only in sets that have
@@ -32,6 +32,10 @@ LOW = np.uint64(1 << LOW_BITS)
 #: Least and most bits of an array of places, and bits for each place that is set.
 PLACES = (1 << 20, 1 << 28)
 ROOM = 16
+#: Bits for each frequent place; there are few, and another shingle that falls on one of their bits only comes later in the order.
+FREQUENT_ROOM = 64
+#: Rows of a batch that goes to Python.
+ROWS = 1_000
 #: A shingle of more documents counts as frequent and comes last in the order.
 FREQUENT = 16
 ID_BITS = 1 << 24
@@ -70,10 +74,10 @@ def choose_boundary(num: int, den: int, list_length: float, most: int = 64) -> i
     return boundary
 
 
-def place_bits(count: int) -> int:
+def place_bits(count: int, room: int = ROOM) -> int:
     """log2 of the bits of an array that `count` places go into."""
     least, most = PLACES
-    return (min(max(ROOM * count, least), most) - 1).bit_length()
+    return (min(max(room * count, least), most) - 1).bit_length()
 
 
 class Places:
@@ -182,6 +186,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_co
     made again from the texts and compared. Components are all that is returned, so a pair known to be connected need not be
     compared.
     """
+    with arrow_rows(docs.sparkSession, ROWS):
+        return _join(docs, k, num, den, id_column, text_column)
+
+
+def _join(docs: DataFrame, k: int, num: int, den: int, id_column: str, text_column: str) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     context = spark.sparkContext
@@ -200,9 +209,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_co
         return scratch.write(rows)
 
     def arrays(repeated: DataFrame, low: bool) -> list[np.ndarray]:
-        bits = place_bits(repeated.count())
-        places = repeated.select(Places.column(low, bits), "n")
-        return [bit_array(rows.select("place"), 1 << bits) for rows in (places, places.filter(F.col("n") > FREQUENT))]
+        often = repeated.filter(F.col("n") > FREQUENT)
+        sizes = [place_bits(repeated.count()), place_bits(often.count(), FREQUENT_ROOM)]
+        return [bit_array(rows.select(Places.column(low, bits)), 1 << bits) for rows, bits in zip((repeated, often), sizes, strict=True)]
 
     repeated = counted(lambda s: s[: np.searchsorted(s, LOW)], True)
     mean = repeated.agg(F.avg(F.least("n", F.lit(FREQUENT)))).first()[0] or 2.0
@@ -213,6 +222,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_co
     repeated = counted(lambda s: s[np.searchsorted(s, LOW) :] if wants_more(s, boundary, num, den, first.value) else s[:0], False)
     shared_high, frequent_high = arrays(repeated, False)
     scratch.drop(repeated)
+    first.unpersist()
     shared = context.broadcast(Places(shared_low, shared_high))
     frequent = context.broadcast(Places(frequent_low, frequent_high))
 
@@ -273,7 +283,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, id_co
         work.clear()
         scratch.drop(close, before)
     scratch.drop(lists)
-    for sent in (first, shared, frequent):
+    for sent in (shared, frequent):
         sent.unpersist()
 
     whole = signed.select("id", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"], "left")

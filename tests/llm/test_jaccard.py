@@ -1,12 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from claimweir.llm.bits import bit_array
 from claimweir.llm.components import components
-from claimweir.llm.jaccard_join import FREQUENT, LOW, Places, bits_apart, choose_boundary, jaccard_join, least_common, parity_of, place_bits, subset_sizes, tokens_of, wants_more
-from claimweir.llm.shared import Scratch, table
+from claimweir.llm.jaccard_join import FREQUENT, FREQUENT_ROOM, LOW, Places, bits_apart, choose_boundary, jaccard_join, least_common, parity_of, place_bits, subset_sizes, tokens_of, wants_more
+from claimweir.llm.shared import Scratch, arrow_rows, table
 from claimweir.llm.shingles import joined, shingle_sets, word_hashes
 from tests.llm.helpers import EDGES, Groups, documents, jaccard_groups, words
 
@@ -155,3 +156,36 @@ def test_components_of_chains_and_stars(spark):
     found = components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test"))
     assert {r.id: r.component for r in found.collect()} == {i: groups.of(i) for i in groups.parent if i != 5000}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).collect() == []
+
+
+def test_batches_that_go_to_python_are_small_inside_only(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def most():
+        count = spark.range(0, 5_000, numPartitions=1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+        return max(r.n for r in count.collect())
+
+    with pytest.raises(ValueError), arrow_rows(spark, 1_000):
+        assert most() <= 1_000
+        raise ValueError
+    assert spark.conf.get(name) == before and most() > 1_000
+    with arrow_rows(spark, 10**9):
+        assert spark.conf.get(name) == before
+
+
+def test_the_join_sends_small_batches(spark, monkeypatch):
+    seen = set()
+    own = Scratch.write
+
+    def write(self, frame):
+        seen.add(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return own(self, frame)
+
+    monkeypatch.setattr(Scratch, "write", write)
+    assert jaccard_join(documents(spark, EDGES[3:6]), k=4).count() == 3
+    assert seen and max(seen) <= 1_000
+
+
+def test_few_frequent_places_take_few_bits():
+    assert place_bits(10_000_000, FREQUENT_ROOM) <= 28 and place_bits(1_000, FREQUENT_ROOM) == 20 < place_bits(1_000_000)
