@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from claimweir.llm.shared import Scratch
 
 #: Classes of bytes whose shares are features: lower case, upper case, digits, white space, sentence marks, other ASCII, non-ASCII.
 _classes = np.full(256, 6)
@@ -88,32 +91,137 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(at, -500, 500)))
 
 
-def fit_ranking(better: np.ndarray, worse: np.ndarray, pairs: int = 60_000, ridge: float = 1e-3, steps: int = 30, seed: int = 7) -> Ranking:
-    """Weights that make the worth of `better` rows exceed that of `worse` rows: logistic loss on differences of features.
+#: Cells of the grid of worths: fine ones for the gradient, wide ones for the curvature.
+FINE, WIDE = 1024, 256
 
-    Pairs are drawn with a fixed seed. The cut is the quantile of all worths at the share of worse rows. Without rows of both
-    kinds no preference is known: every document gets worth 0 and is kept.
-    """
-    rows = np.vstack([better, worse])
-    if not len(better) or not len(worse):
-        width = rows.shape[1]
+#: Applies a function of (features, labels) to all blocks of rows and combines what it returns.
+Blocks = Callable[..., np.ndarray]
+
+
+def _sigmoid(at: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(at, -500, 500)))
+
+
+def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.concatenate([[(y == 1).sum(), (y == 0).sum()], x.sum(0), (x * x).sum(0)])
+
+
+def _spread(at: np.ndarray, values: np.ndarray, cells: int) -> np.ndarray:
+    """Sums of the rows of `values` by cell."""
+    return np.stack([np.bincount(at, v, cells) for v in values.T], 1)
+
+
+def _by_worth(z: np.ndarray, y: np.ndarray, w: np.ndarray, reach: float) -> np.ndarray:
+    """Of both kinds of rows, counts and sums of features by worth, a row shared by the two points of the fine grid it lies between;
+    and counts, sums and products of features in wide cells."""
+    upper = np.triu_indices(z.shape[1])
+    out = []
+    for kind in (1, 0):
+        own = z[y == kind]
+        at = (own @ w + reach) / (2 * reach)
+        one = np.c_[np.ones(len(own)), own]
+        place = np.clip(at * (FINE - 1), 0, FINE - 1)
+        low = np.minimum(place.astype(np.int64), FINE - 2)
+        part = (place - low)[:, None]
+        fine = _spread(low, one * (1 - part), FINE) + _spread(low + 1, one * part, FINE)
+        cell = np.clip((at * WIDE).astype(np.int64), 0, WIDE - 1)
+        order = np.argsort(cell, kind="stable")
+        cells, first = np.unique(cell[order], return_index=True)
+        products = np.zeros((WIDE, len(upper[0])))
+        for c, rows in zip(cells, np.split(own[order], first[1:]) if len(own) else [], strict=True):
+            products[c] = (rows.T @ rows)[upper]
+        out += [fine.ravel(), _spread(cell, one, WIDE).ravel(), products.ravel()]
+    return np.concatenate(out)
+
+
+def _newton(sums: np.ndarray, w: np.ndarray, reach: float, ridge: float) -> np.ndarray:
+    """The Newton step of the loss over all pairs of a better and a worse row, from the sums of `_by_worth`."""
+    width = len(w)
+    upper = np.triu_indices(width)
+    sizes = [FINE * (width + 1), WIDE * (width + 1), WIDE * len(upper[0])] * 2
+    good, good_wide, good_products, bad, bad_wide, bad_products = (
+        part.reshape(-1, n) for part, n in zip(np.split(sums, np.cumsum(sizes)[:-1]), [width + 1, width + 1, len(upper[0])] * 2, strict=True)
+    )
+    pairs = good[:, 0].sum() * bad[:, 0].sum()
+    grid = np.linspace(-reach, reach, FINE)
+    p = _sigmoid(grid[None, :] - grid[:, None])  # of a better row at the first place, a worse one at the second
+    gradient = ridge * w - ((p @ bad[:, 0]) @ good[:, 1:] - (good[:, 0] @ p) @ bad[:, 1:]) / pairs
+    middle = (np.arange(WIDE) + 0.5) * (2 * reach / WIDE) - reach
+    p = _sigmoid(middle[None, :] - middle[:, None])
+    q = p * (1 - p)
+    square = np.zeros((width, width))
+    square[upper] = (q @ bad_wide[:, 0]) @ good_products + (good_wide[:, 0] @ q) @ bad_products
+    square = square + np.triu(square, 1).T
+    cross = good_wide[:, 1:].T @ q @ bad_wide[:, 1:]
+    return np.linalg.solve((square - cross - cross.T) / pairs + ridge * np.eye(width), gradient)
+
+
+def _edge_above(counted: Callable[[float, float], np.ndarray], reach: float, rank: int, cells: int = 1 << 14) -> float:
+    """A value that `rank` worths lie below; of equal worths around that rank, their least. `counted(low, high)` gives how many lie below
+    `low`, and how many in each of `cells` equal cells from there to `high`."""
+    low, high = -reach, reach
+    while True:
+        below, *inside = counted(low, high).astype(np.int64)
+        edges = np.linspace(low, high, cells + 1)
+        until = below + np.concatenate([[0], np.cumsum(inside)])
+        at = int(np.searchsorted(until, rank, side="right")) - 1
+        if until[at] == rank or at >= cells or (edges[at + 1] - edges[at]) < 1e-12 * reach:
+            return float(edges[at])
+        low, high = float(edges[at]), float(edges[at + 1])
+
+
+def _fit(over: Blocks, width: int, ridge: float, steps: int) -> Ranking:
+    """The ranking of all rows that `over` goes through. Every pass adds up sums of a fixed size, whatever the number of rows."""
+    sums = over(_moments)
+    n_good, n_bad = (int(n) for n in sums[:2]) if len(sums) else (0, 0)
+    n = n_good + n_bad
+    if not n_good or not n_bad:
         return Ranking(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0)
-    mean, scale = rows.mean(0), rows.std(0) + 1e-6
-    good, bad = (np.clip((x - mean) / scale, -6, 6) for x in (better, worse))
-    draw = np.random.default_rng(seed)
-    d = good[draw.integers(len(good), size=pairs)] - bad[draw.integers(len(bad), size=pairs)]
-    w = np.zeros(d.shape[1])
-    for _ in range(steps):  # Newton
-        p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
-        gradient = ridge * w - d.T @ p / pairs
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / pairs + ridge * np.eye(len(w)), gradient)
-        w -= step
+    mean = sums[2 : 2 + width] / n
+    scale = np.sqrt(np.maximum(sums[2 + width :] / n - mean * mean, 0)) + 1e-6
+    w = np.zeros(width)
+    for _ in range(steps):
+        reach = 6 * float(np.abs(w).sum()) + 1e-3
+        step = _newton(over(lambda x, y, w=w, reach=reach: _by_worth(np.clip((x - mean) / scale, -6, 6), y, w, reach)), w, reach, ridge)
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    worths = np.sort(np.concatenate([good @ w, bad @ w]))
-    at = min(max(len(bad), 1), len(worths) - 1)
-    cut = (worths[at - 1] + worths[at]) / 2
-    return Ranking(mean, scale, w, float(cut), 4.0 / max(float(np.std(worths)), 1e-6))
+    model = Ranking(mean, scale, w, 0.0, 1.0)
+    reach = 6 * float(np.abs(w).sum()) * 1.001 + 1e-3
+    cells = 1 << 14
+
+    def counted(low: float, high: float) -> np.ndarray:
+        edges = np.linspace(low, high, cells + 1)
+
+        def part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(edges, model.worth(x), side="right")  # 0 below the first edge
+            return np.bincount(at, minlength=cells + 2)[: cells + 1].astype(float)
+
+        return over(part)
+
+    edge = _edge_above(counted, reach, min(max(n_bad, 1), n - 1), cells)
+
+    def nearest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        worth = model.worth(x)
+        return np.array([np.max(worth, initial=-np.inf, where=worth < edge), np.max(-worth, initial=-np.inf, where=worth >= edge)])
+
+    ends = over(nearest, np.maximum)
+    below, above = (float(v) if np.isfinite(v) else None for v in (ends[0], -ends[1]))
+    cut = (below + above) / 2 if below is not None and above is not None else above if below is None else below
+    total = over(lambda x, y: np.array([model.worth(x).sum(), (model.worth(x) ** 2).sum()]))
+    spread = math.sqrt(max(total[1] / n - (total[0] / n) ** 2, 0.0))
+    return Ranking(mean, scale, w, cut, 4.0 / max(spread, 1e-6))
+
+
+def fit_ranking(better: np.ndarray, worse: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> Ranking:
+    """Weights that make the worth of `better` rows exceed that of `worse` rows: mean logistic loss over all pairs of the two.
+
+    What a row adds to the gradient depends on the worths of the other kind alone, so worths are counted on a grid instead of going
+    through the pairs. The cut is the quantile of all worths at the share of worse rows. Without rows of both kinds no preference is
+    known: every document gets worth 0 and is kept.
+    """
+    x, y = np.vstack([better, worse]), np.repeat([1, 0], [len(better), len(worse)])
+    return _fit(lambda part, combine=np.add: part(x, y), x.shape[1], ridge, steps)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
@@ -126,24 +234,38 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def train_ranking(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> Ranking:
-    """Fit on at most `bound` rows of labels (doc_id, quality 0/1) joined with docs (doc_id, text).
+def train_ranking(docs: DataFrame, labels: DataFrame, ridge: float = 1e-3, steps: int = 30) -> Ranking:
+    """Fit on all rows of labels (doc_id, quality 0/1) joined with docs (doc_id, text), as `fit_ranking` does.
 
-    The bound holds the rows that reach the driver, each as FEATURES numbers. Labels other than 0 and 1 are not used.
+    Texts become FEATURES numbers where they lie; these meet the labels and are written once. Each step is a pass over them, of which the
+    driver gets sums of a fixed size a task. Labels other than 0 and 1 are not used.
     """
-    known = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-    schema = T.StructType([T.StructField("quality", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
-
-    def features(batches):
-        for part in batches:
-            yield pd.DataFrame({"quality": part["quality"], "x": [text_features(t).tolist() for t in part["text"]]})
-
-    rows = labelled_texts(docs, known, bound).select("text", F.col("quality").cast("int").alias("quality")).mapInPandas(features, schema).collect()
-    x = np.array([r["x"] for r in rows]).reshape(len(rows), FEATURES)
-    y = np.array([r["quality"] for r in rows], int)
-    order = np.lexsort(np.c_[x, y].T) if len(rows) else []
-    x, y = x[order], y[order]
-    return fit_ranking(x[y == 1], x[y == 0])
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
+
+    @F.pandas_udf("array<double>")
+    def shape(texts: pd.Series) -> pd.Series:
+        return pd.Series([text_features(t) for t in texts])
+
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = scratch.write(docs.select("doc_id", shape("text").alias("x")).join(known, "doc_id").select("x", "quality"))
+
+    def over(part: Callable[[np.ndarray, np.ndarray], np.ndarray], combine: np.ufunc = np.add) -> np.ndarray:
+        def run(batches):
+            total = None
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+                own = part(x, batch.column(1).to_numpy(zero_copy_only=False)) if len(x) else None
+                total = own if total is None else total if own is None else combine(total, own)
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        found = [np.frombuffer(r["sums"]) for r in rows.mapInArrow(run, "sums binary").collect()]
+        return combine.reduce(found) if found else np.zeros(0)
+
+    try:
+        return _fit(over, FEATURES, ridge, steps)
+    finally:
+        scratch.clear()
 
 
 def quality_score(model: Ranking, text: str | Column) -> Column:

@@ -45,6 +45,25 @@ def test_ranking_orders_pairs_and_keeps_its_quantile():
     assert (fit_ranking(good, bad).weights == model.weights).all()
 
 
+def test_ranking_learns_from_all_pairs():
+    draw = np.random.default_rng(2)
+    good, bad = draw.normal(0.5, 1, (400, 3)), draw.normal(-0.5, 1, (300, 3))
+    model = fit_ranking(good, bad)
+    a, b = (np.clip((x - model.mean) / model.scale, -6, 6) for x in (good, bad))
+    d = (a[:, None, :] - b[None, :, :]).reshape(-1, 3)
+    gradient = 1e-3 * model.weights - d.T @ (1 / (1 + np.exp(d @ model.weights))) / len(d)
+    assert np.abs(gradient).max() < 1e-4
+
+
+def test_every_labelled_document_counts_for_the_ranking(spark):
+    ids = spark.range(20_400).withColumnRenamed("id", "doc_id")
+    late = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id")).collect()[20_000:]]  # only these are bad
+    docs = ids.withColumn("text", F.when(F.col("doc_id").isin(late), "GET $$ ## NOW !! ##").otherwise("Some quiet words of a text."))
+    labels = docs.select("doc_id", (~F.col("doc_id").isin(late)).cast("int").alias("quality"))
+    below = docs.filter(quality_score(train_ranking(docs, labels), "text") < AT_QUANTILE)
+    assert {r.doc_id for r in below.collect()} == set(late)
+
+
 def test_toxicity_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
