@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweir.llm.boosting import BoostedTrees, calibrated, fit_trees, threshold
+from claimweir.llm.boosting import BoostedTrees, add_trees, bin_edges, binned, calibrate, first_score, grow_trees, threshold
+from claimweir.llm.shared import Scratch
 from claimweir.llm.shingles import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -243,35 +244,134 @@ class _Taken:
         return not any(s < end and start < e for block in range(start >> 6, (end - 1 >> 6) + 1) for s, e in self.blocks.get(block, ()))
 
 
-def train_recogniser(docs: DataFrame, texts: int = 4_000, bound: int = 30_000, precision: float = 0.99, text_column: str = "text") -> Recogniser:
+#: Features are whole numbers from 0; greater ones than this count as this in training.
+_MOST = 1023
+#: Scores of held-out examples are counted in cells, so many to 1, from -_REACH to _REACH.
+_CELLS, _REACH = 256, 20
+
+
+def _blobs(texts: list[str | None]) -> list[tuple[bytes, bytes, bytes]]:
+    """Of each text, its examples: features as 16-bit numbers, labels, and whether they are held out."""
+    out = []
+    for text in texts:
+        found = examples(text) if text else []
+        x = np.minimum(np.array([e[1] for e in found], float).reshape(-1, len(FEATURES)), _MOST).astype(np.uint16)
+        out.append((x.tobytes(), bytes(e[2] for e in found), bytes(e[0] % 4 == 0 for e in found)))
+    return out
+
+
+def _joined(batch: pa.RecordBatch, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), kind)
+
+
+def _sums(rows: DataFrame, part) -> np.ndarray:
+    """The sum of the arrays that `part` makes of the batches of a table; empty for an empty table."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = part(batch)
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(float).tobytes()], pa.binary())], names=["sums"])
+
+    found = [np.frombuffer(r["sums"]) for r in rows.mapInArrow(run, "sums binary").collect()]
+    return np.sum(found, 0) if found else np.zeros(0)
+
+
+def train_recogniser(docs: DataFrame, precision: float = 0.99, text_column: str = "text") -> Recogniser:
     """Trees learned from the plain forms of a corpus, from rewritten ones and from what looks alike but fails the checks.
 
-    Of the distinct texts that hold a digit or an at sign, about `texts` are taken by a hash of the text, and of their examples the
-    `bound` with the least hash: three quarters to fit the trees, the rest to calibrate chances and to choose the least cut of each
-    kind at which `precision` of the selected are right. So the driver gets as much of a large corpus as of a small one. A corpus
-    without right and wrong examples gives a recogniser of plain forms only.
+    All distinct texts that hold a digit or an at sign give examples: about three quarters to fit the trees, the rest to calibrate chances
+    and to choose the least cut of each kind at which `precision` of the selected are right. Examples are written once, equal ones of a
+    block as one with their number; each level of a tree is a pass over them, of which the driver gets sums of a fixed size a task. Scores
+    of held-out examples are counted in cells. A corpus without right and wrong examples gives a recogniser of plain forms only.
     """
+    scratch = Scratch(docs.sparkSession, "pii")
+    try:
+        return _train(docs, precision, text_column, scratch)
+    finally:
+        scratch.clear()
+
+
+def _train(docs: DataFrame, precision: float, text_column: str, scratch: Scratch) -> Recogniser:
     told = docs.select(F.col(text_column).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    told = told.withColumn("hash", F.xxhash64("text"))
-    distinct = told.agg(F.approx_count_distinct("hash")).first()[0]
-    below = int(min(1.0, texts / max(distinct, 1)) * (1 << 32))
-    chosen = told.filter(F.pmod("hash", F.lit(1 << 32)) < below).dropDuplicates(["hash"])
+    width = len(FEATURES)
 
     def find(batches):
-        for batch in small_batches(batches, 0, BATCH_BYTES):
-            found = [e for t in batch.column(0).to_pylist() if t for e in examples(t)]
-            marks, x, y = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["mark", "x", "y"])
-
-    rows = chosen.select("text").mapInArrow(find, "mark long, x array<double>, y int").orderBy("mark", "y", "x").limit(bound).collect()
-    x, y = np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows], float)
-    held = np.array([r.mark for r in rows], np.int64) % 4 == 0
-    if len({*y[~held]}) < 2 or len({*y[held]}) < 2:
+        for batch in small_batches(batches, 1, BATCH_BYTES):
+            x, y, held = zip(*_blobs(batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.binary()) for v in (x, y, held))], names=["hash", "x", "y", "held"])
+
+    found = told.select(F.xxhash64("text").alias("hash"), "text").mapInArrow(find, "hash long, x binary, y binary, held binary")
+    found = scratch.write(found.filter(F.octet_length("y") > 0).dropDuplicates(["hash"]).drop("hash"))
+
+    def numbers(batch):
+        """Of fitted examples, how often each feature has each value; of all, how many are wrong and right, fitted and held out."""
+        x, y, held = _joined(batch, "x", np.uint16).reshape(-1, width), _joined(batch, "y", np.uint8), _joined(batch, "held", np.uint8)
+        values = [np.bincount(column, minlength=_MOST + 1) for column in x[held == 0].T]
+        return np.concatenate([np.bincount(2 * held + y, minlength=4), *values])
+
+    sums = _sums(found, numbers)
+    if not len(sums) or not sums[:4].all():
         return Recogniser(None)
-    trees = calibrated(fit_trees(x[~held], y[~held]), x[held], y[held])
-    chance = trees.chance(x[held])
-    kinds = x[held][:, 0]
-    return Recogniser(trees, tuple(threshold(chance[kinds == k], y[held][kinds == k], precision) for k in range(4)))
+    edges = bin_edges(sums[4:].reshape(width, -1))
+    base = first_score(sums[1], sums[0] + sums[1])
+    names = ["x", "weight", "score"]
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _joined(batch, "x", np.uint16).reshape(-1, width)
+                # label, held out and kind stand beside the bins
+                rows = np.ascontiguousarray(np.c_[binned(x, edges), _joined(batch, "y", np.uint8), _joined(batch, "held", np.uint8), x[:, 0].astype(np.uint8)])
+                keys, weight = np.unique(rows.view(np.dtype((np.void, rows.shape[1]))).ravel(), return_counts=True)
+                blobs = (keys.tobytes(), weight.astype(float).tobytes(), np.full(len(keys), base).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], names=names)
+
+    blocks = [scratch.write(found.mapInArrow(pack, "x binary, weight binary, score binary"))]
+    scratch.drop(found)
+
+    def parts(batch):
+        return _joined(batch, "x", np.uint8).reshape(-1, width + 3), _joined(batch, "weight", float), _joined(batch, "score", float)
+
+    def over(part):
+        def fitted(batch):
+            rows, weight, score = parts(batch)
+            own = rows[:, width + 1] == 0
+            return part(rows[own, :width], rows[own, width], weight[own], score[own])
+
+        return _sums(blocks[-1], fitted)
+
+    def keep(trees):
+        def scored(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    rows, weight, score = parts(batch)
+                    blobs = (rows.tobytes(), weight.tobytes(), add_trees(rows[:, :width], score, trees).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], names=names)
+
+        blocks.append(scratch.write(blocks[-1].mapInArrow(scored, "x binary, weight binary, score binary")))
+        scratch.drop(blocks[-2])
+
+    trees, grown = grow_trees(over, keep, edges, base)
+    cells = 2 * _REACH * _CELLS + 1
+
+    def held_out(batch):
+        rows, weight, _ = parts(batch)
+        own = rows[:, width + 1] == 1
+        rows, weight = rows[own], weight[own]
+        score = add_trees(rows[:, :width], np.full(len(rows), base), grown)
+        cell = np.round((np.clip(score, -_REACH, _REACH) + _REACH) * _CELLS).astype(np.int64)
+        return np.bincount((rows[:, width + 2].astype(np.int64) * 2 + rows[:, width]) * cells + cell, weight, 8 * cells)
+
+    counts = _sums(blocks[-1], held_out).reshape(4, 2, cells)
+    kind, y, cell = np.nonzero(counts)
+    weight, z, y = counts[kind, y, cell], cell / _CELLS - _REACH, y.astype(float)
+    trees = calibrate(trees, z, y, weight)
+    chance = 1 / (1 + np.exp(-(trees.slope * z + trees.offset)))
+    return Recogniser(trees, tuple(threshold(chance[kind == k], y[kind == k], precision, weight=weight[kind == k]) for k in range(4)))
 
 
 def find_personal_data(docs: DataFrame, model: Recogniser, redacted: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

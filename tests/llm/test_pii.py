@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimweir.llm.boosting import calibrated, fit_trees, threshold
+from claimweir.llm.boosting import bin_edges, calibrated, fit_trees, threshold
 from claimweir.llm.pii import CARD, EMAIL, IP, KINDS, PHONE, Recogniser, base_spans, candidates, find_personal_data, rewritten, train_recogniser
 from claimweir.llm.queries import op13_personal_data
 from claimweir.llm.shared import table
@@ -79,6 +79,23 @@ def test_trees_learn_and_are_calibrated():
         assert abs(found[near].mean() - truth[near].mean()) < 0.1
 
 
+def test_bin_edges_of_counts_are_those_of_the_rows():
+    x = np.random.default_rng(4).geometric(0.05, (5_000, 3)).astype(float)
+    counts = np.stack([np.bincount(column.astype(int), minlength=1024) for column in x.T])
+    for got, column in zip(bin_edges(counts), x.T, strict=True):
+        assert (got == np.unique(np.quantile(column, np.linspace(0, 1, 32)[1:-1], method="lower"))).all()
+
+
+def test_every_text_counts_for_the_recogniser(spark):
+    """Far more texts than 4,000; only those that such a choice by hash leaves out have addresses."""
+    texts = spark.range(9_000).select(F.concat(F.lit("word "), "id").alias("text"))
+    ordered = [r.text for r in texts.orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 32))).collect()]
+    late = [(f"mail {t.split()[1]} to anna.b{i}@mail{i % 7}.example.org or 10.{i % 250}.3.4 today",) for i, t in enumerate(ordered[8_000:])]
+    late = [r for r, h in zip(late, spark.createDataFrame(late, "text string").select(F.pmod(F.xxhash64("text"), F.lit(1 << 32)).alias("h")).collect(), strict=True) if h.h > 0.6 * (1 << 32)]
+    model = train_recogniser(spark.createDataFrame([(t,) for t in ordered[:8_000]] + late, "text string"))
+    assert model.trees is not None
+
+
 def test_threshold_holds_its_precision():
     p = np.array([0.9, 0.8, 0.8, 0.7, 0.6, 0.3])
     y = np.array([1, 1, 0, 1, 0, 1])
