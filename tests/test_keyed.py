@@ -141,3 +141,26 @@ def test_no_two_shares_of_a_merge_meet_in_one_task(spark, tmp_path, monkeypatch)
     folder = next(iter(made.state().live.values())).folder
     # some 4 kB for each task: 80,000 bytes in 20 shares, none of them empty, each written by its own task
     assert len(list((tmp_path / folder / "bucket=0").glob("part-*.gz"))) == 20
+
+
+def test_of_repeated_keys_the_greatest_stays_and_other_rows_are_not_grouped(spark, tmp_path, monkeypatch):
+    grouped, before = [], keyed.latest_by_key
+    monkeypatch.setattr(keyed, "latest_by_key", lambda rows, *a: grouped.append(rows.count()) or before(rows, *a))
+    made = table(spark, tmp_path / "t", 500)
+    again = spark.createDataFrame([("k1", 7, None), ("k1", 9, None), ("k2", 8, None), (None, 3, None), (None, 4, None)], SCHEMA)
+    made.merge(rows(spark, {f"k{i}": i for i in range(50)}).unionByName(again), by=F.struct("amount"))
+    assert grouped == [7]
+    got = made.read().collect()
+    assert {r.name: r.amount for r in got} == {f"k{i}": i for i in range(50)} | {"k1": 9, "k2": 8, None: 4} and len(got) == 51
+    assert sum(b.rows for b in made.state().live.values()) == 51
+    made.merge(rows(spark, {"k1": 10, "k60": 60}), by=F.struct("amount"))
+    assert grouped == [7] and made.read().count() == 52
+
+
+def test_write_bronze_shuffles_envelopes_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lake, "latest_envelopes", lambda _: pytest.fail("whole envelopes are grouped"))
+    payload = F.struct(F.concat(F.lit("C"), (F.col("id") % 40).cast("string")).alias("claim_id"))
+    names = [F.col("id").cast("string").alias("source_filename"), F.lit("p").alias("source_file_path"), F.lit("h").alias("source_file_sha256")]
+    assert lake.write_bronze(spark.range(100, 150).select(payload.alias("extracted_payload"), *names), str(tmp_path / "b")) == 1
+    stored = [json.loads(r.value) for r in lake.read_lines(spark, str(tmp_path / "b")).collect()]
+    assert sorted(int(x["source_filename"]) for x in stored) == list(range(110, 150))
