@@ -199,3 +199,37 @@ def test_search_of_few_queries_writes_no_postings_and_has_the_hits_of_the_index(
     b.citations(spark, sf).collect()
     assert written and "term_weights" not in written
     chunks.unpersist()
+
+
+def test_headings_and_items_with_odd_white_space_are_found_as_by_a_pattern_without_trying_it_at_each_character(spark):
+    begin, end = "INCIDENT SYNOPSIS & REGULATORY CLASSIFICATION", "ITEMIZED FINANCIAL LOSS ASSESSMENT"
+    texts = [None, "", begin, f"{end} {begin} x", f"é{begin}\n \x1c a\n\nb \x85 {end} {end}", f"{begin}{begin} c{end}", f"{begin} \n{end}", f"{begin}{end}"]
+    items = f"{end}\nNet Claim\n1 1,000.00\n100.00\t 900.00  x 5.00 1.00 4.00\nSUBTOTALS 7.00 8.00 9.00 TOTALS"
+    frame = spark.createDataFrame([(t,) for t in [*texts, items]], "text string")
+    found = frame.select(extract.between(F.col("text"), "incident_description").alias("b"), extract.line_items(F.col("text"), F.lit("x")).alias("i"))
+    rows = found.collect()
+    assert [r.b for r in rows] == [None, None, None, None, "a\n\nb", f"{begin} c", "", "", None]
+    assert [(i.amount, i.deductible, i.net_claimed) for i in rows[-1].i] == [(1000.0, 100.0, 900.0), (5.0, 1.0, 4.0), (7.0, 8.0, 9.0)]
+    plan = found.drop("i")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and r"\s*(.*?)\s*" not in plan
+    policy = frame.select(extract.clean_policy(extract.policy_number(F.col("text"))).alias("p"))
+    assert policy._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
+
+
+def test_long_queries_score_chunks_without_joining_postings_and_beyond_a_block_by_postings(spark, monkeypatch):
+    chunks = b.chunks(spark, "/root/testdata/sf0.001").limit(300).localCheckpoint()
+    chunks = chunks.unionAll(chunks.withColumn("chunk_id", F.concat("chunk_id", F.lit("_copy"))))  # every chunk ties with its copy
+    index = retrieval.build_index(chunks)
+    many = F.size(F.array_distinct(retrieval.tokens(F.col("text")))) > retrieval.LONG_QUERY
+    texts = [r.text for r in chunks.filter(many).orderBy("chunk_id").limit(8).collect()]
+    asked = [retrieval.Query(f"q{i}", t, 2 if i == 3 else 99 if i == 5 else None) for i, t in enumerate([*texts, "of " * 20])]
+    read, joined, found = retrieval._postings, [], {}
+    monkeypatch.setattr(retrieval, "_postings", lambda index, weights: joined.append(weights.agg(F.max("asked")).first()[0]) or read(index, weights))
+    for block, cells in ((1_000, 4 << 20), (1_000, 5_000), (2, 4 << 20)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "PRODUCT_CELLS", cells)
+        joined.clear()
+        found[block, cells] = sorted(tuple(r) for r in retrieval.search(index, asked, 3).select("query", "rank", "chunk_id", "distance").collect())
+        assert any(most > retrieval.LONG_QUERY for most in joined) == (block == 2)
+    assert len(found[2, 4 << 20]) > 15 and len({str(f) for f in found.values()}) == 1
+    assert not [r for r in found[2, 4 << 20] if r[0] == "q5"]
